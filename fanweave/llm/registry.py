@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .exact_dedup import exact_duplicates
+from .language import fit_text_model, identify, page_rows
 from .line_dedup import drop_repeated_lines
 from .packing import pack
+from .passages import repeated_passages
+from .recurrent import score_documents
 from .secret_scan import BASE_KINDS, RULES, scan_secrets, spans_text
 from .simhash import near_duplicates
 from .token_counts import context_totals, length_histogram, token_lengths
@@ -18,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -26,6 +33,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(token_lengths(_table(spark, sf_dir, "documents"))))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_text_model(_table(spark, sf_dir, "documents"))
+    found = identify(page_rows(_table(spark, sf_dir, "pages")), model)
+    return found.select(F.col("_id").alias("page_id"), "language", "confidence", "accepted", "text_language", "declared", "host")
+
+
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -53,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op6_secret_scan, op7_decontamination, op8_best_fit_packing, op9_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_token_counts, op4_language_id, op5_recurrent_lm, op6_secret_scan, op7_decontamination, op8_best_fit_packing, op9_simhash, op10_line_dedup)}
 
 
 _SQL_DEDUP = r"""
