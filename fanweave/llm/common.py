@@ -71,8 +71,8 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     return (
         keys.select(bit.alias("bit")).distinct()
-        .groupBy(F.floor(F.col("bit") / _PAGE_BITS).cast("int").alias("_page"))
-        .agg(F.bitmap_construct_agg(F.col("bit") % _PAGE_BITS).alias("_bits"))
+        .groupBy(F.floor(F.col("bit") / _PAGE_BITS).cast("int").alias("__fw_page"))
+        .agg(F.bitmap_construct_agg(F.col("bit") % _PAGE_BITS).alias("__fw_bits"))
     )
 
 
@@ -81,11 +81,26 @@ def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataFr
 
     ``key`` must hash as the filter's key did. No row is dropped or moved: the filter is broadcast.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    at = df.withColumn("_bit", bit).withColumn("_page", F.floor(F.col("_bit") / _PAGE_BITS).cast("int"))
-    byte = F.expr(f"cast(conv(hex(substring(_bits, cast((_bit % {_PAGE_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
-    return at.join(F.broadcast(bitmap), "_page", "left").withColumn(flag, hit).drop("_page", "_bit", "_bits")
+    at = df.withColumn("__fw_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("__fw_page", F.floor(F.col("__fw_bit") / _PAGE_BITS).cast("int"))
+    byte = F.expr(f"cast(conv(hex(substring(__fw_bits, cast((__fw_bit % {_PAGE_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__fw_bit % 8 as int))")) != 0, F.lit(False))
+    return at.join(F.broadcast(bitmap), "__fw_page", "left").withColumn(flag, hit).drop("__fw_page", "__fw_bit", "__fw_bits")
+
+
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are no row of ``gone`` (the same number of columns and types, null equals null).
+
+    Rows that a bitmap of ``gone`` clears pass straight from the scan; only the others are shuffled.
+    """
+    names, own = docs.columns, [f"__fw_key{i}" for i in range(len(keys))]
+    gone = gone.toDF(*[f"__fw_gone{i}" for i in range(len(keys))])
+    bitmap = key_filter(gone.select(F.struct(*gone.columns).alias("__fw_key")), "__fw_key")
+    probed = maybe_in(docs.withColumns(dict(zip(own, keys))), F.struct(*own), bitmap, "__fw_maybe")
+    same = F.lit(True)
+    for mine, other in zip(own, gone.columns):
+        same = same & F.col(mine).eqNullSafe(F.col(other))
+    unclear = probed.filter("__fw_maybe").join(gone, same, "left_anti")
+    return probed.filter(~F.col("__fw_maybe")).select(*names).unionByName(unclear.select(*names))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, whole_text, without
 
 WINDOW = 13
 BLOCK = 2
@@ -124,7 +124,7 @@ def benchmark_passes(benchmark: DataFrame, item_col: str, text_col: str, pass_by
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """Benchmark occurrences in every row: id, ``n_words``, ``n_hit``, ``items`` (sorted), ``starts``, ``ends``, ``contaminated``.
+    """Benchmark occurrences in every row: id, ``n_words``, ``n_hit``, ``items`` (sorted), ``starts``, ``ends``, ``text_hash``, ``contaminated``.
 
     ``starts`` and ``ends`` are the disjoint word ranges that benchmark windows cover; ``contaminated`` means
     that they cover a twentieth of the words or more. Null texts, and items without words or id, have no
@@ -147,8 +147,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends")))),
         ).otherwise(F.concat(acc, F.array(x))))
         by = by.withColumn("_merged", merged).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        found = by.select("doc_id", "n_words", F.col("_merged.starts").alias("starts"), F.col("_merged.ends").alias("ends"), "items")
+        found = by.select("doc_id", "text_hash", "n_words", F.col("_merged.starts").alias("starts"), F.col("_merged.ends").alias("ends"), "items")
     hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
-    out = found.select(F.col("doc_id").alias(id_col), "n_words", hit.alias("n_hit"), "items", "starts", "ends")
+    out = found.select(F.col("doc_id").alias(id_col), "text_hash", "n_words", hit.alias("n_hit"), "items", "starts", "ends")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    found = contamination(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark)
+    gone = durable(found.filter("contaminated").select("doc_id", "text_hash"), "contaminated")
+    return without(docs, [F.col(id_col).cast("long"), F.xxhash64(whole_text(text_col))], gone)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, key_filter, maybe_in, one_space, whole_text
+from .common import durable, key_filter, maybe_in, one_space, whole_text, without
 
 PREFIX_CHARS = 256
 
@@ -50,19 +50,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeating an id and a text, one stays.
-
-    Rows that a bitmap of the dropped ones clears pass straight from the scan; only the others are shuffled.
-    """
+    """The rows of ``docs`` that stay, with all their columns; of rows repeating an id and a text, one stays."""
     names = docs.columns
-    groups = durable(exact_duplicates(docs, id_col, text_col, digest_all=True).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-groups")
-    gone = groups.filter(~F.col("kept")).select("_id", "_sha")
+    groups = durable(exact_duplicates(docs, id_col, text_col, digest_all=True).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-rows")
+    sha = F.sha2(F.encode(one_space(whole_text(text_col)), "UTF-8"), 256)
+    stays = without(docs, [F.col(id_col), sha], groups.filter(~F.col("kept")).select("_id", "_sha"))
     again = groups.filter("kept").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha")
-    bitmap = key_filter(gone.unionByName(again).select(F.struct("_id", "_sha").alias("_key")), "_key")
-    rows = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(F.encode(one_space(whole_text(text_col)), "UTF-8"), 256)})
-    probed = maybe_in(rows, F.struct("_id", "_sha"), bitmap, "_maybe")
-    clear = probed.filter(~F.col("_maybe")).select(*names)
-    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha"))
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha"))
-    unclear = probed.filter("_maybe").join(gone, same, "left_anti").dropDuplicates(["_id", "_sha"]).select(*names)
-    return clear.unionByName(unclear)
+    if again.isEmpty():
+        return stays
+    single = without(stays, [F.col(id_col), sha], again)
+    repeated = again.select(F.col("_id").alias("__fw_id"), F.col("_sha").alias("__fw_sha"))
+    several = stays.withColumn("__fw_own", sha).join(repeated, F.col(id_col).eqNullSafe(F.col("__fw_id")) & (F.col("__fw_own") == F.col("__fw_sha")))
+    return single.unionByName(several.dropDuplicates(["__fw_id", "__fw_own"]).select(*names))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, whole_text, without
 
 #: Trigram buckets of the text model.
 BUCKETS = 1 << 15
@@ -186,8 +186,6 @@ def identify(rows: DataFrame, model: TextModel, least_confidence: float = 0.5) -
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with all their columns. The text model is fitted on their own labels."""
-    names = docs.columns
     found = identify(document_rows(docs, id_col, text_col, lang_col, source_col), fit_text_model(docs, id_col, text_col, lang_col))
-    rejected = found.filter(~F.col("accepted")).select(F.col("_id").alias("_gone"), F.col("row_hash").alias("_gone_row"), F.lit(True).alias("_out")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64(whole_text(text_col)))
-    return rows.join(rejected, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.col("_row") == F.col("_gone_row")), "left_anti").select(*names)
+    rejected = durable(found.filter(~F.col("accepted")).select("_id", "row_hash"), "language-rejects")
+    return without(docs, [F.col(id_col).cast("long"), F.xxhash64(whole_text(text_col))], rejected)

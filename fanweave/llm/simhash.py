@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, whole_text, without
 
 SHINGLE, RADIUS, SHARD_SIZE, SEED = 3, 2, 1000, 42
 
@@ -194,3 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = durable(rooted.join(firsts, "root").select("fp", "component_id"), "fingerprint-classes")
     return prints.join(classes, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, with all their columns. Rows that repeat an id are one document."""
+    classes = near_duplicates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle, radius=radius)
+    gone = durable(classes.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "near-copies")
+    return without(docs, [F.col(id_col).cast("long")], gone)
