@@ -39,6 +39,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = durable(probed.select("_id", "_alive", (full if digest_all else F.when(F.col("_alive"), full)).alias("_sha")), "dedup-digests")
 
     groups = digests.filter("_alive").groupBy(F.col("_sha").alias("_group")).agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
+    groups = durable(groups, "dedup-groups")  # with plain scans on both sides Spark can split the partition of a large group
     # a row without company joins nothing; a key of its own keeps such rows from meeting in one partition
     key = F.when(F.col("_alive"), F.col("_sha")).otherwise(F.concat(F.lit("id "), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     joined = digests.withColumn("_group", key).join(groups, "_group", "left")
