@@ -152,15 +152,18 @@ def identify(rows: DataFrame, model: TextModel, least_confidence: float = 0.5) -
     prepared = rows.select("_id", "_text", known.alias("_declared"), "_host", suffix.alias("_suffix"), F.xxhash64("_text").alias("_row"))
     seen = durable(prepared.mapInArrow(read, "_id long, _declared string, _host string, _suffix string, _row long, _logs array<double>, _alone array<double>, _trigrams long"), "language-evidence")
 
-    sums = [F.sum(F.get("_alone", k)).alias(f"n{k}") for k in range(n)]
+    # texts without letters tell nothing of their host
+    sums = [F.sum(F.when(F.col("_trigrams") > 0, F.get("_alone", k)).otherwise(0.0)).alias(f"n{k}") for k in range(n)]
     again = [F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]
     by_host = durable(seen.groupBy("_host", "_suffix", "_declared").agg(*sums), "language-sums")  # combined before the shuffle
     counts = lambda row: np.array([row[f"n{k}"] or 0.0 for k in range(n)])
     tables = {r["_declared"]: counts(r) for r in by_host.groupBy("_declared").agg(*again).collect()}  # a row per language, "none" and "other"
     total = sum(tables.values(), np.zeros(n))
     overall = (total + 1) / (total + 1).sum()
-    given = {d: np.log((c + 0.5) / (total + 0.5 * len(tables))) for d, c in tables.items()}
-    log_given = F.create_map(*[x for d, v in given.items() for x in (F.lit(d), F.array(*map(F.lit, v.tolist())))]) if given else F.expr("cast(map() as map<string,array<double>>)")
+    said = {d: c for d, c in tables.items() if d != "none"}
+    spoken = sum(said.values(), np.zeros(n))
+    given = {d: np.log((c + 0.5) / (spoken + 0.5 * len(said))) for d, c in said.items()} | {"none": np.zeros(n)}  # no declaration is no evidence
+    log_given = F.create_map(*[x for d, v in given.items() for x in (F.lit(d), F.array(*map(F.lit, v.tolist())))])
 
     def smoothed(parent: list[Column], weight: float) -> list[Column]:
         size = sum((F.col(f"n{k}") for k in range(1, n)), F.col("n0"))
