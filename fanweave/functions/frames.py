@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MESSAGE_TYPES, first_refusal
-from .binary import crc32c, le_hex, le_value
+from .binary import crc32c, crc32c_bytes, le_hex, le_value
 
 # Magic, version and sizes of the frame header.
 MAGIC, VERSION, HEADER_BYTES, CRC_AT, MOST_PAYLOAD = 0x31424653, 1, 40, 36, 1 << 20
@@ -91,3 +91,45 @@ def replay_guard(rows: DataFrame, size: int = 1024) -> DataFrame:
 
     dealt = rows.select("session", "arrival", "sequence").repartition("session").sortWithinPartitions("session", "arrival")
     return dealt.mapInPandas(guard, "session long, arrival long, sequence long, answer string")
+
+
+def frame_stream(chunks: DataFrame, most_payload: int = MOST_PAYLOAD) -> DataFrame:
+    """(session, position, frame, error_code): the frames of byte streams that arrive in pieces.
+
+    ``chunks`` has session, arrival and bytes. A frame may begin and end in any piece; a task holds what is
+    left of one. The first header that can't be believed ends its session with that code, and bytes short
+    of a frame at the end are ``TruncatedInput``.
+    """
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, position, broken = None, b"", 0, False
+
+        def rest() -> list[tuple]:
+            return [(now, position, held, "TruncatedInput")] if held and not broken else []
+
+        for frame in frames:
+            out: list[tuple] = []
+            for session, piece in zip(frame["session"], frame["bytes"]):
+                if session != now:
+                    out += rest()
+                    now, held, position, broken = session, b"", 0, False
+                held = b"" if broken else held + bytes(piece or b"")
+                while len(held) >= HEADER_BYTES and not broken:
+                    if int.from_bytes(held[:4], "little") != MAGIC:
+                        code = "ProtocolViolation"
+                    elif int.from_bytes(held[CRC_AT:HEADER_BYTES], "little") != crc32c_bytes(held[:CRC_AT]):
+                        code = "ChecksumMismatch"
+                    else:
+                        size = int.from_bytes(held[28:32], "little")
+                        code = "OversizedInput" if size > most_payload else "Ok"
+                    if code == "Ok" and len(held) < HEADER_BYTES + size:
+                        break
+                    broken = code != "Ok"
+                    end = len(held) if broken else HEADER_BYTES + size
+                    out.append((session, position, held[:end], code))
+                    held, position = held[end:], position + 1
+            yield pd.DataFrame(out, columns=["session", "position", "frame", "error_code"])
+        yield pd.DataFrame(rest(), columns=["session", "position", "frame", "error_code"])
+
+    dealt = chunks.select("session", "arrival", "bytes").repartition("session").sortWithinPartitions("session", "arrival")
+    return dealt.mapInPandas(cut, "session long, position long, frame binary, error_code string")

@@ -641,3 +641,68 @@ def refusal_dimension(spark: SparkSession, d: str) -> DataFrame:
     """How often each refusal code occurs in the commit fold, with its number and class; zeros too."""
     counted = _state(spark, d)["folded"].groupBy("error_code").agg(F.count("*").alias("n"))
     return error_codes(spark).join(counted, F.col("name") == F.col("error_code"), "left").select("code", "name", "retry_class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query()
+def frame_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events' frames, cut into pieces of 23 bytes and put together again."""
+    sent = frames.encode_frames(_frames(spark, d))
+    starts = F.sequence(F.lit(0), F.ceil(F.octet_length("frame") / 23).cast("int") - 1)
+    pieces = sent.select("session", F.col("event_id"), "frame", F.explode(starts).alias("k")).select("session", (F.col("event_id") * 1000 + F.col("k")).alias("arrival"), F.expr("substring(frame, k * 23 + 1, 23)").alias("bytes"))
+    back = frames.frame_stream(pieces)
+    return back.select("session", "position", F.octet_length("frame").alias("frame_bytes"), "error_code")
+
+
+@query(f"""WITH {P}, {C(N)}, {L} SELECT (SELECT count(*) FROM p) AS producers, (SELECT count(*) FROM p WHERE state = 'Active') AS active_producers, (SELECT count(*) FROM c) AS consumers, (SELECT count(*) FROM c WHERE state = 'Active') AS active_consumers,
+(SELECT count(DISTINCT canonical_key) FROM k WHERE state <> 'Withdrawn') AS patterns, (SELECT CAST(sum(selected) AS BIGINT) FROM k WHERE state <> 'Withdrawn') AS planned_edges, (SELECT max(seq) FROM lg) AS last_sequence, (SELECT count(*) FROM lg) AS records""")
+def status_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the topology and the log at a glance."""
+    counts = topology.active_counts(D.producers(spark, d), D.consumers(spark, d))
+    pick = lambda kind, column, name: F.max(F.when(F.col("kind") == kind, F.col(column))).alias(name)
+    sides = counts.agg(pick("Producer", "registered", "producers"), pick("Producer", "active", "active_producers"), pick("Consumer", "registered", "consumers"), pick("Consumer", "active", "active_consumers"))
+    planned = topology.planned_edges(D.consumers(spark, d), N).select(F.col("pattern_count").alias("patterns"), "planned_edges")
+    log = D.event_log(spark, d).agg(F.max("seq").alias("last_sequence"), F.count("*").alias("records"))
+    return sides.crossJoin(planned).crossJoin(log)  # one row each
+
+
+@query(f"WITH {P}, {C(N)} SELECT kind, count(*) FILTER (state = 'Active') AS pending FROM (SELECT 'Producer' AS kind, state FROM p UNION ALL SELECT 'Consumer', state FROM c) GROUP BY 1")
+def pending_revalidation(spark: SparkSession, d: str) -> DataFrame:
+    return journal.demote(D.participants(D.producers(spark, d), D.consumers(spark, d))).groupBy("kind").agg(F.count_if("pending").alias("pending"))
+
+
+@query(f"""WITH {FOLD}, {FAIL}, {LATEST}, {NOW}, q AS (SELECT CAST(r.range AS BIGINT) AS partition, consumer_id FROM range({LOGGED}) r, (SELECT DISTINCT consumer_id FROM lg)) SELECT partition, consumer_id FROM q ANTI JOIN done USING (partition, consumer_id) ANTI JOIN lost USING (partition, consumer_id)""")
+def incomplete_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Required edges that are neither completed nor failed, where each consumer of the log requires every partition."""
+    s = _state(spark, d)
+    now = s["latest"].withColumnRenamed("latest", "partition_gen")
+    done = ledger.committed_edges(s["folded"]).join(now, ["partition", "partition_gen"], "left_semi")
+    lost = s["failures"].filter("permanent").join(now, ["partition", "partition_gen"], "left_semi")
+    required = s["log"].select("consumer_id").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOGGED - 1).cast("long"))).alias("partition"), "consumer_id")
+    return required.join(done, ["partition", "consumer_id"], "left_anti").join(lost, ["partition", "consumer_id"], "left_anti")
+
+
+@query(f"""WITH {P}, {O_(LOGGED)}, {L}, {_ADMIT}, acc AS (SELECT partition, max(partition_gen) AS partition_gen FROM adm WHERE error_code = 'Ok' GROUP BY 1) SELECT DISTINCT lg.partition, coalesce(acc.partition_gen, -1) AS partition_gen, CASE WHEN acc.partition IS NULL THEN 'PartitionNotProduced' ELSE 'Ok' END AS error_code FROM lg LEFT JOIN acc USING (partition)""")
+def accepted_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The accepted generation of every partition of the log; absence is a row with its code."""
+    accepted = _admitted(spark, d).filter("error_code = 'Ok'").groupBy("partition").agg(F.max("partition_gen").alias("partition_gen"))
+    asked = D.event_log(spark, d).select("partition").distinct()
+    return asked.join(accepted, "partition", "left").select("partition", F.coalesce("partition_gen", F.lit(-1)).alias("partition_gen"), F.when(F.col("partition_gen").isNull(), "PartitionNotProduced").otherwise("Ok").alias("error_code"))
+
+
+@query(f"""WITH {L}, s AS (SELECT user_id, consumer_id AS bound FROM lg WHERE kind = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1)
+SELECT seq, CASE WHEN bound IS NULL THEN 'HandshakeRequired' WHEN bound <> consumer_id THEN 'IdentityMismatch' ELSE 'Ok' END AS error_code FROM lg LEFT JOIN s USING (user_id) WHERE kind IN ('click', 'purchase')""")
+def session_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each commit comes from the consumer that its session was last bound to."""
+    log = D.event_log(spark, d)
+    bound = log.filter("kind = 'signup'").groupBy("user_id").agg(F.max_by("consumer_id", "seq").alias("bound"))
+    code = F.when(F.col("bound").isNull(), "HandshakeRequired").when(F.col("bound") != F.col("consumer_id"), "IdentityMismatch").otherwise("Ok")
+    return log.filter("kind IN ('click', 'purchase')").join(bound, "user_id", "left").select("seq", code.alias("error_code"))
+
+
+@query(f"""WITH {C(N)}, m AS (SELECT partition AS p, count(*) AS n FROM (SELECT unnest(CASE kind WHEN 'All' THEN range({N}) WHEN 'Range' THEN range(b, e) ELSE l END) AS partition FROM k WHERE state <> 'Withdrawn') GROUP BY 1)
+SELECT CAST(p AS BIGINT) AS partition, n AS by_join, n AS by_pattern FROM m""")
+def edge_count_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Edges per partition counted one by one and by pattern: the two must agree."""
+    consumers = D.consumers(spark, d)
+    counted = topology.edges(consumers, N).groupBy("partition").agg(F.count("*").alias("by_join"))
+    return counted.join(topology.fan_out(consumers, N).select("partition", F.col("fan_out").alias("by_pattern")), "partition")

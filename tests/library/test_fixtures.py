@@ -310,3 +310,17 @@ def test_binary_journals(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(whole[:-1])
     got = journal.read_journals(spark, str(tmp_path / "a.log")).collect()
     assert [(r["sequence"], r["status"]) for r in got] == [(1, "replayed"), (2, "replayed"), (2, "skipped"), (2, "TornTail")]
+
+
+def test_frames_are_put_together_from_pieces(spark):
+    rows = spark.createDataFrame([(s, i, 10 + 2 * (i % 3), 0, i, f"payload {i}".encode() * i) for s in (1, 2) for i in range(1, 6)], "session long, sequence long, type long, flags long, n long, payload binary")
+    sent = frames.encode_frames(rows)
+    assert sorted((r["session"], r["sequence"], r["error_code"]) for r in frames.decode_frames(sent.drop("session", "sequence", "type", "flags")).collect()) == sorted((s, i, "Ok") for s in (1, 2) for i in range(1, 6))
+    streams = {s: b"".join(r["frame"] for r in sorted(sent.filter(F.col("session") == s).collect(), key=lambda r: r["sequence"])) for s in (1, 2)}
+    streams[2] = streams[2][:-3]
+    streams[3] = streams[1][:60] + b"\x00" * 50
+    pieces = [(s, k, data[a:a + 7]) for s, data in streams.items() for k, a in enumerate(range(0, len(data), 7))]
+    got = frames.frame_stream(spark.createDataFrame(pieces, "session long, arrival long, bytes binary")).collect()
+    by = {s: [r["error_code"] for r in sorted(got, key=lambda r: r["position"]) if r["session"] == s] for s in streams}
+    assert by[1] == ["Ok"] * 5 and by[2] == ["Ok"] * 4 + ["TruncatedInput"] and by[3] == ["Ok", "ChecksumMismatch"]
+    assert b"".join(r["frame"] for r in sorted(got, key=lambda r: r["position"]) if r["session"] == 1) == streams[1]
