@@ -18,8 +18,9 @@ from .common import durable, whole_text, without
 
 WINDOW = 13
 BLOCK = 2
-#: Benchmark text that one pass broadcasts; a larger benchmark takes several passes.
-PASS_BYTES = 32 << 20
+#: Benchmark text that one pass broadcasts, as tables of about a hundred times that size in each worker; a larger
+#: benchmark takes several passes.
+PASS_BYTES = 512 << 10
 
 #: Bytes of words stay, A-Z become lower case, other ASCII becomes a space; all bytes from 128 on are in words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
