@@ -324,3 +324,19 @@ def test_frames_are_put_together_from_pieces(spark):
     by = {s: [r["error_code"] for r in sorted(got, key=lambda r: r["position"]) if r["session"] == s] for s in streams}
     assert by[1] == ["Ok"] * 5 and by[2] == ["Ok"] * 4 + ["TruncatedInput"] and by[3] == ["Ok", "ChecksumMismatch"]
     assert b"".join(r["frame"] for r in sorted(got, key=lambda r: r["position"]) if r["session"] == 1) == streams[1]
+
+
+def test_commit_refusals_in_order(spark):
+    from fanweave.operators.commits import admit_commits
+
+    base = dict(attempt=1, partition=0, partition_gen=1, consumer_id=1, consumer_incarnation=1, producer_id=1, producer_incarnation=1, shuffle_gen=1, digest="m", content_digest="c", bytes=9, integrity=True, chunk_digests=["a", "b"])
+    changes = [dict(), dict(attempt=9), dict(shuffle_gen=2, consumer_id=2), dict(consumer_id=2), dict(producer_incarnation=3, digest="x"), dict(digest="x"), dict(integrity=False, bytes=8), dict(content_digest="m"), dict(content_digest="z", bytes=8), dict(bytes=8), dict(chunk_digests=["a"]), dict(chunk_digests=["a", "x"])]
+    schema = "attempt long, partition long, partition_gen long, consumer_id long, consumer_incarnation long, producer_id long, producer_incarnation long, shuffle_gen long, digest string, content_digest string, bytes long, integrity boolean, chunk_digests array<string>, seq long"
+    requests = spark.createDataFrame([tuple((base | c).values()) + (i,) for i, c in enumerate(changes)], schema)
+    grants = spark.createDataFrame([(1, 0, 1, 1, 1, 1, 1, "m")], "attempt long, partition long, partition_gen long, consumer_id long, consumer_incarnation long, producer_id long, producer_incarnation long, digest string")
+    accepted = spark.createDataFrame([(0, 1, "m", "c", 9, ["a", "b"])], "partition long, partition_gen long, digest string, content_digest string, bytes long, chunk_digests array<string>")
+    people, makers = consumers(spark, [all_of(1), all_of(2)]), producers(spark, 1)
+    judge = lambda **more: [c for _, c in values(admit_commits(requests, grants, people, makers, topology.owners(makers, 4), accepted, **more), "seq", "error_code")]
+    assert judge() == ["Ok", "StaleAttempt", "StaleGeneration", "AttemptSuperseded", "StaleIncarnation", "ManifestInconsistent", "IntegrityFailure", "Ok", "DigestMismatch", "AccountingMismatch", "IntegrityFailure", "DigestMismatch"]
+    assert set(judge(shuffle_state="Cancelled")) == {"Cancelled"}
+    assert [*dict.fromkeys(judge(shuffle_state="Completed"))] == ["InvalidState", "StaleAttempt"]
