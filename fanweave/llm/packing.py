@@ -259,7 +259,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     plan = pieces.sparkSession.sparkContext.broadcast(best_fit_runs(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "task", "base")
-    ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
+    # as many rows as tasks times lengths, so it mustn't be broadcast
+    ranked = pieces.join(bases.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, sequence, offset = plan.value.T
