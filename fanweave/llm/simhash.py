@@ -1,7 +1,7 @@
 """SimHash near-duplicates through BK-trees.
 
 Copies collapse first: one row per distinct fingerprint goes on. Fingerprints within ``radius`` bits agree
-on at least one of ``radius`` + 1 bands, so each band's value selects a shard. A shard's fingerprints form
+under at least one of a few masks, so each masked value selects a shard. A shard's fingerprints form
 a BK-tree, children keyed by their integer Hamming distance to the parent, and a search follows only the
 edges within the radius. Shards of more than ``shard_size`` fingerprints are split: every part has a tree
 of its own, sent to all blocks of the shard's fingerprints. A shard passes on a spanning forest of the
@@ -11,6 +11,7 @@ links it finds, not all pairs; components come from contracting that graph.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text, without
+from .common import durable, key_filter, maybe_in, whole_text, without
 
 SHINGLE, RADIUS, SHARD_SIZE, SEED = 3, 2, 1000, 42
 
@@ -116,13 +117,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(digest, "doc_id long, fp long")
 
 
+def shard_masks(radius: int, count: int) -> list[int]:
+    """Bit masks of which fingerprints within ``radius`` bits share at least one masked value.
+
+    The bits fall into blocks, of which ``radius`` changes spoil ``radius`` at most; a mask leaves so many
+    out. There are as many blocks as it takes for a mask to tell ``count`` fingerprints apart.
+    """
+    blocks = radius + 1
+    while blocks < 64 and 64 * (blocks - radius) < blocks * max(16, count.bit_length() - 1):
+        blocks += 1
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(blocks)]
+    return [sum(kept) for kept in combinations(parts, blocks - radius)]
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """Links (a, b), b < a, that span the components of distinct fingerprints ``fp`` within ``radius`` bits."""
-    bands = radius + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    keys = F.array(*[
-        F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("value")) for k in range(bands)
-    ])
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_bits(mask))).alias("value")) for k, mask in enumerate(shard_masks(radius, prints.count()))])
     keyed = prints.select("fp", F.explode(keys).alias("key")).select("key.band", "key.value", "fp")
     sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / shard_size).cast("int")
@@ -188,16 +199,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component's id unless it has no other. Other columns are ignored; an empty table gives no rows.
     """
     prints = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return fingerprint_classes(prints, radius, shard_size).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """(doc_id, fp) with ``component_id``; ``prints`` is a written table."""
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = components(fingerprint_links(distinct.select("fp"), radius, shard_size), "fingerprint-links")
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = durable(rooted.join(firsts, "root").select("fp", "component_id"), "fingerprint-classes")
-    return prints.join(classes, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of ``pairs`` (doc_id, other_id), those whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
+    ``docs`` has doc_id and text. Only documents in pairs are shuffled: a bitmap clears the others.
+    """
+    ids = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
+    near = maybe_in(docs, F.col("doc_id"), key_filter(ids, "doc_id"), "_maybe").filter("_maybe").select("doc_id", "text")
+    texts = durable(near.join(ids, "doc_id"), "paired-texts")
+    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other")), "other_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(text: str) -> set[tuple[bytes, ...]]:
+            words = text.encode().lower().split()
+            return set(zip(*[words[i:] for i in range(shingle)])) or {tuple(words)}
+
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("text"), batch.column("other")):
+                a, b = cut(one.as_py()), cut(two.as_py())
+                keep.append(len(a & b) >= least * len(a | b))
+            yield batch.select(["doc_id", "other_id"]).filter(pa.array(keep, pa.bool_()))
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns. Rows that repeat an id are one document."""
-    classes = near_duplicates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle, radius=radius)
-    gone = durable(classes.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "near-copies")
-    return without(docs, [F.col(id_col).cast("long")], gone)
+    return both.select("doc_id", "other_id", "text", "other").mapInArrow(compare, "doc_id long, other_id long")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, wide: int = 0, least_similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns. Rows that repeat an id are one document.
+
+    Of each component within ``radius`` bits the smallest id stays. A ``wide`` radius adds a second pass: of
+    what stays, components within ``wide`` bits are formed, and a document goes if its five-word shingles are
+    similar enough to those of its component's smallest id. A dense cluster of n texts within that radius
+    makes the second pass send about n * n / shard size rows to the shards' trees, so it is off unless asked for.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    prints = durable(fingerprints(rows, shingle=shingle), "fingerprints")
+    other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = durable(fingerprint_classes(prints, radius).select("doc_id", "fp", "component_id"), "narrow-classes")
+    gone = first.filter(other).select("doc_id")
+    if wide > radius:
+        rest = durable(first.filter(~other).select("doc_id", "fp").distinct(), "narrow-representatives")
+        pairs = durable(fingerprint_classes(rest, wide).filter(other).select("doc_id", F.col("component_id").alias("other_id")), "wide-pairs")
+        gone = gone.union(similar_pairs(rows, pairs, 5, least_similarity).select("doc_id"))
+    return without(docs, [F.col(id_col).cast("long")], durable(gone, "near-copies"))

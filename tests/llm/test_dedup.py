@@ -7,7 +7,7 @@ import xxhash
 
 from fanweave.llm.exact_dedup import exact_duplicates, keep_first_copies
 from fanweave.llm.line_dedup import LineRuns, drop_repeated_lines
-from fanweave.llm.simhash import BKTree, components, fingerprint, fingerprint_links, keep_representatives, near_duplicates
+from fanweave.llm.simhash import BKTree, components, fingerprint, fingerprint_links, keep_representatives, near_duplicates, shard_masks, similar_pairs
 
 from .fixtures import SCHEMA, documents, frame, plain, rows_of
 
@@ -181,6 +181,31 @@ def test_bk_tree_finds_all_within():
         assert sorted(tree.within(q, 2)) == sorted({v for v in values if (v ^ q).bit_count() <= 2})
 
 
+@pytest.mark.parametrize("radius,count", [(1, 10), (2, 10**6), (3, 10**5), (5, 300_000), (6, 10**4)])
+def test_masks_leave_close_values_together(radius, count):
+    import random
+
+    masks, rng = shard_masks(radius, count), random.Random(3)
+    assert all(m.bit_count() >= 16 and (1 << m.bit_count()) >= count / 2 for m in masks)
+    for _ in range(300):
+        change = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not change & m for m in masks)
+
+
+def test_wide_pass_drops_similar_texts_only(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    close = [base[:k] + ["x"] + base[k + 1:] for k in (50, 150, 250)]
+    df = plain(spark, [" ".join(base), *map(" ".join, close), " ".join(base[:150] + [f"v{k}" for k in range(150)])])
+    within = {i for i, w in enumerate(close, 1) if (fingerprint(" ".join(w)) ^ fingerprint(" ".join(base))).bit_count() <= 5}
+    assert within and set(range(5)) - {r["doc_id"] for r in keep_representatives(df, wide=5).collect()} >= within
+    assert 4 in {r["doc_id"] for r in keep_representatives(df, wide=5).collect()}
+    pairs = spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, other_id long")
+    assert rows_of(similar_pairs(df, pairs, 5, 0.8), "doc_id") == [(1,)]
+
+
 def test_one_document_of_each_group_stays(spark):
     df = plain(spark, ["a b c d", "A  b c d", "else where now", None, ""])
     assert rows_of(keep_representatives(df), "doc_id") == [(0,), (2,), (3,)]
