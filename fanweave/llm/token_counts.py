@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices, whole_text
+from .common import durable, text_slices, whole_text
 from .packing import vocabulary
 
-BAND = 1024
+BAND = 256
 #: Longer runs without white space go to the tokenizer whose merging stays near-linear; the ids are the same.
 LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
@@ -70,6 +70,7 @@ def context_totals(histogram: DataFrame, band: int = BAND) -> DataFrame:
     the limit), quantile (share of documents up to the limit). Limits between two lengths follow from the
     next smaller row: ``truncated_at``. An empty histogram gives no rows.
     """
+    histogram = durable(histogram, "length-histogram")  # read twice below, and behind it lies the tokenizer
     rows = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_tokens"), F.floor(F.col("n_tokens") / band).alias("_band"))
     after = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
