@@ -8,6 +8,7 @@ from fanweave.llm.common import durable
 from fanweave.llm.decontam import keep_uncontaminated
 from fanweave.llm.exact_dedup import keep_first_copies
 from fanweave.llm.language import keep_identified
+from fanweave.llm.near_texts import keep_dissimilar
 from fanweave.llm.packing import pack
 from fanweave.llm.simhash import keep_representatives
 
@@ -23,8 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id stays."""
-    return keep_representatives(docs)
+    """Of each component of close fingerprints, the smallest id stays; of these go the texts similar to one of a smaller id."""
+    return keep_dissimilar(durable(keep_representatives(docs), "fingerprint-representatives"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
