@@ -15,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, whole_text, without
 
 #: Trigram buckets of the text model.
 BUCKETS = 1 << 15
-#: Labelled documents from which the text model learns, at most: those with the smallest hashes of their ids.
+#: Labelled documents of each language from which the text model learns, at most: those with the smallest hashes of id and text.
 SAMPLE_DOCS = 4000
 #: Weight of a trigram's log likelihood: neighbours overlap, so they aren't independent evidence.
 TEMPER = 0.3
@@ -59,14 +59,20 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, least_docs: int = 5) -> TextModel:
-    """Smoothed trigram frequencies of the languages with ``least_docs`` labelled documents in the sample.
+    """Smoothed trigram frequencies of the languages with ``least_docs`` labelled documents, counted over all rows.
 
-    The sample is bounded by ``sample_docs``; a language beyond it is unknown. Labels count by their primary
-    subtag. Rows without label or text are passed over; with nothing to learn from, every text is unknown.
+    Each language has a sample of its own, bounded by ``sample_docs``, so that a rare one is learnt at every
+    size of the table. Labels count by their primary subtag. Rows without label or text are passed over; with
+    nothing to learn from, every text is unknown.
     """
     usable = labelled.filter(F.col(lang_col).isNotNull() & (F.length(whole_text(text_col)) > 0))
-    chosen = usable.select(F.col(id_col).alias("_chosen")).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    rows = usable.join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("_chosen"), "left_semi").select(primary_subtag(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
+    usable = usable.select(primary_subtag(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_hash"))
+    sizes = durable(usable.groupBy("lang").agg(F.count("*").alias("_n")).filter((F.col("_n") >= least_docs) & ~F.col("lang").isin("", UNKNOWN)), "language-sizes")
+    # hashes are uniform, so this share holds the sample but for a chance below one in a billion, and few rows beyond it
+    share = F.lit(2.0**64 * (sample_docs + 6 * sample_docs**0.5 + 50)) / F.col("_n")
+    near = usable.select("lang", "_hash").join(F.broadcast(sizes), "lang").filter(F.col("_hash").cast("double") + F.lit(2.0**63) <= share)
+    last = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))).filter(F.col("_k") <= sample_docs).groupBy("lang").agg(F.max("_hash").alias("_last"))
+    rows = usable.join(F.broadcast(durable(last, "language-samples")), "lang").filter(F.col("_hash") <= F.col("_last")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +86,11 @@ def fit_text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    sums = {}
-    for lang, bucket, n in zip(*(counted.column(c).to_pylist() for c in ("lang", "bucket", "n"))):
-        sums.setdefault(lang, np.zeros(BUCKETS + 1))[bucket] = n
-    languages = sorted(x for x, n in sums.items() if n[BUCKETS] >= least_docs and x not in ("", UNKNOWN))
+    labels = counted.column("lang").combine_chunks().dictionary_encode()
+    table = np.zeros((len(labels.dictionary), BUCKETS + 1))
+    table[labels.indices.to_numpy(), counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    sums = dict(zip(labels.dictionary.to_pylist(), table))
+    languages = sorted(sums)
     columns = [np.log((sums[x][:BUCKETS] + 0.05) / (sums[x][:BUCKETS].sum() + 0.05 * BUCKETS)) for x in languages]
     return TextModel([*languages, UNKNOWN], np.stack([*columns, np.full(BUCKETS, -np.log(BUCKETS))], axis=1).astype(np.float32))
 
