@@ -4,9 +4,9 @@ Counts of all training tokens come from a grouped aggregation. The most frequent
 symbols of their own; all other words fall into classes by their spelling. The output is factored: a
 softmax over classes, then a softmax within each head class, or the smoothed relative frequency of the
 word within its spelling class. The recurrent weights are fitted by truncated backpropagation in every
-task, over a share of its training documents that a hash of the id picks, and averaged over tasks; the
-share is of the input, so more data means more fitting. Scoring runs documents side by side and carries
-each one's state from window to window up to its end.
+task, over all its training documents (or a share that a hash of the id picks), and averaged over tasks, so
+more data means more fitting. Scoring runs documents side by side and carries each one's state from window
+to window up to its end.
 
 Counts of frequent words (a bounded number) are broadcast; those of rare words come by a join.
 """
@@ -43,7 +43,7 @@ class Settings:
     window: int = 16
     lanes: int = 32
     rate: float = 0.05
-    share: float = 0.04
+    share: float = 1.0
     rounds: int = 2
     frequent: int = 200_000
     seed: int = 7
