@@ -1,11 +1,14 @@
 """SimHash near-duplicates through BK-trees.
 
 Copies collapse first: one row per distinct fingerprint goes on. Fingerprints within ``radius`` bits agree
-under at least one of a few masks, so each masked value selects a shard. A shard's fingerprints form
-a BK-tree, children keyed by their integer Hamming distance to the parent, and a search follows only the
-edges within the radius. Shards of more than ``shard_size`` fingerprints are split: every part has a tree
-of its own, sent to all blocks of the shard's fingerprints. A shard passes on a spanning forest of the
-links it finds, not all pairs; components come from contracting that graph.
+on at least one of a few masks, and each masked value selects a shard, so only the trees of a fingerprint's
+own shards are asked for its neighbours. The first masks have so few bits that a shard holds about a
+thousand fingerprints, whatever the table's size. A shard's fingerprints form one BK-tree, children keyed by
+their integer Hamming distance to the parent, built in the task that all its queries go to; a search follows
+only the edges within the radius. Shards of more than ``shard_size`` fingerprints go on to the next level,
+whose masks have more bits, down to shards that can't be larger. So a fingerprint meets a bounded number of
+trees of bounded size. A shard passes on a spanning forest of the links it finds, not all pairs; components
+come from contracting that graph.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, key_filter, maybe_in, whole_text, without
+from .common import durable, whole_text, without
 
-SHINGLE, RADIUS, SHARD_SIZE, SEED = 3, 2, 1000, 42
+SHINGLE, RADIUS, SHARD_SIZE, SEED = 3, 2, 4096, 42
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -42,63 +45,55 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 class BKTree:
-    """Integers under Hamming distance. ``nodes`` holds [value, {distance: child}]."""
-
-    def __init__(self, values: list[int]):
-        self.root = None
-        for value in values:
-            self.add(value)
-
-    def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = (value, {})
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ value).bit_count()
-            if not d:
-                return
-            child = node[1].get(d)
-            if child is None:
-                node[1][d] = (value, {})
-                return
-            node = child
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """The values at most ``radius`` bits from ``value``."""
-        found, stack = [], [self.root] if self.root else []
-        while stack:
-            own, children = stack.pop()
-            d = (own ^ value).bit_count()
-            if d <= radius:
-                found.append(own)
-            if children:
-                for edge in range(d - radius, d + radius + 1):
-                    if edge in children:
-                        stack.append(children[edge])
-        return found
-
-
-def _forest(tree: list[int], queries: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links (value, smallest value of its local component) among the queries and the tree's values."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    index = BKTree(tree)
-    for value in queries:
-        for other in index.within(value, radius):
-            a, b = top(value), top(other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    for value in parent:
-        root = top(value)
-        if root != value:
-            yield value, root
+    """64-bit integers under Hamming distance; ``children[node, distance]`` is the child at that distance, or -1."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values = np.unique(values.astype(np.uint64))
+        self.children = np.full((max(1, len(values)), 65), -1, dtype=np.int32)
+        self.followed = 0
+        # all values start at the root and sink together: of those at the same distance from their node the
+        # first becomes the child, the others go on from it
+        node = np.zeros(len(values), dtype=np.int64)
+        left = np.arange(1, len(values))
+        while len(left):
+            at, d = node[left], np.bitwise_count(values[left] ^ values[node[left]]).astype(np.int64)
+            _, first = np.unique(at * 65 + d, return_index=True)
+            free = first[self.children[at[first], d[first]] < 0]
+            self.children[at[free], d[free]] = left[free]
+            node[left] = self.children[at, d]
+            left = left[node[left] != left]
+
+    def within(self, queries: np.ndarray, radius: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, values) by their places, at most ``radius`` bits apart; ``followed`` counts the edges taken."""
+        steps = np.arange(-radius, radius + 1)
+        for start in range(0, len(queries) if len(self.values) else 0, block):
+            ask = np.arange(start, min(start + block, len(queries)))
+            node = np.zeros(len(ask), dtype=np.int64)
+            while len(ask):
+                d = np.bitwise_count(queries[ask] ^ self.values[node]).astype(np.int64)
+                near = d <= radius
+                yield ask[near], node[near]
+                edge = d[:, None] + steps
+                child = np.where((edge >= 1) & (edge <= 64), self.children[node[:, None], np.clip(edge, 0, 64)], -1)
+                at, way = np.nonzero(child >= 0)
+                ask, node = ask[at], child[at, way].astype(np.int64)
+                self.followed += len(ask)
+
+
+def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, smallest value of its component) of the distinct values that aren't their component's smallest."""
+    tree = BKTree(values)
+    label = np.arange(len(tree.values))
+    for a, b in tree.within(tree.values, radius):
+        while len(a):
+            a, b = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, a, b)
+            while (label[label] != label).any():
+                label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return tree.values[moved], tree.values[label[moved]]
 
 
 def _bits(value: int) -> int:
@@ -117,56 +112,70 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(digest, "doc_id long, fp long")
 
 
-def shard_masks(radius: int, count: int) -> list[int]:
-    """Bit masks of which fingerprints within ``radius`` bits share at least one masked value.
+def shard_masks(radius: int, blocks: int, bits: int = 64) -> list[int]:
+    """Bit masks of which fingerprints within ``radius`` bits agree on at least one.
 
-    The bits fall into blocks, of which ``radius`` changes spoil ``radius`` at most; a mask leaves so many
-    out. There are as many blocks as it takes for a mask to tell ``count`` fingerprints apart.
+    The 64 bits fall into blocks, of which ``radius`` changes spoil ``radius`` at most; a mask leaves that
+    many out, and uses the lowest ``bits`` of every other block.
     """
-    blocks = radius + 1
-    while blocks < 64 and 64 * (blocks - radius) < blocks * max(16, count.bit_length() - 1):
-        blocks += 1
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(blocks)]
-    return [sum(kept) for kept in combinations(parts, blocks - radius)]
+    parts = [((1 << min(bits, stop - start)) - 1) << start for start, stop in zip(cuts, cuts[1:])]
+    return sorted({sum(kept) for kept in combinations(parts, blocks - radius)})
+
+
+def mask_levels(radius: int, count: int, shard_size: int) -> list[list[int]]:
+    """The masks of each level. The first suit ``count`` fingerprints; under the last, a shard has 4,096 values at most."""
+    if not 0 <= radius <= 3:
+        raise ValueError("fingerprints link at 0 to 3 differing bits")
+    if not radius:
+        return [[(1 << 64) - 1]]
+    few = max(0, (4 * count // shard_size).bit_length())
+    blocks, levels = radius + 1, [shard_masks(radius, radius + 1, few)] if few < 64 // (radius + 1) else []
+    while True:
+        levels.append(shard_masks(radius, blocks))
+        if 64 - min(m.bit_count() for m in levels[-1]) <= 12:
+            return levels
+        blocks = blocks + blocks // 2
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """Links (a, b), b < a, that span the components of distinct fingerprints ``fp`` within ``radius`` bits."""
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_bits(mask))).alias("value")) for k, mask in enumerate(shard_masks(radius, prints.count()))])
-    keyed = prints.select("fp", F.explode(keys).alias("key")).select("key.band", "key.value", "fp")
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / shard_size).cast("int")
-    shards = keyed.join(sizes, ["band", "value"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # every fingerprint goes into its own part's tree and queries the trees of the parts from its own on
-    sent = shards.select("band", "value", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).filter("part >= own")
-    sent = sent.select("band", "value", "part", "own", "fp")
-    # a block of queries needs its tree beside it, so trees are sent along with each block that asks them
-    trees = shards.filter("parts > 1").select("band", "value", F.col("own").alias("part"), "fp", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("own")).filter("own < part")
-    rows = sent.select("*", F.lit(False).alias("node")).unionByName(trees.withColumn("node", F.lit(True)))
-    dealt = rows.repartition("band", "value", "part", "own").sortWithinPartitions("band", "value", "part", "own")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, now, nodes, asks, links = (1 << 64) - 1, None, [], [], []
+        now, own = None, []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_bits(x) for x, _ in links], pa.int64()), pa.array([_bits(y) for _, y in links], pa.int64())], names=["a", "b"])
-            links.clear()
-            return out
+        def links() -> pa.RecordBatch:
+            a, b = _forest(np.concatenate(own), radius) if own else (np.zeros(0, np.uint64),) * 2
+            own.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "value", "part", "own", "fp", "node")]
-            for band, value, part, own, fp, node in zip(*columns):
-                if (key := (band, value, part, own)) != now:
-                    links.extend(_forest(nodes or asks, asks, radius))
-                    now, nodes, asks = key, [], []
-                (nodes if node else asks).append(fp & mask)
-            if len(links) > 10_000:
-                yield flush()
-        links.extend(_forest(nodes or asks, asks, radius))
-        yield flush()
-
-    return dealt.mapInArrow(search, "a long, b long")
+            band, value, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "value", "fp"))
+            new = np.flatnonzero((band[1:] != band[:-1]) | (value[1:] != value[:-1])) + 1
+            for start, stop in zip([0, *new.tolist()], [*new.tolist(), len(fp)]):
+                if stop > start and (key := (int(band[start]), int(value[start]))) != now:
+                    yield links()
+                    now = key
+                own.append(fp[start:stop].view(np.uint64))
+        yield links()
+
+    levels = mask_levels(radius, prints.count(), shard_size)
+    alive, found = prints.select("fp"), []
+    for k, masks in enumerate(levels):
+        keys = F.array(*[F.struct(F.lit(band).alias("band"), F.col("fp").bitwiseAND(F.lit(_bits(mask))).alias("value")) for band, mask in enumerate(masks)])
+        keyed = alive.select("fp", F.explode(keys).alias("key")).select("key.band", "key.value", "fp")
+        sizes = durable(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "shard-sizes")
+        fits = F.col("n") <= shard_size if k + 1 < len(levels) else F.lit(True)
+        shards = keyed.join(sizes.filter(fits), ["band", "value"]).select("band", "value", "fp")
+        found.append(shards.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(search, "a long, b long"))
+        crowded = sizes.filter(~fits)
+        if crowded.isEmpty():
+            break
+        alive = durable(keyed.join(crowded.select("band", "value"), ["band", "value"]).select("fp").distinct(), "crowded-shards")
+    links = found[0]
+    for part in found[1:]:
+        links = links.unionByName(part)
+    return links
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -178,11 +187,12 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     edges = durable(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, for Spark can split the partition of a hub only between plain scans
+        low = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
         # large star: larger neighbours of a node move to the smallest of its neighbourhood
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = durable(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
         # small star: smaller neighbours of a node, and itself, move to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = durable(large.groupBy("a").agg(F.min("b").alias("m")), label)
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("s"), "m")
         after = durable(small.select(F.col("s.x").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), label)
         moved = after.count() != edges.count() or after.join(edges, ["a", "b"], "left_anti").limit(1).count()
@@ -206,52 +216,18 @@ def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, shard_size: int
     """(doc_id, fp) with ``component_id``; ``prints`` is a written table."""
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = components(fingerprint_links(distinct.select("fp"), radius, shard_size), "fingerprint-links")
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = durable(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    firsts = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     classes = durable(rooted.join(firsts, "root").select("fp", "component_id"), "fingerprint-classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of ``pairs`` (doc_id, other_id), those whose sets of word shingles have a Jaccard similarity of ``least`` or more.
-
-    ``docs`` has doc_id and text. Only documents in pairs are shuffled: a bitmap clears the others.
-    """
-    ids = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
-    near = maybe_in(docs, F.col("doc_id"), key_filter(ids, "doc_id"), "_maybe").filter("_maybe").select("doc_id", "text")
-    texts = durable(near.join(ids, "doc_id"), "paired-texts")
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other")), "other_id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(text: str) -> set[tuple[bytes, ...]]:
-            words = text.encode().lower().split()
-            return set(zip(*[words[i:] for i in range(shingle)])) or {tuple(words)}
-
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("text"), batch.column("other")):
-                a, b = cut(one.as_py()), cut(two.as_py())
-                keep.append(len(a & b) >= least * len(a | b))
-            yield batch.select(["doc_id", "other_id"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("doc_id", "other_id", "text", "other").mapInArrow(compare, "doc_id long, other_id long")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, wide: int = 0, least_similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns. Rows that repeat an id are one document.
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns: of each component the smallest id stays.
 
-    Of each component within ``radius`` bits the smallest id stays. A ``wide`` radius adds a second pass: of
-    what stays, components within ``wide`` bits are formed, and a document goes if its five-word shingles are
-    similar enough to those of its component's smallest id. A dense cluster of n texts within that radius
-    makes the second pass send about n * n / shard size rows to the shards' trees, so it is off unless asked for.
+    Rows that repeat an id are one document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    prints = durable(fingerprints(rows, shingle=shingle), "fingerprints")
+    classes = fingerprint_classes(durable(fingerprints(rows, shingle=shingle), "fingerprints"), radius)
     other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = durable(fingerprint_classes(prints, radius).select("doc_id", "fp", "component_id"), "narrow-classes")
-    gone = first.filter(other).select("doc_id")
-    if wide > radius:
-        rest = durable(first.filter(~other).select("doc_id", "fp").distinct(), "narrow-representatives")
-        pairs = durable(fingerprint_classes(rest, wide).filter(other).select("doc_id", F.col("component_id").alias("other_id")), "wide-pairs")
-        gone = gone.union(similar_pairs(rows, pairs, 5, least_similarity).select("doc_id"))
-    return without(docs, [F.col(id_col).cast("long")], durable(gone, "near-copies"))
+    return without(docs, [F.col(id_col).cast("long")], durable(classes.filter(other).select("doc_id"), "near-copies"))
