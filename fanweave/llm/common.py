@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and the five controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Bits of a membership filter; 256 rows of 4 KB, 1 MB in all, however many keys go in.
-FILTER_BITS = 1 << 23
+#: A membership filter has BITS_PER_KEY bits for every key, and MOST_FILTER_BITS (32 MB, which may be broadcast) at most.
+BITS_PER_KEY, MOST_FILTER_BITS = 16, 1 << 28
 _PAGE_BITS = 1 << 15
 
 
@@ -66,25 +67,42 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the hashed ``key`` values: at most 256 rows of 4 KB, so it may be broadcast."""
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    return (
-        keys.select(bit.alias("bit")).distinct()
-        .groupBy(F.floor(F.col("bit") / _PAGE_BITS).cast("int").alias("__fw_page"))
+@dataclass(frozen=True)
+class KeyFilter:
+    """Which hashed keys occur: ``pages`` of 4 KB each, ``bits`` in all."""
+
+    pages: DataFrame
+    bits: int
+
+
+def key_filter(keys: DataFrame, key: str, most_bits: int = MOST_FILTER_BITS) -> KeyFilter:
+    """A bitmap of the hashed ``key`` values, sized from their number so that one in ``BITS_PER_KEY`` others passes, or fewer.
+
+    ``most_bits`` bounds what is broadcast. Beyond ``most_bits / BITS_PER_KEY`` keys more others pass, which
+    costs their shuffle but no result: whoever probes the filter checks the exact keys of what passes.
+    """
+    hashes = durable(keys.select(F.xxhash64(key).alias("hash")).distinct(), "key-hashes")
+    bits = _PAGE_BITS
+    n = hashes.count()
+    while bits < min(most_bits, BITS_PER_KEY * n):
+        bits *= 2
+    bit = F.pmod(F.col("hash"), F.lit(bits))
+    pages = (
+        hashes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _PAGE_BITS).cast("int").alias("__fw_page"))
         .agg(F.bitmap_construct_agg(F.col("bit") % _PAGE_BITS).alias("__fw_bits"))
     )
+    return KeyFilter(pages, bits)
 
 
-def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataFrame:
+def maybe_in(df: DataFrame, key: Column, keys: KeyFilter, flag: str) -> DataFrame:
     """``df`` with the boolean ``flag``: false only where ``key`` is certainly not in the filter.
 
     ``key`` must hash as the filter's key did. No row is dropped or moved: the filter is broadcast.
     """
-    at = df.withColumn("__fw_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("__fw_page", F.floor(F.col("__fw_bit") / _PAGE_BITS).cast("int"))
+    at = df.withColumn("__fw_bit", F.pmod(F.xxhash64(key), F.lit(keys.bits))).withColumn("__fw_page", F.floor(F.col("__fw_bit") / _PAGE_BITS).cast("int"))
     byte = F.expr(f"cast(conv(hex(substring(__fw_bits, cast((__fw_bit % {_PAGE_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
     hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__fw_bit % 8 as int))")) != 0, F.lit(False))
-    return at.join(F.broadcast(bitmap), "__fw_page", "left").withColumn(flag, hit).drop("__fw_page", "__fw_bit", "__fw_bits")
+    return at.join(F.broadcast(keys.pages), "__fw_page", "left").withColumn(flag, hit).drop("__fw_page", "__fw_bit", "__fw_bits")
 
 
 def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:

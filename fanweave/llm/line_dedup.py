@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs (DataFrame operations only).
 
-A run is a Parquet table bucketed and sorted by line hash, with the number of documents that hold the
-line and the largest of their ids. Each batch of documents merge-anti-joins the runs: lines that no
-run has yet form its fresh part, the others are increments; both make up the batch's own run on level 0.
-When a level holds ``fan`` runs they are compacted into one run of the next level.
+A run is a table bucketed and sorted by line hash, with the number of documents that hold the line and
+the largest of their ids. Each batch of documents merge-anti-joins the runs: a line that no run owns yet
+becomes a row that the batch's own run owns; of a line that an earlier run owns, the batch's run holds an
+increment only. So every line has one owner, and the totals are the owners' rows with the increments of
+later runs added. When a level holds ``fan`` runs they are compacted into one run of the next level.
 
 Documents are dealt to batches by a hash of their id, so an id counts once however often it is repeated.
 """
@@ -15,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable, lower_ascii, shared_dir, whole_text
+from .common import SPACES, durable, key_filter, lower_ascii, maybe_in, whole_text
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -27,9 +28,9 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (line hash, documents, largest id), kept in the shared folder.
+    """Levelled sorted runs of (line hash, documents, largest id, owned), as managed tables of the session's catalog.
 
-    The driver holds the names of the runs only: at most ``fan`` of each level.
+    The driver holds the names of the runs only: at most ``fan`` of each level. ``close`` drops them.
     """
 
     def __init__(self, spark: SparkSession, fan: int = 3, buckets: int | None = None):
@@ -39,11 +40,10 @@ class LineRuns:
 
     def _write(self, df: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
-        (df.repartition(self.buckets, "line").write.bucketBy(self.buckets, "line").sortBy("line")
-         .option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name))
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
+        df.repartition(self.buckets, "line").write.bucketBy(self.buckets, "line").sortBy("line").saveAsTable(name)
 
     def runs(self) -> list[DataFrame]:
         """Every run, the oldest and largest first."""
@@ -52,40 +52,48 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Merge a batch of (line, doc) rows in. An id must not occur in more than one batch."""
         batch = durable(lines.groupBy("line").agg(F.countDistinct("doc").alias("docs"), F.max("doc").alias("last")), "line-batch")
-        fresh = batch
+        new = batch
         for run in self.runs():
-            fresh = fresh.join(run.filter("fresh").select("line"), "line", "left_anti")
-        marks = fresh.select("line", F.lit(True).alias("fresh"))
-        self._write(batch.join(marks, "line", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))), 0)
+            new = new.join(run.filter("owned").select("line"), "line", "left_anti")
+        marks = new.select("line", F.lit(True).alias("_new"))
+        self._write(batch.join(marks, "line", "left").select("line", "docs", "last", F.col("_new").isNotNull().alias("owned")), 0)
         level = 0
         while len(self.levels[level]) >= self.fan:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
-        """Replace a full level by one run of the next: counts add up, and a line that was fresh once is fresh."""
-        full, self.levels[level] = self.levels[level], []
-        self._write(self._merged([self.spark.table(name) for name in full]), level + 1)
+        """Replace a full level by one run of the next: increments go into the row that owns the line, if it is among these runs."""
+        full = self.levels[level]
+        merged = self.spark.table(full[0])
+        for name in full[1:]:  # full merge joins of sorted runs with equal buckets, so nothing is shuffled
+            other = self.spark.table(name).select("line", F.col("docs").alias("_docs"), F.col("last").alias("_last"), F.col("owned").alias("_owned"))
+            merged = merged.join(other, "line", "full").select("line", *self._summed(), (F.coalesce("owned", F.lit(False)) | F.coalesce("_owned", F.lit(False))).alias("owned"))
+        self._write(merged, level + 1)
+        self.levels[level] = []
         for name in full:
             self.spark.sql(f"DROP TABLE {name}")
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        # full merge joins of sorted runs with equal buckets, so nothing is shuffled; a run has a line once
-        rows = runs[0]
-        for run in runs[1:]:
-            other = run.select("line", F.col("docs").alias("_docs"), F.col("last").alias("_last"), F.col("fresh").alias("_fresh"))
-            rows = rows.join(other, "line", "full").select(
-                "line", (F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))).alias("docs"), F.greatest("last", "_last").alias("last"),
-                (F.coalesce("fresh", F.lit(False)) | F.coalesce("_fresh", F.lit(False))).alias("fresh"))
-        return rows
+    def _summed() -> tuple[Column, Column]:
+        return (F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))).alias("docs"), F.greatest("last", "_last").alias("last")
 
     def totals(self) -> DataFrame:
-        """(line, docs, last) over all runs."""
-        return self._merged(self.runs()).select("line", "docs", "last")
+        """(line, docs, last) over all runs: each owner's row, with the increments that the runs after it hold."""
+        runs, parts = self.runs(), []
+        for k, run in enumerate(runs):
+            rows = run.filter("owned").select("line", "docs", "last")
+            for later in runs[k + 1:]:
+                more = later.filter("NOT owned").select("line", F.col("docs").alias("_docs"), F.col("last").alias("_last"))
+                rows = rows.join(more, "line", "left").select("line", *self._summed())
+            parts.append(rows)
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def close(self) -> None:
-        """Forget the runs."""
+        """Drop the runs."""
         for level in self.levels:
             for name in level:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -95,11 +103,12 @@ class LineRuns:
 def repeated_lines(lines: DataFrame, least_docs: int = LEAST_DOCS, batches: int = 4, fan: int = 3) -> DataFrame:
     """(line, last) of the lines that at least ``least_docs`` documents hold, out of (line, doc) rows."""
     runs = LineRuns(lines.sparkSession, fan)
-    for k in range(batches):
-        runs.add(lines.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k).select("line", "doc"))
-    found = durable(runs.totals().filter(F.col("docs") >= least_docs).select("line", "last"), "line-totals")
-    runs.close()
-    return found
+    try:
+        for k in range(batches):
+            runs.add(lines.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k).select("line", "doc"))
+        return durable(runs.totals().filter(F.col("docs") >= least_docs).select("line", "last"), "line-totals")
+    finally:
+        runs.close()
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4, fan: int = 3) -> DataFrame:
@@ -118,9 +127,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     repeated = repeated_lines(lines, least_docs, batches, fan)
     lost = lines.join(repeated, "line").filter(~F.col("doc").eqNullSafe(F.col("last")))
-    drops = lost.groupBy("doc", "_row").agg(F.collect_set("pos").alias("_drops"))
-    drops = drops.select(F.col("doc").alias("_doc"), F.col("_row").alias("_hash"), "_drops")
-    joined = rows.select("doc", "_row", "_text").join(drops, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left")
+    drops = durable(lost.groupBy("doc", "_row").agg(F.collect_set("pos").alias("_drops")), "line-drops")
+
+    # rows that lose no line pass from the scan; only texts that may lose one are shuffled
+    texts = rows.select("doc", "_row", "_text")
+    keys = key_filter(drops.select(F.struct("doc", "_row").alias("_key")), "_key")
+    probed = maybe_in(texts, F.struct("doc", "_row"), keys, "_maybe")
+    own = drops.select(F.col("doc").alias("_doc"), F.col("_row").alias("_hash"), "_drops")
+    near = probed.filter("_maybe").join(own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left")
+    joined = probed.filter("NOT _maybe").select("doc", "_text", F.lit(None).cast("array<int>").alias("_drops")).unionByName(near.select("doc", "_text", "_drops"))
     joined = joined.withColumn("_lines", F.split("_text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
     kept = F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
