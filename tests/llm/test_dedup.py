@@ -2,12 +2,16 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fanweave.llm.exact_dedup import exact_duplicates, keep_first_copies
 from fanweave.llm.line_dedup import LineRuns, drop_repeated_lines
-from fanweave.llm.simhash import BKTree, components, fingerprint, fingerprint_links, keep_representatives, near_duplicates, shard_masks, similar_pairs
+from fanweave.llm import simhash
+from fanweave.llm.common import key_filter, maybe_in
+from fanweave.llm.simhash import BKTree, components, fingerprint, fingerprint_links, keep_representatives, mask_levels, near_duplicates
 
 from .fixtures import SCHEMA, documents, frame, plain, rows_of
 
@@ -99,10 +103,36 @@ def test_runs_count_a_line_over_all_batches_and_compact(spark):
         runs.add(spark.createDataFrame(batch, "line long, doc long"))
     assert rows_of(runs.totals(), "line", "docs", "last") == [(1, 4, 5), (2, 1, 1), (3, 1, 2), (4, 1, 4)]
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert runs.runs()[0].filter("fresh").count() == 4
+    assert runs.runs()[0].filter("owned").count() == 4
     runs.close()
 
 
+def test_the_anti_join_gives_every_line_one_owner(spark):
+    runs = LineRuns(spark, fan=9)
+    for batch in ([(1, 1), (2, 1)], [(1, 2), (3, 2)], [(1, 3), (3, 4)], [(1, 5)]):
+        runs.add(spark.createDataFrame(batch, "line long, doc long"))
+    owned = [sorted(r["line"] for r in run.filter("owned").collect()) for run in runs.runs()]
+    assert owned == [[1, 2], [3], [], []]
+    assert rows_of(runs.totals(), "line", "docs", "last") == [(1, 4, 5), (2, 1, 1), (3, 2, 4)]
+    names = [name for level in runs.levels for name in level]
+    runs.close()
+    assert not any(spark.catalog.tableExists(name) for name in names)
+
+
+@pytest.mark.parametrize("n", [10, 3_000, 200_000])
+def test_key_filters_grow_with_their_keys(spark, n):
+    keys = key_filter(spark.range(n).withColumnRenamed("id", "k"), "k")
+    passed = maybe_in(spark.range(2 * n).withColumnRenamed("id", "k"), F.col("k"), keys, "maybe").filter("maybe")
+    assert passed.filter(f"k < {n}").count() == n
+    assert passed.filter(f"k >= {n}").count() <= max(1, n // 10)
+
+
+def test_a_full_key_filter_clears_less_but_loses_nothing(spark):
+    keys = key_filter(spark.range(100_000).withColumnRenamed("id", "k"), "k", most_bits=1 << 15)
+    assert keys.bits == 1 << 15
+    assert maybe_in(spark.range(100_000).withColumnRenamed("id", "k"), F.col("k"), keys, "maybe").filter("maybe").count() == 100_000
+
+
 def brute_fingerprint(text, k=3):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     if not w:
@@ -142,7 +172,8 @@ def test_near_duplicates_match_brute_force(spark):
     assert rows_of(near_duplicates(frame(spark)), "doc_id", "fingerprint", "component_id") == want
 
 
-def test_links_span_components_when_shards_are_split(spark):
+@pytest.mark.parametrize("shard_size", [2, 40, 4096])
+def test_links_span_components_when_shards_are_split(spark, shard_size):
     import random
 
     rng = random.Random(5)
@@ -150,9 +181,9 @@ def test_links_span_components_when_shards_are_split(spark):
     for _ in range(12):
         centre = rng.getrandbits(64)
         values |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(25)} | {centre}
-    values |= {v & ~0x3FFFFF | 5 for v in list(values)[:80]}  # a band that many share
+    values |= {v & ~0x3FFFFF | 5 for v in sorted(values)[:80]}  # a band that many share
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), shard_size=7)
+    links = fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), shard_size=shard_size)
     found = {r["node"]: r["root"] for r in components(links).collect()}
     want = brute_components(values, 2)
     mine = defaultdict(set)
@@ -171,41 +202,60 @@ def test_long_chains_contract(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
 
 
-def test_bk_tree_finds_all_within():
-    import random
+@pytest.mark.parametrize("bits,radius", [(12, 2), (64, 2), (16, 0), (10, 3)])
+def test_bk_tree_finds_all_within(bits, radius):
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << bits, 300, dtype=np.uint64)
+    tree, asked = BKTree(values), rng.integers(0, 1 << bits, 60, dtype=np.uint64)
+    got = sorted((int(a), int(tree.values[b])) for x, y in tree.within(asked, radius, block=7) for a, b in zip(x, y))
+    assert got == sorted((i, v) for i, q in enumerate(asked.tolist()) for v in set(values.tolist()) if (q ^ v).bit_count() <= radius)
+    # a child's place is its distance to the parent, and every value but the root is one child
+    kids = [(n, d, c) for n, row in enumerate(tree.children) for d, c in enumerate(row) if c >= 0]
+    assert sorted(c for _, _, c in kids) == list(range(1, len(tree.values)))
+    assert all((int(tree.values[n]) ^ int(tree.values[c])).bit_count() == d for n, d, c in kids)
 
-    rng = random.Random(2)
-    values = [rng.getrandbits(12) for _ in range(300)]
-    tree = BKTree(values)
-    for q in values[:40]:
-        assert sorted(tree.within(q, 2)) == sorted({v for v in values if (v ^ q).bit_count() <= 2})
 
+def test_a_search_follows_few_edges():
+    tree = BKTree(np.random.default_rng(4).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    assert sum(len(a) for a, _ in tree.within(tree.values, 2)) == 1000
+    assert tree.followed < 100 * 1000  # of 999 edges that comparing with every value would take
 
-@pytest.mark.parametrize("radius,count", [(1, 10), (2, 10**6), (3, 10**5), (5, 300_000), (6, 10**4)])
-def test_masks_leave_close_values_together(radius, count):
-    import random
 
-    masks, rng = shard_masks(radius, count), random.Random(3)
-    assert all(m.bit_count() >= 16 and (1 << m.bit_count()) >= count / 2 for m in masks)
-    for _ in range(300):
-        change = sum(1 << b for b in rng.sample(range(64), radius))
-        assert any(not change & m for m in masks)
+def test_empty_trees_find_nothing():
+    assert not list(BKTree(np.zeros(0, np.uint64)).within(np.arange(3, dtype=np.uint64), 2))
 
 
-def test_wide_pass_drops_similar_texts_only(spark):
+@pytest.mark.parametrize("radius,count", [(0, 9), (1, 10), (2, 10**6), (2, 10**12), (3, 10**5)])
+def test_masks_leave_close_values_together_and_bound_the_last_shards(radius, count):
     import random
 
-    rng = random.Random(4)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-    close = [base[:k] + ["x"] + base[k + 1:] for k in (50, 150, 250)]
-    df = plain(spark, [" ".join(base), *map(" ".join, close), " ".join(base[:150] + [f"v{k}" for k in range(150)])])
-    within = {i for i, w in enumerate(close, 1) if (fingerprint(" ".join(w)) ^ fingerprint(" ".join(base))).bit_count() <= 5}
-    assert within and set(range(5)) - {r["doc_id"] for r in keep_representatives(df, wide=5).collect()} >= within
-    assert 4 in {r["doc_id"] for r in keep_representatives(df, wide=5).collect()}
-    pairs = spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, other_id long")
-    assert rows_of(similar_pairs(df, pairs, 5, 0.8), "doc_id") == [(1,)]
+    rng = random.Random(3)
+    levels = mask_levels(radius, count, 4096)
+    assert all(64 - m.bit_count() <= 12 for m in levels[-1]) and len(levels[-1]) < 1000
+    for masks in levels:
+        for _ in range(200):
+            change = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not change & m for m in masks)
+    with pytest.raises(ValueError):
+        mask_levels(4, 10, 4096)
+
+
+def test_links_come_from_the_trees(spark, monkeypatch):
+    """With trees that find nothing there are no links: no other path makes them."""
+    values = spark.createDataFrame([(v,) for v in (1, 3, 7, (1 << 40) - 1)], "fp long")
+    assert components(fingerprint_links(values)).count() == 2
+    shards = mask_levels(2, 4, 4096)[0]
+    assert len(shards) == 1  # so few fingerprints share one shard, whose tree has all of them
+    monkeypatch.setattr(simhash, "_forest", lambda values, radius: (np.zeros(0, np.uint64),) * 2)
+    assert fingerprint_links(values).count() == 0
 
 
 def test_one_document_of_each_group_stays(spark):
     df = plain(spark, ["a b c d", "A  b c d", "else where now", None, ""])
     assert rows_of(keep_representatives(df), "doc_id") == [(0,), (2,), (3,)]
+
+
+def test_only_rows_with_company_are_hashed_in_the_filter(spark):
+    rows = [(1, "a b"), (2, "a  b"), (1, "a\tb"), (1, "a b"), (3, "other"), (None, "c d"), (None, "c  d"), (4, None), (4, "")]
+    kept = keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, norm(r["text"])) for r in kept.collect()) == [(0, "c d"), (1, "a b"), (3, "other"), (4, "")]
