@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 BAND = 4096
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, band: int = BAND) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to and including this one, in ascending ``order`` (unique integers)."""
-    rows = df.withColumns({"__band": F.floor(F.col(order) / band), "__value": value.cast("long")})
+def running_sums(df: DataFrame, order: str, values: dict[str, Column], band: int = BAND) -> DataFrame:
+    """``df`` with, for each name, the sum of its value over all rows up to and including this one, in ascending ``order`` (unique integers)."""
+    rows = df.withColumns({"__band": F.floor(F.col(order) / band)} | {f"__{name}": value.cast("long") for name, value in values.items()})
     before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = rows.groupBy("__band").agg(F.sum("__value").alias("__sum")).select("__band", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    bands = rows.groupBy("__band").agg(*[F.sum(f"__{name}").alias(f"__sum_{name}") for name in values])
+    bands = bands.select("__band", *[F.coalesce(F.sum(f"__sum_{name}").over(before), F.lit(0)).alias(f"__before_{name}") for name in values])
     within = Window.partitionBy("__band").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(bands, "__band").withColumn(name, F.col("__before") + F.sum("__value").over(within)).drop("__band", "__value", "__before")
+    rows = rows.join(bands, "__band").withColumns({name: F.col(f"__before_{name}") + F.sum(f"__{name}").over(within) for name in values})
+    return rows.drop("__band", *[f"__{name}" for name in values], *[f"__before_{name}" for name in values])
+
+
+def running_sum(df: DataFrame, order: str, value: Column, name: str, band: int = BAND) -> DataFrame:
+    """``df`` with the running sum of one value."""
+    return running_sums(df, order, {name: value}, band)
 
 
 def running_max(df: DataFrame, order: str, value: Column, name: str, band: int = BAND) -> DataFrame:

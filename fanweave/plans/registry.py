@@ -480,10 +480,11 @@ de AS (SELECT pl.*, fc.producer_id, CASE WHEN fc.producer_id IS NULL OR o.produc
 _WAVES = f"{P}, {C(SMALL)}, {E_(SMALL)}, {O_(SMALL)}, {_PLACES}, {_DECIDED}"
 
 
-def _decided(spark: SparkSession, d: str) -> DataFrame:
+def _decided(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    """What each edge waits for; of every edge, if none are given."""
     consumers, producers = D.consumers(spark, d, SMALL), D.producers(spark, d)
     owners = topology.owners(producers, SMALL)
-    edges = scheduler.cursor_edges(consumers, SMALL)
+    edges = scheduler.cursor_edges(consumers, SMALL) if edges is None else edges
     facts = owners.filter("partition % 11 <> 3").select("partition", F.lit(1).cast("long").alias("partition_gen"), F.expr("CASE WHEN partition % 13 = 4 THEN producer_id + 1 ELSE producer_id END").alias("producer_id"), F.expr("incarnation + CAST(partition % 17 = 6 AS BIGINT)").alias("producer_incarnation"), F.sha2(F.col("partition").cast("string"), 256).alias("manifest_digest"), (F.col("partition") + 100).alias("total_bytes"))
     m = F.expr("(partition + consumer_id) % 9")
     status = edges.select("partition", "consumer_id", F.when(m == 1, "Completed").when(m == 2, "Failed").otherwise("Pending").alias("phase"), F.lit(0).alias("attempts"), F.when(m == 4, 9).otherwise(0).alias("ready_at"))
@@ -507,17 +508,70 @@ def grants_one_sided(spark: SparkSession, d: str) -> DataFrame:
     return scheduler.grants_one_sided(_decided(spark, d).filter("disposition = 'candidate'"), "producer_id", 3, 12).select("shuffle_id", "step", "partition", "consumer_id", "producer_id")
 
 
-@query()
+# each shuffle's wave begins where an earlier one may have left its cursor
+_CURSORS = f"""cu AS (SELECT shuffle_id, full_pass, shuffle_id * 997 % full_pass AS cursor FROM (SELECT shuffle_id, CAST({SMALL} * (1 + count(DISTINCT canonical_key)) + sum(selected) AS BIGINT) AS full_pass FROM k WHERE state <> 'Withdrawn' GROUP BY 1))"""
+# the wave as a recursion over its examined edges and ends of passes, with all grants so far in lists
+_WAVE_SQL = f"""{_WAVES}, {_CURSORS},
+ev0 AS (SELECT shuffle_id, (step - cursor - 1 + full_pass) % full_pass + 1 + lap * full_pass AS position, step, partition, consumer_id, producer_id, disposition FROM de JOIN cu USING (shuffle_id), range(8) l(lap)
+  UNION ALL SELECT shuffle_id, full_pass - cursor + lap * full_pass, NULL, NULL, NULL, NULL, 'lap' FROM cu, range(8) l(lap)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY shuffle_id ORDER BY position) AS k FROM ev0 WHERE position <= {WAVE.max_examined}),
+wv AS (SELECT shuffle_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS at_lap, false AS done, CAST([] AS BIGINT[]) AS src, CAST([] AS BIGINT[]) AS dst, CAST([] AS BIGINT[]) AS own, 'start' AS outcome,
+    CAST(NULL AS BIGINT) AS step, CAST(NULL AS BIGINT) AS partition, CAST(NULL AS BIGINT) AS consumer_id, CAST(NULL AS BIGINT) AS producer_id FROM cu
+  UNION ALL SELECT shuffle_id, k, position, g + CAST(o = 'granted' AS BIGINT), CASE WHEN o = 'lap' THEN g ELSE at_lap END,
+    o = 'lap' AND g = at_lap OR o = 'limits' AND g >= {WAVE.global_limit} OR o = 'granted' AND g + 1 >= {WAVE.max_grants},
+    CASE WHEN o = 'granted' THEN list_append(src, producer_id) ELSE src END, CASE WHEN o = 'granted' THEN list_append(dst, consumer_id) ELSE dst END, CASE WHEN o = 'granted' THEN list_append(own, partition * 1000000 + consumer_id) ELSE own END,
+    o, step, partition, consumer_id, producer_id
+  FROM (SELECT ev.*, wv.g, wv.at_lap, wv.src, wv.dst, wv.own, CASE WHEN disposition IN ('lap', {", ".join(repr(x) for x in scheduler.EARLY)}) THEN disposition WHEN list_contains(wv.own, ev.partition * 1000000 + ev.consumer_id) THEN 'in_flight'
+      WHEN wv.g >= {WAVE.global_limit} OR len(list_filter(wv.src, lambda x: x = ev.producer_id)) >= {WAVE.per_source} OR len(list_filter(wv.dst, lambda x: x = ev.consumer_id)) >= {WAVE.per_destination} THEN 'limits'
+      WHEN disposition = 'inactive' THEN 'unproduced' WHEN disposition = 'candidate' THEN 'granted' ELSE disposition END AS o
+    FROM wv JOIN ev ON ev.shuffle_id = wv.shuffle_id AND ev.k = wv.k + 1 WHERE NOT wv.done))"""
+_COUNTERS_SQL = f"""wc AS (SELECT shuffle_id, {", ".join(f"count(*) FILTER (outcome = '{name}') AS {name}" for name in ("granted", *scheduler.COUNTED))}, CASE WHEN bool_or(done) THEN max(position) ELSE {WAVE.max_examined} END AS examined, bool_or(outcome = 'lap') AS cursor_wrapped FROM wv GROUP BY 1)"""
+
+
+def _cursors(spark: SparkSession, d: str) -> DataFrame:
+    return scheduler.cursor_steps(D.consumers(spark, d, SMALL), SMALL).select("shuffle_id", F.expr("shuffle_id * 997 % full_pass").alias("cursor"), "full_pass")
+
+
+def _wave(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The edges that a wave of every small shuffle may examine, and the wave."""
+    cursors = _cursors(spark, d)
+    decided = _decided(spark, d, scheduler.wave_edges(D.consumers(spark, d, SMALL), SMALL, cursors, WAVE.max_examined))
+    return decided, scheduler.next_wave(decided, cursors, WAVE)
+
+
+@query(f"""WITH RECURSIVE {_WAVE_SQL} SELECT wv.shuffle_id, wv.partition, wv.consumer_id, wv.position, wv.g AS attempt, wv.step, CAST(1 AS BIGINT) AS partition_gen, wv.producer_id, pinc AS producer_incarnation, c.incarnation AS consumer_incarnation,
+  sha256(CAST(wv.partition AS VARCHAR)) AS manifest_digest, wv.partition + 100 AS total_bytes, CAST(1 AS INTEGER) AS attempt_ordinal FROM wv JOIN fc USING (partition) JOIN c USING (consumer_id) WHERE outcome = 'granted'""")
 def next_wave(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: one wave of every small shuffle, with the identity of every grant."""
-    decided = _decided(spark, d)
-    wave = scheduler.next_wave(decided, WAVE).filter("outcome = 'granted'").drop("outcome", "producer_id")
-    return wave.join(decided.drop("disposition", "step", "canonical_key"), ["shuffle_id", "partition", "consumer_id"])
+    """The flagship: one wave of every small shuffle from its cursor on, with the identity of every grant."""
+    decided, wave = _wave(spark, d)
+    granted = wave.filter("outcome = 'granted'").select("shuffle_id", "partition", "consumer_id", "position", "attempt", "step")
+    return granted.join(decided.drop("disposition", "step", "canonical_key"), ["shuffle_id", "partition", "consumer_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WAVE_SQL}, {_COUNTERS_SQL} SELECT wc.*, (cursor + examined) % full_pass AS cursor, cursor_wrapped AND {" + ".join(x for x in ("granted", *scheduler.COUNTED) if x not in ("completed", "failed"))} = 0 AS all_resolved FROM wc JOIN cu USING (shuffle_id)""")
 def wave_counters(spark: SparkSession, d: str) -> DataFrame:
-    return scheduler.wave_counters(scheduler.next_wave(_decided(spark, d), WAVE))
+    return scheduler.wave_counters(_wave(spark, d)[1])
+
+
+@query(f"""WITH RECURSIVE {_WAVE_SQL}, {_COUNTERS_SQL} SELECT shuffle_id, count(*) OVER w AS waves_planned, CAST(sum(granted) OVER w AS BIGINT) AS grants_issued, CAST(sum(examined) OVER w AS BIGINT) AS edges_examined, CAST(sum(completed + failed) OVER w AS BIGINT) AS edges_skipped_resolved FROM wc WINDOW w AS (ORDER BY shuffle_id)""")
+def scheduler_totals(spark: SparkSession, d: str) -> DataFrame:
+    return scheduler.scheduler_totals(scheduler.wave_counters(_wave(spark, d)[1]), "shuffle_id")
+
+
+@query(f"""WITH {C(SMALL)}, {_CURSORS} SELECT shuffle_id, 1 + shuffle_id % 3 AS topology_gen, CAST(1 AS BIGINT) AS policy_gen, CASE WHEN shuffle_id % 4 = 1 OR 1 + shuffle_id % 3 <> 1 + shuffle_id % 2 THEN 0 ELSE cursor END AS cursor, full_pass FROM cu""")
+def cursor_binding(spark: SparkSession, d: str) -> DataFrame:
+    """Cursors of one topology bound to the next: where the generation moved, or none was kept, a pass begins anew."""
+    kept = _cursors(spark, d).filter("shuffle_id % 4 <> 1").select("shuffle_id", F.expr("1 + shuffle_id % 2").alias("topology_gen"), F.lit(1).cast("long").alias("policy_gen"), "cursor")
+    bound = _cursors(spark, d).select("shuffle_id", F.expr("1 + shuffle_id % 3").alias("topology_gen"), F.lit(1).cast("long").alias("policy_gen"))
+    return scheduler.bind_cursors(kept, bound, D.consumers(spark, d, SMALL), SMALL)
+
+
+@query(f"""WITH {C(SMALL)} SELECT DISTINCT shuffle_id, CASE WHEN shuffle_id % 5 = 4 THEN 'InvalidState' WHEN shuffle_id % 7 = 3 THEN 'PolicyMismatch' WHEN shuffle_id % 3 = 2 THEN 'StaleTopology' ELSE 'Ok' END AS error_code FROM c""")
+def wave_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each shuffle may plan with the topology that is offered to it."""
+    shuffles = D.consumers(spark, d, SMALL).select("shuffle_id").distinct()
+    bound = shuffles.filter("shuffle_id % 5 <> 4").select("shuffle_id", F.lit(1).alias("shuffle_gen"), F.lit(1).alias("topology_gen"))
+    return scheduler.wave_admission(bound, shuffles.select("shuffle_id", F.expr("1 + CAST(shuffle_id % 7 = 3 AS INT)").alias("shuffle_gen"), F.expr("1 + CAST(shuffle_id % 3 = 2 AS INT)").alias("topology_gen")))
 
 
 @query("""WITH g AS (SELECT l_suppkey AS producer_id, l_orderkey % 25 AS consumer_id, l_orderkey % 64 AS shuffle_id, l_orderkey * 10 + l_linenumber AS attempt FROM lineitem WHERE l_returnflag = 'N'), o AS (SELECT DISTINCT shuffle_id, attempt FROM g WHERE attempt % 3 = 0), x AS (SELECT * FROM g ANTI JOIN o USING (shuffle_id, attempt))

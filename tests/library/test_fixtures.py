@@ -196,60 +196,129 @@ def test_hysteresis(spark):
     assert [p for _, p in values(pressure.hysteresis(rows), "tick", "paused")] == [False, True, True, False, False]
 
 
-def wave_of(spark, n, ps, cs, policy, dispositions=None):
-    edges = scheduler.cursor_edges(consumers(spark, cs), n)
+def wave_of(spark, n, ps, cs, policy, cursor=0, done=(), load=None):
+    """A wave from ``cursor``; edges of ``done`` are completed."""
+    people = consumers(spark, cs)
+    cursors = scheduler.cursor_steps(people, n).select("shuffle_id", F.lit(cursor).cast("long").alias("cursor"), "full_pass")
+    edges = scheduler.wave_edges(people, n, cursors, policy.max_examined)
     own = topology.owners(producers(spark, *ps), n).select("partition", "producer_id")
-    decided = edges.join(own, "partition").withColumn("disposition", F.lit("candidate") if dispositions is None else dispositions)
-    return decided, scheduler.next_wave(decided, policy)
+    finished = spark.createDataFrame([(*e, True) for e in done], "partition long, consumer_id long, _done boolean")
+    decided = edges.join(own, "partition").join(finished, ["partition", "consumer_id"], "left").withColumn("disposition", F.when(F.col("_done"), "completed").otherwise("candidate"))
+    return scheduler.next_wave(decided, cursors, policy, load)
 
 
 def test_limits_bound_a_wave(spark):
-    _, wave = wave_of(spark, 64, (1, 2), [all_of(1), all_of(2)], Policy(per_source=2, per_destination=1))
+    wave = wave_of(spark, 64, (1, 2), [all_of(1), all_of(2)], Policy(per_source=2, per_destination=1))
     assert values(wave.filter("outcome = 'granted'"), "partition", "consumer_id") == [(0, 1), (0, 2)]
-    _, wave = wave_of(spark, 32, (1, 2), [all_of(1), all_of(2)], Policy(global_limit=3, per_source=3, per_destination=3))
+    wave = wave_of(spark, 32, (1, 2), [all_of(1), all_of(2)], Policy(global_limit=3, per_source=3, per_destination=3))
     counts = scheduler.wave_counters(wave).first()
     assert counts["granted"] == 3 and counts["limits"] > 0 and not counts["all_resolved"]
+    load = spark.createDataFrame([(1, "source", 1, 2), (1, "destination", 1, 2)], "shuffle_id long, side string, id long, in_flight long")
+    wave = wave_of(spark, 32, (1, 2), [all_of(1), all_of(2)], Policy(global_limit=3, per_source=3, per_destination=3), load=load)
+    assert scheduler.wave_counters(wave).first()["granted"] == 1
 
 
-def greedy(rows, policy):
-    source, destination, out = Counter(), Counter(), []
-    for step, p, c, owner in rows:
-        if step > policy.max_examined or len(out) >= policy.max_grants or sum(source.values()) >= policy.global_limit:
-            break
-        if source[owner] < policy.per_source and destination[c] < policy.per_destination:
-            source[owner] += 1
+def covered(selection, p):
+    _, kind, begin, end, members, _ = selection
+    return kind == "All" or (begin <= p < end if kind == "Range" else p in members)
+
+
+def whole_pass(n, cs):
+    """The steps of one pass: an edge (partition, consumer), or None for leaving a pattern or a partition."""
+    key = lambda i, k, b, e, l, s: "all" if k == "All" else f"range:{b}:{e}" if k == "Range" else "list:" + ",".join(map(str, l))
+    steps = []
+    for p in range(n):
+        for pattern in sorted({key(*c) for c in cs}):
+            steps += [(p, c[0]) for c in sorted(cs) if key(*c) == pattern and covered(c, p)] + [None]
+        steps.append(None)
+    return steps
+
+
+def plain_wave(steps, owner, policy, cursor, done):
+    """A wave step by step: its outcomes, the steps taken, the new cursor, and whether it came by the end of a pass."""
+    source, destination, own, out = Counter(), Counter(), set(), []
+    taken, at_end, wrapped, full = 0, 0, False, False
+    while taken < policy.max_examined and len(own) < policy.max_grants and not full:
+        step = steps[cursor]
+        taken, cursor = taken + 1, cursor + 1
+        if cursor == len(steps):
+            cursor, wrapped, full, at_end = 0, True, len(own) == at_end, len(own)
+        if step is None:
+            continue
+        p, c = step
+        if step in done:
+            outcome = "completed"
+        elif step in own:
+            outcome = "in_flight"
+        elif len(own) >= policy.global_limit:
+            outcome, full = "limits", True
+        elif source[owner(p)] >= policy.per_source or destination[c] >= policy.per_destination:
+            outcome = "limits"
+        else:
+            outcome = "granted"
+            own.add(step)
+            source[owner(p)] += 1
             destination[c] += 1
-            out.append((p, c))
-    return out
+        out.append((taken, p, c, outcome))
+    return out, taken, cursor, wrapped
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_waves_match_a_plain_loop(spark, seed):
     rng = random.Random(seed)
     n = rng.randrange(4, 20)
     cs = [rng.choice([all_of(i), ranged(i, (b := rng.randrange(n)), rng.randrange(b, n) + 1), listed(i, *sorted(rng.sample(range(n), 2)))]) for i in range(1, rng.randrange(3, 12))]
-    policy = Policy(global_limit=rng.randrange(4, 12), per_source=rng.randrange(1, 4), per_destination=rng.randrange(1, 4), max_grants=rng.randrange(2, 12), max_examined=rng.randrange(20, 200))
-    keys = {i: "all" if k == "All" else f"range:{b}:{e}" if k == "Range" else "list:" + ",".join(map(str, l)) for i, k, b, e, l, _ in cs}
-    covers = lambda i, k, b, e, l, s, p: k == "All" or (b <= p < e if k == "Range" else p in l)
-    order, step = [], 0
-    for p in range(n):
-        for key in sorted(set(keys.values())):
-            for c in sorted(cs):
-                if keys[c[0]] == key and covers(*c, p):
-                    step += 1
-                    order.append((step, p, c[0], 1 + p % 3))
-            step += 1
-        step += 1
-    decided, wave = wave_of(spark, n, (1, 2, 3), cs, policy)
-    assert values(decided, "step", "partition", "consumer_id", "producer_id") == order
-    assert values(wave.filter("outcome = 'granted'"), "partition", "consumer_id") == sorted(greedy(order, policy))
-    assert scheduler.cursor_steps(consumers(spark, cs), n).first()["full_pass"] == step
-
-
-def test_draining_grants_each_edge_once(spark):
-    decided, _ = wave_of(spark, 12, (1, 2, 3), [all_of(1), ranged(2, 1, 7), listed(3, 0, 4, 11)], Policy())
-    grants = [(r["partition"], r["consumer_id"]) for wave in scheduler.drain(decided, Policy(max_grants=10, global_limit=16)) for r in wave.collect()]
-    assert len(grants) == len(set(grants)) == 21
+    steps = whole_pass(n, cs)
+    policy = Policy(global_limit=rng.randrange(4, 12), per_source=rng.randrange(1, 4), per_destination=rng.randrange(1, 4), max_grants=rng.randrange(2, 12), max_examined=rng.randrange(20, 3 * len(steps)))
+    edges = [e for e in steps if e]
+    done = set(rng.sample(edges, len(edges) * rng.choice([0, 3, 9, 10]) // 10))
+    cursor = rng.randrange(len(steps))
+    people = consumers(spark, cs)
+    assert values(scheduler.cursor_edges(people, n), "step", "partition", "consumer_id") == [(k, *e) for k, e in enumerate(steps, 1) if e]
+    assert scheduler.cursor_steps(people, n).first()["full_pass"] == len(steps)
+    out, taken, after, wrapped = plain_wave(steps, lambda p: 1 + p % 3, policy, cursor, done)
+    rows = wave_of(spark, n, (1, 2, 3), cs, policy, cursor, done)
+    assert values(rows.filter("outcome <> 'end'"), "position", "partition", "consumer_id", "outcome") == out
+    counts = scheduler.wave_counters(rows).first()
+    assert (counts["examined"], counts["cursor"], counts["cursor_wrapped"]) == (taken, after, wrapped)
+    kinds = Counter(o for *_, o in out)
+    assert counts["all_resolved"] == (wrapped and set(kinds) <= {"completed"})
+
+
+def test_every_required_edge_is_granted_once_until_resolved(spark):
+    """Twelve partitions, 21 edges, four grants and 64 steps a wave, each grant completed before the next wave."""
+    cs, policy = [all_of(1), ranged(2, 1, 7), listed(3, 0, 4, 11)], Policy(max_grants=4, max_examined=64)
+    granted, cursor, resolved = [], 0, False
+    for _ in range(12):
+        wave = wave_of(spark, 12, (1, 2, 3), cs, policy, cursor, granted).cache()
+        counts = scheduler.wave_counters(wave).first()
+        if resolved := counts["all_resolved"]:
+            break
+        new = values(wave.filter("outcome = 'granted'"), "partition", "consumer_id")
+        assert new and not set(new) & set(granted)
+        granted, cursor = granted + new, counts["cursor"]
+    assert resolved and len(granted) == 21
+
+
+def test_a_wave_makes_no_more_edges_than_its_budget_reaches(spark):
+    """Work doesn't grow with the partitions: only those within the budget are made."""
+    policy = Policy(max_examined=100, max_grants=8)
+    many = spark.range(64).select((F.col("id") + 1).alias("consumer_id"), F.lit("Active").alias("state"), F.lit(1).cast("long").alias("shuffle_id"), selection(F.lit("All"), F.lit(0), F.lit(0), F.expr("cast(array() as array<bigint>)")).alias("selection"))
+    made = []
+    for n in (1024, 4096, 1 << 22):
+        cursors = scheduler.cursor_steps(many, n).select("shuffle_id", F.lit(n * 33).cast("long").alias("cursor"), "full_pass")
+        segments = scheduler.pass_segments(many, n)
+        assert segments.count() == 1 and cursors.first()["full_pass"] == n * 66
+        made.append((scheduler.visited_partitions(segments, cursors, policy.max_examined).count(), scheduler.wave_edges(many, n, cursors, policy.max_examined).count()))
+    assert len(set(made)) == 1 and made[0][0] <= 3 and made[0][1] <= 100
+
+
+def test_cursors_restart_when_generations_move(spark):
+    people = consumers(spark, [all_of(1)])
+    bind = lambda old: scheduler.bind_cursors(spark.createDataFrame(old, "shuffle_id long, topology_gen long, policy_gen long, cursor long"), spark.createDataFrame([(1, 2, 3)], "shuffle_id long, topology_gen long, policy_gen long"), people, 8).first()
+    assert [bind(x)["cursor"] for x in ([(1, 2, 3, 7)], [(1, 1, 3, 7)], [(1, 2, 2, 7)], [])] == [7, 0, 0, 0]
+    nobody = scheduler.wave_counters(scheduler.next_wave(spark.createDataFrame([], "shuffle_id long, step long, partition long, consumer_id long, producer_id long, disposition string"), spark.createDataFrame([(1, 0, None)], "shuffle_id long, cursor long, full_pass long"), Policy())).first()
+    assert nobody["all_resolved"] and nobody["examined"] == 0
 
 
 def test_manifest_cases(spark):
