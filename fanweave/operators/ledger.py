@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edge_text
 from ..schemas import ERROR_CODES, first_refusal, retry_class_of
-from .ranking import running_sum
+from .ranking import earlier_max, running_sum, running_sums
 
 COMMIT = ("partition", "partition_gen", "consumer_id")
 
 
 def fold_commits(log: DataFrame, n: int, shuffle_gen: int = 1, manifests: DataFrame | None = None) -> DataFrame:
-    """The outcome of every commit of an ordered log, decided by windows.
+    """The outcome of every commit of an ordered log, decided without a loop.
 
     The log: seq, partition, partition_gen, consumer_id, producer_id, producer_incarnation, shuffle_gen,
     digest, bytes, integrity. ``manifests`` (seq, partition, partition_gen) also move a partition's latest
     generation. Adds ``error_code`` and ``outcome``: new, edge, duplicate or refused.
 
-    Windows suffice: a locally valid commit of a new highest generation is always accepted, so the running
-    maximum over valid rows is that over accepted rows, and a generation's first row that isn't stale is the
-    one that later claims must match.
+    A locally valid commit of a new highest generation is always accepted, so the running maximum over valid
+    rows is that over accepted rows; a generation's first row that isn't stale is the one that later claims
+    must match, and the first good row of an edge completes it. The maximum runs over bands of the log, and
+    both firsts are aggregates that combine before the shuffle, so a hot partition isn't one task.
     """
     local = first_refusal(
         (f"partition >= {n} OR partition < 0", "UnknownPartition"), ("partition_gen = 0", "InvalidArgument"), ("NOT integrity", "IntegrityFailure"),
@@ -30,19 +31,30 @@ def fold_commits(log: DataFrame, n: int, shuffle_gen: int = 1, manifests: DataFr
     rows = log.withColumns({"_local": local, "_commit": F.lit(True)})
     if manifests is not None:
         rows = rows.unionByName(manifests.select("seq", "partition", "partition_gen", F.lit("Ok").alias("_local"), F.lit(False).alias("_commit")), allowMissingColumns=True)
-    before = Window.partitionBy("partition").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.max(F.expr("CASE WHEN _local = 'Ok' THEN partition_gen END")).over(before)
-    rows = rows.withColumn("_stale", F.coalesce(latest, F.lit(0)) > F.col("partition_gen")).filter("_commit").drop("_commit")
-    rows = rows.withColumn("_open", (F.col("_local") == "Ok") & ~F.col("_stale"))
-    anchor = Window.partitionBy("partition", "partition_gen", "_open").orderBy("seq")
-    rows = rows.withColumns({f"_{c}": F.first(c).over(anchor) for c in ("digest", "producer_id", "producer_incarnation", "bytes")})
+    valid = F.when(F.col("_local") == "Ok", F.col("partition_gen"))
+    rows = earlier_max(rows, "partition", "seq", valid, "_latest").withColumn("_stale", F.coalesce("_latest", F.lit(0)) > F.col("partition_gen")).filter("_commit").drop("_commit", "_latest")
+    claim = ("seq", "digest", "producer_id", "producer_incarnation", "bytes")
+    anchors = rows.filter("_local = 'Ok' AND NOT _stale").groupBy("partition", "partition_gen").agg(F.min_by(F.struct(*claim), "seq").alias("_first"))
+    rows = rows.join(anchors, ["partition", "partition_gen"], "left")
     code = F.when(F.col("_local") != "Ok", F.col("_local")).when(F.col("_stale"), "StaleGeneration").when(
-        F.expr("digest <> _digest OR producer_id <> _producer_id OR producer_incarnation <> _producer_incarnation"), "DivergentCommit").when(F.expr("bytes <> _bytes"), "AccountingMismatch").otherwise("Ok")
+        F.expr("digest <> _first.digest OR producer_id <> _first.producer_id OR producer_incarnation <> _first.producer_incarnation"), "DivergentCommit").when(F.expr("bytes <> _first.bytes"), "AccountingMismatch").otherwise("Ok")
     rows = rows.withColumn("error_code", code)
-    good = rows.withColumn("_good", F.col("error_code") == "Ok")
-    of_gen, of_edge = (Window.partitionBy(*keys, "_good").orderBy("seq") for keys in (("partition", "partition_gen"), COMMIT))
-    outcome = F.when(~F.col("_good"), "refused").when(F.row_number().over(of_gen) == 1, "new").when(F.row_number().over(of_edge) == 1, "edge").otherwise("duplicate")
-    return good.withColumn("outcome", outcome).select(*log.columns, "error_code", "outcome")
+    edges = rows.filter("error_code = 'Ok'").groupBy(*COMMIT).agg(F.min("seq").alias("_edge"))
+    outcome = F.expr("CASE WHEN error_code <> 'Ok' THEN 'refused' WHEN seq = _first.seq THEN 'new' WHEN seq = _edge THEN 'edge' ELSE 'duplicate' END")
+    return rows.join(edges, [*COMMIT], "left").withColumn("outcome", outcome).select(*log.columns, "error_code", "outcome")
+
+
+def bound_tracked(folded: DataFrame, reports: DataFrame, most_partitions: int, most_edges: int) -> DataFrame:
+    """(seq, error_code, tracked_partitions, tracked_edges) of the commits that add something, under bounds on what a ledger tracks.
+
+    Counts run over the log: committed generations, and completed edges with edges that ``reports`` (seq and
+    the edge) named before. Both only grow, so what comes after a bound is reached is refused.
+    """
+    adds = folded.filter(F.col("outcome").isin("new", "edge")).select("seq", F.col("outcome").alias("_kind"))
+    failing = reports.groupBy(*COMMIT).agg(F.min("seq").alias("seq")).select("seq", F.lit("failure").alias("_kind"))
+    rows = running_sums(adds.unionByName(failing), "seq", {"tracked_partitions": (F.col("_kind") == "new").cast("int"), "tracked_edges": F.lit(1)})
+    over = (F.col("tracked_partitions") > most_partitions) | (F.col("tracked_edges") > most_edges)
+    return rows.filter("_kind <> 'failure'").select("seq", F.when(over, "TooManyTrackedEdges").otherwise("Ok").alias("error_code"), "tracked_partitions", "tracked_edges")
 
 
 def commit_receipts(folded: DataFrame) -> DataFrame:
@@ -114,17 +126,19 @@ def progress(required: DataFrame, folded: DataFrame, failures: DataFrame, judged
     add up to the requirement and nothing is counted over it.
     """
     now = latest.withColumnRenamed("latest", "partition_gen")
-    done = committed_edges(folded).join(now, ["partition", "partition_gen"], "left_semi")
-    lost = failures.filter("permanent").join(now, ["partition", "partition_gen"], "left_semi").join(done.select(*COMMIT), [*COMMIT], "left_anti")
-    by_done = done.agg(F.count("*").alias("edges_completed"), F.countDistinct("partition").alias("partitions_committed"))
-    by_bytes = folded.filter("outcome = 'new'").join(now, ["partition", "partition_gen"], "left_semi").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_committed"))
-    by_lost = lost.agg(F.count("*").alias("edges_failed"))
-    failed_parts = lost.join(done.select("partition").distinct(), "partition", "left_anti").agg(F.countDistinct("partition").alias("partitions_failed"))
+    zero = F.lit(0).cast("long")
+    done = folded.filter(F.col("outcome").isin("new", "edge")).select(*COMMIT, F.lit(1).alias("done"), zero.alias("lost"), F.when(F.col("outcome") == "new", F.col("bytes")).otherwise(zero).alias("size"))
+    edges = done.unionByName(failures.filter("permanent").select(*COMMIT, F.lit(0).alias("done"), F.lit(1).cast("long").alias("lost"), zero.alias("size")))
+    edges = edges.join(now, ["partition", "partition_gen"], "left_semi").groupBy(*COMMIT).agg(F.max("done").alias("done"), F.max("lost").alias("lost"), F.sum("size").alias("size"))
+    by_partition = edges.groupBy("partition").agg(F.sum("done").alias("done"), F.count_if(F.expr("lost > done")).alias("lost"), F.sum("size").alias("size"))
+    by_edge = by_partition.agg(
+        F.coalesce(F.sum("done"), zero).alias("edges_completed"), F.count_if(F.expr("done > 0")).alias("partitions_committed"), F.coalesce(F.sum("size"), zero).alias("bytes_committed"),
+        F.coalesce(F.sum("lost"), zero).alias("edges_failed"), F.count_if(F.expr("done = 0 AND lost > 0")).alias("partitions_failed"))
     by_log = folded.agg(F.count_if(F.expr("outcome = 'duplicate'")).alias("duplicate_commits_suppressed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_attempted"))
     by_kind = failures.agg(F.count_if("permanent").alias("permanent_failures"), F.count_if(~F.col("permanent")).alias("retriable_failures"))
     refusals = judged.agg(F.count_if(F.expr("outcome = 'AuthorityRefused'")).alias("authority_refusals"))
     row = required.select(F.col("planned_edges").alias("edges_required"))
-    for part in (by_done, by_bytes, by_lost, failed_parts, by_log, by_kind, refusals):
+    for part in (by_edge, by_log, by_kind, refusals):
         row = row.crossJoin(F.broadcast(part))  # one row each
     resolved = F.col("edges_completed") + F.col("edges_failed")
     nil = F.lit(0).cast("long")

@@ -37,6 +37,19 @@ def running_max(df: DataFrame, order: str, value: Column, name: str, band: int =
     return rows.join(bands, "__band").withColumn(name, F.greatest("__before", F.max("__value").over(within))).drop("__band", "__value", "__before")
 
 
+def earlier_max(df: DataFrame, key: str, order: str, value: Column, name: str, band: int = BAND) -> DataFrame:
+    """``df`` with the largest ``value`` among the earlier rows of the same ``key``, in ascending ``order``; null without any.
+
+    A key's rows fall into bands of ``order``, so a hot key is many small windows and one over its bands' maxima.
+    """
+    rows = df.withColumns({"__band": F.floor(F.col(order) / band), "__value": value})
+    bands = rows.groupBy(key, "__band").agg(F.max("__value").alias("__max"))
+    before = Window.partitionBy(key).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(key, "__band", F.max("__max").over(before).alias("__before"))
+    within = Window.partitionBy(key, "__band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(bands, [key, "__band"]).withColumn(name, F.greatest("__before", F.max("__value").over(within))).drop("__band", "__value", "__before")
+
+
 def ranked(df: DataFrame, order: str, name: str, band: int = BAND) -> DataFrame:
     """``df`` with its rank from 1 in ascending ``order`` (unique integers)."""
     return running_sum(df, order, F.lit(1), name, band)

@@ -14,6 +14,7 @@ from ..operators.ranking import running_max
 from ..policy import Limits, Policy
 from ..schemas import AUTHORITY, DEFERRED, ERROR_CODES, RECORD_KINDS, RETRIABLE, STATES, error_codes, retry_class
 from ..sources import journal
+from ..sources.shared import written
 from . import domain as D
 
 N, SMALL, LOGGED = D.SPACE, D.SMALL, D.LOGGED
@@ -93,9 +94,9 @@ lost AS (SELECT x.* FROM fails x JOIN cur USING (partition, partition_gen) WHERE
 
 
 def _state(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The folded event log."""
+    """The folded event log. The fold is written once, for most of what asks for it reads it several times."""
     log = D.event_log(spark, d)
-    folded = ledger.fold_commits(D.commit_log(log), LOGGED, manifests=D.manifest_log(log))
+    folded = written(ledger.fold_commits(D.commit_log(log), LOGGED, manifests=D.manifest_log(log)), "commit-fold")
     judged = ledger.judge_failures(D.failure_log(log), LOGGED)
     latest = ledger.latest_generations(folded.filter("outcome = 'new'"), D.manifest_log(log))
     return {"log": log, "folded": folded, "judged": judged, "failures": ledger.last_failures(judged.filter("error_code = 'Ok'")), "latest": latest, "retained": ledger.retained_generations(folded)}
