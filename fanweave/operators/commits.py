@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import first_refusal
 
 
-def admit_commits(requests: DataFrame, grants: DataFrame, consumers: DataFrame, producers: DataFrame, owners: DataFrame, manifests: DataFrame, shuffle_state: str = "Open", shuffle_gen: int = 1) -> DataFrame:
+def admit_commits(requests: DataFrame, grants: DataFrame, consumers: DataFrame, producers: DataFrame, owners: DataFrame, manifests: DataFrame, shuffle_state: str | Column = "Open", shuffle_gen: int = 1) -> DataFrame:
     """Requests with ``error_code``: the first check that refuses names it.
 
     requests: seq, attempt, partition, partition_gen, consumer_id, consumer_incarnation, producer_id,
     producer_incarnation, shuffle_gen, digest, content_digest, bytes, integrity, chunk_digests;
     grants: attempt, partition, partition_gen, consumer_id, consumer_incarnation, producer_id,
     producer_incarnation, digest; manifests: partition, partition_gen, digest, content_digest, bytes, chunk_digests.
+    ``shuffle_state`` is one state, or the column that holds each request's.
     """
+    state = F.lit(shuffle_state) if isinstance(shuffle_state, str) else shuffle_state
+    requests = requests.withColumn("_state", state)
     grant = grants.select("attempt", F.struct("partition", "partition_gen", "consumer_id", "consumer_incarnation", "producer_id", "producer_incarnation", "digest").alias("g"))
     joined = (
         requests.join(grant, "attempt", "left")
@@ -25,9 +28,9 @@ def admit_commits(requests: DataFrame, grants: DataFrame, consumers: DataFrame,
         .join(manifests.select("partition", F.struct("partition_gen", "digest", "content_digest", "bytes", "chunk_digests").alias("m")), "partition", "left")
     )
     return joined.select("seq", first_refusal(
-        (F.lit(shuffle_state in ("Cancelled", "Cancelling")), "Cancelled"),
+        ("_state IN ('Cancelled', 'Cancelling')", "Cancelled"),
         ("g IS NULL", "StaleAttempt"),
-        (F.lit(shuffle_state != "Open"), "InvalidState"),
+        ("_state <> 'Open'", "InvalidState"),
         (F.col("shuffle_gen") != shuffle_gen, "StaleGeneration"),
         ("partition <> g.partition OR partition_gen <> g.partition_gen OR consumer_id <> g.consumer_id", "AttemptSuperseded"),
         ("producer_id <> g.producer_id OR producer_incarnation <> g.producer_incarnation OR consumer_incarnation <> g.consumer_incarnation", "StaleIncarnation"),

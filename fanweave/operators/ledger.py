@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_text
-from ..schemas import ERROR_CODES, first_refusal, retry_class_of
+from ..schemas import ERROR_CODES, EXPLAINED, first_refusal, retry_class_of
 from .ranking import earlier_max, running_sum, running_sums
 
 COMMIT = ("partition", "partition_gen", "consumer_id")
@@ -148,18 +148,30 @@ def progress(required: DataFrame, folded: DataFrame, failures: DataFrame, judged
     return row.withColumn("closes", (F.col("edges_over_counted") == 0) & (resolved + F.col("edges_incomplete") == F.col("edges_required")))
 
 
-def explain(failures: DataFrame, folded: DataFrame, missing: DataFrame, producers: DataFrame, consumers: DataFrame) -> DataFrame:
-    """(code, subject, detail, count): why what isn't done isn't done. Subjects compare as strings."""
+def explain(failures: DataFrame, folded: DataFrame, missing: DataFrame, producers: DataFrame, consumers: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """(code, subject, detail, count): why what isn't done isn't done. Subjects compare as strings.
+
+    ``status`` is one row of what the log as a whole says: epoch, pending (participants that must register
+    anew), torn (a journal lost its tail), state and reason of the shuffle, durable, edges_over_counted, closes.
+    """
     named = failures.withColumns({"_subject": edge_text(*map(F.col, COMMIT)), "_detail": F.concat(F.lit("permanent="), F.when(F.col("permanent"), "yes").otherwise("no"), F.lit(" attempts="), F.col("attempts").cast("string"), F.lit(" ready_at="), F.col("ready_at").cast("string"))})
     parts = [named.groupBy("code").agg(F.min("_subject").alias("subject"), F.min_by("_detail", "_subject").alias("detail"), F.count("*").alias("count"))]
 
-    def extra(df: DataFrame, code: str, subject: Column, detail: str) -> None:
-        parts.append(df.filter("count > 0").select(F.lit(code).alias("code"), subject.alias("subject"), F.lit(detail).alias("detail"), "count"))
+    def extra(df: DataFrame, code: Column | str, subject: Column | str, detail: Column | str, count: str = "count") -> None:
+        text = lambda x: F.lit(x) if isinstance(x, str) else x
+        parts.append(df.filter(f"{count} > 0").select(text(code).alias("code"), text(subject).alias("subject"), text(detail).alias("detail"), F.expr(count).cast("long").alias("count")))
 
-    extra(folded.filter("outcome = 'duplicate'").agg(F.count("*").alias("count")), "DuplicateCompletion", F.lit("ledger"), "duplicate completions suppressed without double accounting")
-    extra(missing.agg(F.count("*").alias("count"), F.min("partition").alias("p")), "PartitionNotProduced", F.concat(F.lit("partition "), F.col("p").cast("string")), "partitions without an accepted manifest are explicitly incomplete")
+    extra(folded.filter("outcome = 'duplicate'").agg(F.count("*").alias("count")), "DuplicateCompletion", "ledger", EXPLAINED["duplicates"])
+    extra(missing.agg(F.count("*").alias("count"), F.min("partition").alias("p")), "PartitionNotProduced", F.concat(F.lit("partition "), F.col("p").cast("string")), EXPLAINED["missing"])
     idle = producers.select("state").unionByName(consumers.select("state")).filter("state <> 'Active'")
-    extra(idle.agg(F.count("*").alias("count")), "ParticipantNotActive", F.lit("topology"), "registered participants that currently hold no authority")
+    extra(idle.agg(F.count("*").alias("count")), "ParticipantNotActive", "topology", EXPLAINED["inactive"])
+    if status is not None:
+        extra(status, "RevalidationRequired", F.concat(F.lit("epoch "), F.col("epoch").cast("string")), EXPLAINED["pending"], "pending")
+        extra(status, "RevalidationRequired", "journal", EXPLAINED["torn"], "CAST(torn AS INT)")
+        extra(status, F.when(F.col("state") == "Cancelled", F.col("reason")).otherwise("InvalidState"), "shuffle", F.concat(F.lit(EXPLAINED["state"]), "state"), "CAST(state <> 'Open' AS INT)")
+        extra(status, "CapabilityUnsupported", "durability", EXPLAINED["volatile"], "CAST(NOT durable AS INT)")
+        extra(status, "AccountingMismatch", "progress", EXPLAINED["over"], "edges_over_counted")
+        extra(status, "AccountingMismatch", "progress", EXPLAINED["open"], "CAST(edges_over_counted = 0 AND NOT closes AS INT)")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -38,8 +38,13 @@ def consumers(spark: SparkSession, sf_dir: str, n: int = SPACE) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a row of the log: seq, kind and the columns that commits, manifests, failures and readings need."""
-    return table(spark, sf_dir, "events").select(
+    """Every event as a row of the log."""
+    return as_log(table(spark, sf_dir, "events"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, with seq, kind and the columns that commits, manifests, failures and readings need."""
+    return events.select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), (F.col("user_id") % LOGGED).alias("partition"), F.col("user_id"),
         F.expr("1 + (day(ts) - 1) div 10 - CAST(event_id % 40 = 0 AS BIGINT)").alias("partition_gen"), F.expr("event_id % 25 + 1").alias("consumer_id"),
         F.expr(f"user_id % {LOGGED} % 7 + 1").alias("producer_id"), F.expr("1 + CAST(event_id % 70 = 5 AS BIGINT)").alias("producer_incarnation"), F.expr("1 + CAST(event_id % 90 = 7 AS BIGINT)").alias("shuffle_gen"),

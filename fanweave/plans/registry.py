@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames
-from ..functions.binary import crc32c, le_hex
+from ..functions.binary import crc32c, digest_hex, is_digest, le_hex
 from ..functions.selection import canonical_key, covers, parse_selection, selected_count
 from ..functions.text import edge_text, id_code, id_value
-from ..operators import commits, ledger, manifests, pressure, scheduler, topology
+from ..operators import commits, ledger, lifecycle, manifests, pressure, scheduler, topology
 from ..operators.ranking import running_max
-from ..policy import Limits, Policy
-from ..schemas import AUTHORITY, DEFERRED, ERROR_CODES, RECORD_KINDS, RETRIABLE, STATES, error_codes, retry_class
+from ..policy import Limits, Policy, policy_problem, policy_text
+from ..schemas import AUTHORITY, DEFERRED, ERROR_CODES, EXPLAINED, RECORD_KINDS, RETRIABLE, STATES, error_codes, error_text, retry_class
 from ..sources import journal
 from ..sources.shared import written
+from ..streaming.fold import fold_batches
 from . import domain as D
 
 N, SMALL, LOGGED = D.SPACE, D.SMALL, D.LOGGED
@@ -410,17 +411,158 @@ def closure(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("closes", F.col("completed") + F.col("failed") + F.col("incomplete") == F.col("required")).select("partition", "required", "completed", "failed", "incomplete", "closes")
 
 
-_EXPLAIN = f"""SELECT code, min('p' || partition || '/g' || partition_gen || '/c' || consumer_id) AS subject, min_by('permanent=' || CASE WHEN permanent THEN 'yes' ELSE 'no' END || ' attempts=' || attempts || ' ready_at=' || ready_at, 'p' || partition || '/g' || partition_gen || '/c' || consumer_id) AS detail, count(*) AS "count" FROM fails GROUP BY 1
-UNION ALL SELECT 'DuplicateCompletion', 'ledger', 'duplicate completions suppressed without double accounting', count(*) FROM fold WHERE outcome = 'duplicate' HAVING count(*) > 0
-UNION ALL SELECT 'PartitionNotProduced', 'partition ' || min(range), 'partitions without an accepted manifest are explicitly incomplete', count(*) FROM range({LOGGED}) WHERE range NOT IN (SELECT partition FROM lg WHERE kind = 'view' AND user_id % 3 = 0) HAVING count(*) > 0
-UNION ALL SELECT 'ParticipantNotActive', 'topology', 'registered participants that currently hold no authority', count(*) FROM (SELECT state FROM p UNION ALL SELECT state FROM c) WHERE state <> 'Active' HAVING count(*) > 0"""
+# the shuffles of the log, in groups of partitions: when each opened, and who asked to cancel it
+_LIFE = f"""{L}, op AS (SELECT partition % 8 AS shuffle_id, min(seq) AS opened_at FROM lg WHERE kind = 'signup' GROUP BY 1),
+cn AS (SELECT seq, partition % 8 AS shuffle_id, CASE WHEN seq % 3 = 0 THEN 'Ok' WHEN seq % 2 = 0 THEN 'ShuttingDown' ELSE 'PolicyDenied' END AS reason FROM lg WHERE kind = 'error' AND seq % 5 = 1 AND partition % 8 <> 6),
+sp AS (SELECT shuffle_id, opened_at, cancelled_at, reason FROM op LEFT JOIN (SELECT shuffle_id, min(seq) AS cancelled_at, min_by(reason, seq) AS reason FROM cn JOIN op USING (shuffle_id) WHERE seq > opened_at AND reason <> 'Ok' GROUP BY 1) USING (shuffle_id))"""
 
 
-@query(f"WITH {P}, {C(N)}, {FOLD}, {FAIL} {_EXPLAIN}")
+def _spans(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state spans, cancellations) of the log's shuffles."""
+    opened = log.filter("kind = 'signup'").groupBy(F.expr("partition % 8").alias("shuffle_id")).agg(F.min("seq").alias("opened_at"))
+    cancels = log.filter("kind = 'error' AND seq % 5 = 1 AND partition % 8 <> 6").select("seq", F.expr("partition % 8").alias("shuffle_id"), F.expr("CASE WHEN seq % 3 = 0 THEN 'Ok' WHEN seq % 2 = 0 THEN 'ShuttingDown' ELSE 'PolicyDenied' END").alias("reason"))
+    return lifecycle.state_spans(opened, cancels), cancels
+
+
+_EXPLAIN = f"""st AS (SELECT (SELECT 1 + max(partition_gen) FROM lg) AS epoch, (SELECT count(*) FROM (SELECT state FROM p UNION ALL SELECT state FROM c) WHERE state = 'Active') AS pending, (SELECT count(*) > 0 FROM lg WHERE seq % 151 = 7) AS torn,
+  (SELECT cancelled_at IS NOT NULL FROM sp WHERE shuffle_id = 0) AS cancelled, (SELECT reason FROM sp WHERE shuffle_id = 0) AS reason, (SELECT edges_over_counted FROM pr2) AS over),
+ex AS (SELECT code, min('p' || partition || '/g' || partition_gen || '/c' || consumer_id) AS subject, min_by('permanent=' || CASE WHEN permanent THEN 'yes' ELSE 'no' END || ' attempts=' || attempts || ' ready_at=' || ready_at, 'p' || partition || '/g' || partition_gen || '/c' || consumer_id) AS detail, count(*) AS "count" FROM fails GROUP BY 1
+UNION ALL SELECT 'DuplicateCompletion', 'ledger', '{EXPLAINED["duplicates"]}', count(*) FROM fold WHERE outcome = 'duplicate' HAVING count(*) > 0
+UNION ALL SELECT 'PartitionNotProduced', 'partition ' || min(range), '{EXPLAINED["missing"]}', count(*) FROM range({LOGGED}) WHERE range NOT IN (SELECT partition FROM lg WHERE kind = 'view' AND user_id % 3 = 0) HAVING count(*) > 0
+UNION ALL SELECT 'ParticipantNotActive', 'topology', '{EXPLAINED["inactive"]}', count(*) FROM (SELECT state FROM p UNION ALL SELECT state FROM c) WHERE state <> 'Active' HAVING count(*) > 0
+UNION ALL SELECT 'RevalidationRequired', 'epoch ' || epoch, '{EXPLAINED["pending"]}', pending FROM st WHERE pending > 0
+UNION ALL SELECT 'RevalidationRequired', 'journal', '{EXPLAINED["torn"]}', 1 FROM st WHERE torn
+UNION ALL SELECT reason, 'shuffle', '{EXPLAINED["state"]}Cancelled', 1 FROM st WHERE cancelled
+UNION ALL SELECT 'CapabilityUnsupported', 'durability', '{EXPLAINED["volatile"]}', 1
+UNION ALL SELECT 'AccountingMismatch', 'progress', '{EXPLAINED["over"]}', over FROM st WHERE over > 0)"""
+_EXPLAIN_WITH = f"WITH {P}, {C(LOGGED)}, {FOLD}, {_LIFE[len(L) + 2:]}, {FAIL}, {LATEST}, {NOW}, {_MEASURES}, {_EXPLAIN}"
+
+
+def _explained(spark: SparkSession, d: str) -> DataFrame:
+    s = _state(spark, d)
+    log, producers, consumers = s["log"], D.producers(spark, d), D.consumers(spark, d, LOGGED)
+    missing = manifests.missing_partitions(log.filter("kind = 'view' AND user_id % 3 = 0"), LOGGED)
+    progress_ = ledger.progress(topology.planned_edges(consumers, LOGGED), s["folded"], s["failures"], s["judged"], s["latest"], LOGGED)
+    status = log.agg((F.max("partition_gen") + 1).alias("epoch"), F.bool_or(F.col("seq") % 151 == 7).alias("torn"))
+    pending = journal.demote(D.participants(producers, consumers)).agg(F.count_if("pending").alias("pending"))
+    state = _spans(log)[0].filter("shuffle_id = 0").select(F.when(F.col("cancelled_at").isNotNull(), "Cancelled").otherwise("Open").alias("state"), "reason", F.lit(False).alias("durable"))
+    status = status.crossJoin(pending).crossJoin(state).crossJoin(progress_.select("edges_over_counted", "closes"))  # one row each
+    return ledger.explain(s["failures"], s["folded"], missing, producers, consumers, status)
+
+
+@query(f"{_EXPLAIN_WITH} SELECT * FROM ex")
 def explain(spark: SparkSession, d: str) -> DataFrame:
+    return _explained(spark, d)
+
+
+@query(f"""{_EXPLAIN_WITH}, dim(code, number) AS (VALUES {", ".join(f"('{name}', {n})" for name, n in ERROR_CODES.items())})
+SELECT CAST(row_number() OVER (ORDER BY number, subject) AS INTEGER) AS position, "count" || 'x ' || code || ' [' || subject || '] ' || detail AS line FROM ex JOIN dim USING (code)""")
+def explain_text(spark: SparkSession, d: str) -> DataFrame:
+    """The explanation as lines, in order of code and subject."""
+    return ledger.render(_explained(spark, d))
+
+
+@query(f"WITH {_LIFE} SELECT seq, cn.shuffle_id, CASE WHEN opened_at IS NULL OR seq <= opened_at THEN 'InvalidState' WHEN seq > cancelled_at THEN 'Ok' WHEN cn.reason = 'Ok' THEN 'InvalidArgument' ELSE 'Ok' END AS error_code, coalesce(seq = cancelled_at, false) AS applied FROM cn LEFT JOIN sp USING (shuffle_id)")
+def cancellations(spark: SparkSession, d: str) -> DataFrame:
+    spans, cancels = _spans(D.event_log(spark, d))
+    return lifecycle.judge_cancellations(cancels, spans)
+
+
+@query(f"WITH {_LIFE}, g AS (SELECT seq, partition % 8 AS shuffle_id FROM lg WHERE kind IN ('click', 'purchase')), s AS (SELECT seq, shuffle_id, CASE WHEN opened_at IS NULL OR seq <= opened_at THEN 'Closed' WHEN seq > cancelled_at THEN 'Cancelled' ELSE 'Open' END AS shuffle_state FROM g LEFT JOIN sp USING (shuffle_id)) SELECT *, CASE shuffle_state WHEN 'Cancelled' THEN 'Cancelled' WHEN 'Open' THEN 'Ok' ELSE 'InvalidState' END AS error_code FROM s")
+def lifecycle_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each commit of the log finds its shuffle open."""
+    log = D.event_log(spark, d)
+    return lifecycle.lifecycle_gate(log.filter("kind IN ('click', 'purchase')").select("seq", F.expr("partition % 8").alias("shuffle_id")), _spans(log)[0])
+
+
+@query(f"WITH {_LIFE}, g AS (SELECT partition % 8 AS shuffle_id, seq FROM lg WHERE kind = 'click' AND seq % 3 <> 0) SELECT shuffle_id, count(*) FILTER (NOT coalesce(seq < cancelled_at, false)) AS in_flight, count(*) FILTER (seq < cancelled_at) AS dropped FROM g LEFT JOIN sp USING (shuffle_id) GROUP BY 1")
+def dropped_grants(spark: SparkSession, d: str) -> DataFrame:
+    """Grants in flight per shuffle, and those that its cancellation dropped."""
+    log = D.event_log(spark, d)
+    grants = log.filter("kind = 'click'").select(F.expr("partition % 8").alias("shuffle_id"), F.col("seq").alias("attempt"), "seq")
+    return lifecycle.dropped_grants(grants, grants.filter("seq % 3 = 0"), _spans(log)[0])
+
+
+@query(f"""WITH {FOLD}, {FAIL}, ad AS (SELECT seq, outcome FROM fold WHERE outcome IN ('new', 'edge') UNION ALL SELECT min(seq), 'failure' FROM judged GROUP BY partition, partition_gen, consumer_id),
+rs AS (SELECT *, CAST(count(*) FILTER (outcome = 'new') OVER (ORDER BY seq) AS BIGINT) AS tracked_partitions, count(*) OVER (ORDER BY seq) AS tracked_edges FROM ad) SELECT seq, CASE WHEN tracked_partitions > 150 OR tracked_edges > 600 THEN 'TooManyTrackedEdges' ELSE 'Ok' END AS error_code, tracked_partitions, tracked_edges FROM rs WHERE outcome <> 'failure'""")
+def tracked_bounds(spark: SparkSession, d: str) -> DataFrame:
     s = _state(spark, d)
-    missing = manifests.missing_partitions(s["log"].filter("kind = 'view' AND user_id % 3 = 0"), LOGGED)
-    return ledger.explain(s["failures"], s["folded"], missing, D.producers(spark, d), D.consumers(spark, d))
+    return ledger.bound_tracked(s["folded"], s["judged"], 150, 600)
+
+
+@query(FOLD.join(("WITH ", " SELECT seq, partition, partition_gen, consumer_id, error_code, outcome FROM fold")).replace("'purchase', 'view')", "'purchase')"))
+def streamed_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The commits of the log folded as a stream: every batch is written by its number, so one that is retried counts once."""
+    events = spark.readStream.schema(D.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return fold_batches(D.commit_log(D.as_log(events)), LOGGED)
+
+
+# -- envelopes and texts -------------------------------------------------------------------------
+
+_ENVELOPES = {
+    "shuffle": "p_partkey % 23", "max_fan_out": "p_partkey % 19", "max_fan_in": "p_partkey % 17", "global_limit": "p_partkey % 37", "per_source": "p_partkey % 13 % 9", "per_destination": "p_size % 11", "max_grants": "p_partkey % 29 * 8", "max_examined": "p_partkey % 31 * 64",
+    "max_attempts": "p_size * 2", "pause": "p_partkey % 110", "resume": "p_size + 10", "require_fresh": "p_partkey % 2 = 0", "validity": "p_size % 3", "max_string_bytes": "p_partkey % 41 * 256", "max_endpoint_bytes": "p_partkey % 43 * 32", "max_tracked_partitions": "p_partkey % 47 * 131072",
+    "max_retained_generations": "p_partkey % 53", "max_wave_grants": "p_partkey % 59 * 16", "max_tracked_edges": "p_partkey % 61 * 64"}
+_ENV = f"env AS (SELECT p_partkey, {', '.join(f'{sql} AS {name}' for name, sql in _ENVELOPES.items())} FROM part)"
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    return D.table(spark, d, "part").select("p_partkey", *[F.expr(sql).alias(name) for name, sql in _ENVELOPES.items()])
+
+
+@query(f"""WITH {_ENV} SELECT p_partkey, CASE WHEN shuffle = 0 THEN 'shuffle' WHEN max_fan_out = 0 OR max_fan_in = 0 THEN 'fan' WHEN global_limit = 0 OR per_source = 0 OR per_destination = 0 THEN 'concurrency' WHEN per_source > global_limit OR per_destination > global_limit THEN 'concurrency above global'
+ WHEN max_grants = 0 OR max_grants > max_wave_grants THEN 'max_grants' WHEN max_examined < max_grants THEN 'max_examined' WHEN max_attempts = 0 OR max_attempts > 64 THEN 'max_attempts' WHEN pause > 100 THEN 'pause' WHEN resume > pause THEN 'resume' WHEN require_fresh AND validity = 0 THEN 'validity'
+ WHEN max_string_bytes = 0 THEN 'max_string_bytes' WHEN max_endpoint_bytes = 0 OR max_endpoint_bytes > max_string_bytes THEN 'max_endpoint_bytes' WHEN max_tracked_edges = 0 OR max_tracked_partitions = 0 THEN 'max_planned_edges' WHEN max_tracked_partitions > 4194304 THEN 'max_tracked_partitions'
+ WHEN max_retained_generations = 0 THEN 'max_retained_generations' WHEN max_wave_grants = 0 OR max_wave_grants > max_tracked_edges THEN 'max_wave_grants' ELSE 'none' END AS problem FROM env""")
+def policy_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes and bounds of the parts table, each with the first rule that it breaks."""
+    rows = _envelopes(spark, d)
+    return rows.select("p_partkey", F.coalesce(policy_problem(rows), F.lit("none")).alias("problem"))
+
+
+@query(f"""WITH {_ENV} SELECT p_partkey, 'shuffle=' || shuffle || ' generation=1 policy_generation=1' || chr(10) || '  fan_out<=' || max_fan_out || ' fan_in<=' || max_fan_in || chr(10) || '  concurrency global=' || global_limit || ' per_source=' || per_source || ' per_destination=' || per_destination || chr(10)
+ || '  waves grants<=' || max_grants || ' examined<=' || max_examined || chr(10) || '  retry attempts<=' || max_attempts || ' min_ticks=0' || chr(10) || '  congestion pause>=' || pause || ' resume<=' || resume || ' fresh_required=' || CASE WHEN require_fresh THEN 'yes' ELSE 'no' END || ' validity_ticks=' || validity || chr(10) AS text FROM env""")
+def policy_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _envelopes(spark, d)
+    return rows.select("p_partkey", policy_text(rows).alias("text"))
+
+
+_DIGESTS = "CASE event_id % 6 WHEN 0 THEN sha256(props) WHEN 1 THEN upper(sha256(props)) WHEN 2 THEN substr(sha256(props), 1, 63) WHEN 3 THEN sha256(props) || '0' WHEN 4 THEN 'x' || substr(sha256(props), 2) ELSE '' END"
+
+
+@query(f"SELECT event_id, regexp_full_match({_DIGESTS}, '[0-9a-f]{{64}}') AS canonical, CASE WHEN regexp_full_match({_DIGESTS}, '[0-9a-f]{{64}}') THEN sha256(unhex({_DIGESTS})) END AS digest_of_bytes FROM events")
+def digest_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that may be digests: whether each is one in canonical form, and its bytes hashed again."""
+    full = F.sha2(F.col("props"), 256)
+    kinds = [full, F.upper(full), F.substring(full, 1, 63), F.concat(full, F.lit("0")), F.concat(F.lit("x"), F.substring(full, 2, 63))]
+    text = F.lit("")
+    for k, kind in enumerate(kinds):
+        text = F.when(F.col("event_id") % 6 == k, kind).otherwise(text)
+    rows = D.table(spark, d, "events").select("event_id", text.alias("text")).withColumn("canonical", is_digest(F.col("text")))
+    return rows.select("event_id", "canonical", F.when(F.col("canonical"), digest_hex(F.col("text"))).alias("digest_of_bytes"))
+
+
+@query(f"WITH {FOLD} SELECT seq, CASE WHEN seq % 4 = 0 THEN error_code ELSE error_code || ': p' || partition || '/g' || partition_gen || '/c' || consumer_id END AS text FROM fold WHERE outcome = 'refused'")
+def error_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Refused commits as texts: the code, and the edge as detail where one is given."""
+    edge = edge_text(F.col("partition"), F.col("partition_gen"), F.col("consumer_id"))
+    return _state(spark, d)["folded"].filter("outcome = 'refused'").select("seq", error_text(F.col("error_code"), F.when(F.col("seq") % 4 != 0, edge).otherwise("")).alias("text"))
+
+
+_RECORDS = """rc AS (SELECT user_id % 60 AS store, CASE WHEN event_id % 4 = 0 THEN 'snapshot' ELSE 'journal' END AS origin, CASE WHEN user_id % 60 % 13 = 5 THEN 2 ELSE 1 END AS version, event_id AS seq, CASE event_type WHEN 'signup' THEN 'Producer' WHEN 'click' THEN 'Consumer' ELSE 'Commit' END AS kind, user_id AS id,
+  CASE WHEN event_id % 5 = 1 THEN 'Failed' ELSE 'Active' END AS state, CAST(day(ts) AS BIGINT) AS epoch, user_id % 60 % 11 <> 3 OR event_id % 2 = 0 AS readable, user_id % 60 % 7 = 2 AND event_id % 151 = 7 AS torn FROM events)"""
+
+
+@query(f"""WITH {_RECORDS}, pt AS (SELECT store, kind, id, max_by(state, seq) AS state FROM rc WHERE NOT torn AND kind IN ('Producer', 'Consumer') GROUP BY ALL), pn AS (SELECT store, count(*) FILTER (state = 'Active') AS pn FROM pt GROUP BY 1),
+t AS (SELECT store, CASE WHEN bool_or(origin = 'snapshot' AND version <> 1) THEN 'UnsupportedVersion' WHEN bool_or(NOT readable AND NOT torn) THEN 'StateCorrupt' ELSE 'Ok' END AS error_code, count(*) FILTER (NOT torn) AS n, max(epoch) FILTER (NOT torn) AS e, bool_or(torn) AS torn FROM rc GROUP BY 1)
+SELECT store, error_code, CASE WHEN error_code = 'Ok' THEN n ELSE 0 END AS adopted, e + CAST(error_code = 'Ok' AS BIGINT) AS epoch, CASE WHEN error_code = 'Ok' THEN coalesce(pn, 0) ELSE 0 END AS pending, error_code = 'Ok' AND torn AS history_incomplete FROM t LEFT JOIN pn USING (store)""")
+def recovery(spark: SparkSession, d: str) -> DataFrame:
+    """What every store of the log adopts after a restart: all of it under a new epoch, or nothing."""
+    records = D.table(spark, d, "events").select(
+        F.expr("user_id % 60").alias("store"), F.expr("CASE WHEN event_id % 4 = 0 THEN 'snapshot' ELSE 'journal' END").alias("origin"), F.expr("CASE WHEN user_id % 60 % 13 = 5 THEN 2 ELSE 1 END").alias("version"), F.col("event_id").alias("seq"),
+        F.expr("CASE event_type WHEN 'signup' THEN 'Producer' WHEN 'click' THEN 'Consumer' ELSE 'Commit' END").alias("kind"), F.col("user_id").alias("id"), F.expr("CASE WHEN event_id % 5 = 1 THEN 'Failed' ELSE 'Active' END").alias("state"), F.expr("CAST(day(ts) AS BIGINT)").alias("epoch"),
+        F.expr("user_id % 60 % 11 <> 3 OR event_id % 2 = 0").alias("readable"), F.expr("user_id % 60 % 7 = 2 AND event_id % 151 = 7").alias("torn"))
+    return journal.recover(records)
 
 
 # -- pressure ------------------------------------------------------------------------------------
@@ -698,16 +840,6 @@ def refusal_dimension(spark: SparkSession, d: str) -> DataFrame:
     return error_codes(spark).join(counted, F.col("name") == F.col("error_code"), "left").select("code", "name", "retry_class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
-def frame_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events' frames, cut into pieces of 23 bytes and put together again."""
-    sent = frames.encode_frames(_frames(spark, d))
-    starts = F.sequence(F.lit(0), F.ceil(F.octet_length("frame") / 23).cast("int") - 1)
-    pieces = sent.select("session", F.col("event_id"), "frame", F.explode(starts).alias("k")).select("session", (F.col("event_id") * 1000 + F.col("k")).alias("arrival"), F.expr("substring(frame, k * 23 + 1, 23)").alias("bytes"))
-    back = frames.frame_stream(pieces)
-    return back.select("session", "position", F.octet_length("frame").alias("frame_bytes"), "error_code")
-
-
 @query(f"""WITH {P}, {C(N)}, {L} SELECT (SELECT count(*) FROM p) AS producers, (SELECT count(*) FROM p WHERE state = 'Active') AS active_producers, (SELECT count(*) FROM c) AS consumers, (SELECT count(*) FROM c WHERE state = 'Active') AS active_consumers,
 (SELECT count(DISTINCT canonical_key) FROM k WHERE state <> 'Withdrawn') AS patterns, (SELECT CAST(sum(selected) AS BIGINT) FROM k WHERE state <> 'Withdrawn') AS planned_edges, (SELECT max(seq) FROM lg) AS last_sequence, (SELECT count(*) FROM lg) AS records""")
 def status_summary(spark: SparkSession, d: str) -> DataFrame:

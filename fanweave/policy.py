@@ -1,14 +1,19 @@
-"""Policy envelopes and bounds: frozen values, checked in a fixed order."""
+"""Policy envelopes and bounds: checked in a fixed order, one as a value or a table of them as columns."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of one engine; the defaults are those of the format."""
+    """Bounds of one engine."""
 
+    # The defaults of the format.
     max_frame_payload_bytes: int = 1 << 20
     max_message_payload_bytes: int = 1 << 24
     max_allocation_bytes: int = 1 << 24
@@ -30,28 +35,14 @@ class Limits:
 
     def problem(self) -> str | None:
         """What is wrong with the bounds, by the first rule broken."""
-        checks = (
-            (0 < self.max_frame_payload_bytes <= self.max_message_payload_bytes, "max_frame_payload_bytes"),
-            (0 < self.max_allocation_bytes <= self.max_message_payload_bytes, "max_allocation_bytes"),
-            (0 < self.max_string_bytes <= self.max_allocation_bytes, "max_string_bytes"),
-            (0 < self.max_endpoint_bytes <= self.max_string_bytes, "max_endpoint_bytes"),
-            (self.max_collection_items > 0, "max_collection_items"),
-            (self.max_chunks_per_partition > 0, "max_chunks_per_partition"),
-            (min(self.max_partitions, self.max_participants) > 0, "max_partitions"),
-            (min(self.max_selection_patterns, self.max_selection_items) > 0, "max_selection_patterns"),
-            (min(self.max_planned_edges, self.max_tracked_edges, self.max_tracked_partitions) > 0, "max_planned_edges"),
-            (self.max_tracked_partitions <= self.max_partitions, "max_tracked_partitions"),
-            (self.max_state_bytes > 0 and 0 < self.max_journal_record_bytes <= self.max_state_bytes, "max_state_bytes"),
-            (self.max_retained_generations > 0, "max_retained_generations"),
-            (0 < self.max_wave_grants <= self.max_tracked_edges, "max_wave_grants"),
-        )
-        return next((name for ok, name in checks if not ok), None)
+        return next((name for name, holds in LIMIT_RULES if not holds(self)), None)
 
 
 @dataclass(frozen=True)
 class Policy:
     """One envelope: fan bounds, concurrency, wave budget, retries and congestion thresholds."""
 
+    # The defaults of the format.
     shuffle: int = 1
     shuffle_generation: int = 1
     generation: int = 1
@@ -72,27 +63,78 @@ class Policy:
 
     def problem(self) -> str | None:
         """What is wrong with the envelope itself, by the first rule broken."""
-        checks = (
-            (self.shuffle != 0, "shuffle"),
-            (min(self.max_fan_out, self.max_fan_in) > 0, "fan"),
-            (min(self.global_limit, self.per_source, self.per_destination) > 0, "concurrency"),
-            (max(self.per_source, self.per_destination) <= self.global_limit, "concurrency above global"),
-            (0 < self.max_grants <= self.limits.max_wave_grants, "max_grants"),
-            (self.max_examined >= self.max_grants, "max_examined"),
-            (0 < self.max_attempts <= 64, "max_attempts"),
-            (self.pause <= 100, "pause"),
-            (self.resume <= self.pause, "resume"),
-            (not self.require_fresh or self.validity > 0, "validity"),
-        )
-        return next((name for ok, name in checks if not ok), None) or self.limits.problem()
+        return next((name for name, holds in POLICY_RULES if not holds(self)), None) or self.limits.problem()
 
     def describe(self) -> str:
         """The envelope as text, one group a line."""
-        return (
-            f"shuffle={self.shuffle} generation={self.shuffle_generation} policy_generation={self.generation}\n"
-            f"  fan_out<={self.max_fan_out} fan_in<={self.max_fan_in}\n"
-            f"  concurrency global={self.global_limit} per_source={self.per_source} per_destination={self.per_destination}\n"
-            f"  waves grants<={self.max_grants} examined<={self.max_examined}\n"
-            f"  retry attempts<={self.max_attempts} min_ticks={self.min_ticks}\n"
-            f"  congestion pause>={self.pause} resume<={self.resume} fresh_required={'yes' if self.require_fresh else 'no'} validity_ticks={self.validity}\n"
-        )
+        return POLICY_TEXT.format(**vars(self) | {"require_fresh": "yes" if self.require_fresh else "no"})
+
+
+# The rules in the order in which the first one broken is named; each holds for values and for columns alike.
+POLICY_RULES = (
+    ("shuffle", lambda v: v.shuffle != 0),
+    ("fan", lambda v: (v.max_fan_out > 0) & (v.max_fan_in > 0)),
+    ("concurrency", lambda v: (v.global_limit > 0) & (v.per_source > 0) & (v.per_destination > 0)),
+    ("concurrency above global", lambda v: (v.per_source <= v.global_limit) & (v.per_destination <= v.global_limit)),
+    ("max_grants", lambda v: (v.max_grants > 0) & (v.max_grants <= v.limits.max_wave_grants)),
+    ("max_examined", lambda v: v.max_examined >= v.max_grants),
+    ("max_attempts", lambda v: (v.max_attempts > 0) & (v.max_attempts <= 64)),
+    ("pause", lambda v: v.pause <= 100),
+    ("resume", lambda v: v.resume <= v.pause),
+    ("validity", lambda v: (v.require_fresh == False) | (v.validity > 0)),  # noqa: E712
+)
+LIMIT_RULES = (
+    ("max_frame_payload_bytes", lambda v: (v.max_frame_payload_bytes > 0) & (v.max_frame_payload_bytes <= v.max_message_payload_bytes)),
+    ("max_allocation_bytes", lambda v: (v.max_allocation_bytes > 0) & (v.max_allocation_bytes <= v.max_message_payload_bytes)),
+    ("max_string_bytes", lambda v: (v.max_string_bytes > 0) & (v.max_string_bytes <= v.max_allocation_bytes)),
+    ("max_endpoint_bytes", lambda v: (v.max_endpoint_bytes > 0) & (v.max_endpoint_bytes <= v.max_string_bytes)),
+    ("max_collection_items", lambda v: v.max_collection_items > 0),
+    ("max_chunks_per_partition", lambda v: v.max_chunks_per_partition > 0),
+    ("max_partitions", lambda v: (v.max_partitions > 0) & (v.max_participants > 0)),
+    ("max_selection_patterns", lambda v: (v.max_selection_patterns > 0) & (v.max_selection_items > 0)),
+    ("max_planned_edges", lambda v: (v.max_planned_edges > 0) & (v.max_tracked_edges > 0) & (v.max_tracked_partitions > 0)),
+    ("max_tracked_partitions", lambda v: v.max_tracked_partitions <= v.max_partitions),
+    ("max_state_bytes", lambda v: (v.max_state_bytes > 0) & (v.max_journal_record_bytes > 0) & (v.max_journal_record_bytes <= v.max_state_bytes)),
+    ("max_retained_generations", lambda v: v.max_retained_generations > 0),
+    ("max_wave_grants", lambda v: (v.max_wave_grants > 0) & (v.max_wave_grants <= v.max_tracked_edges)),
+)
+
+# Fixed value: an envelope as text.
+POLICY_TEXT = """shuffle={shuffle} generation={shuffle_generation} policy_generation={generation}
+  fan_out<={max_fan_out} fan_in<={max_fan_in}
+  concurrency global={global_limit} per_source={per_source} per_destination={per_destination}
+  waves grants<={max_grants} examined<={max_examined}
+  retry attempts<={max_attempts} min_ticks={min_ticks}
+  congestion pause>={pause} resume<={resume} fresh_required={require_fresh} validity_ticks={validity}
+"""
+
+
+class _Columns:
+    """Columns by attribute, ``limits`` being the same row; what a row doesn't have is the default's value."""
+
+    def __init__(self, names: list[str]):
+        self._names = set(names)
+
+    def __getattr__(self, name: str) -> object:
+        if name == "limits":
+            return self
+        if name in self._names:
+            return F.col(name)
+        return F.lit(getattr(Policy(), name) if name in Policy.__dataclass_fields__ else getattr(Limits(), name))
+
+
+def policy_problem(rows: DataFrame) -> Column:
+    """What is wrong with each envelope of ``rows``, by the first rule broken; null if nothing is.
+
+    Columns are named as the fields of ``Policy`` and ``Limits``; fields without a column have their defaults.
+    """
+    values = _Columns(rows.columns)
+    return F.coalesce(*[F.when(~holds(values), name) for name, holds in (*POLICY_RULES, *LIMIT_RULES)])
+
+
+def policy_text(rows: DataFrame) -> Column:
+    """Each envelope of ``rows`` as text, one group a line."""
+    values = _Columns(rows.columns)
+    parts = re.split(r"\{(\w+)\}", POLICY_TEXT)
+    text = lambda name: F.when(values.require_fresh, "yes").otherwise("no") if name == "require_fresh" else getattr(values, name).cast("string")
+    return F.concat(*[text(part) if k % 2 else F.lit(part) for k, part in enumerate(parts)])

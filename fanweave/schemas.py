@@ -27,6 +27,19 @@ RECORD_KINDS = ("ShuffleState", "Producer", "Consumer", "Manifest", "Commit", "F
 # Numbers of the message types.
 MESSAGE_TYPES = (*range(1, 4), *range(10, 36), *range(40, 43))
 
+# What explanations say.
+EXPLAINED = {
+    "duplicates": "duplicate completions suppressed without double accounting",
+    "missing": "partitions without an accepted manifest are explicitly incomplete",
+    "inactive": "registered participants that currently hold no authority",
+    "pending": "participants must re-register with a fresh incarnation after the restart",
+    "torn": "recovery discarded a torn journal tail; the discarded record was never acknowledged",
+    "state": "shuffle state is ",
+    "volatile": "this coordinator runs without a durable sink; commits are not durable",
+    "over": "more edges are resolved than the current requirement implies",
+    "open": "required edge accounting does not close against completed and failed edges",
+}
+
 
 def retry_class(code: str) -> str:
     """The retry class of a refusal code."""
@@ -52,3 +65,8 @@ def first_refusal(*rules: tuple[Column | str, str]) -> Column:
         condition = F.expr(condition) if isinstance(condition, str) else condition
         out = F.when(condition, code) if out is None else out.when(condition, code)
     return out.otherwise("Ok")
+
+
+def error_text(code: Column, detail: Column) -> Column:
+    """A refusal as text: its code, and its detail if it has one."""
+    return F.concat_ws(": ", code, F.nullif(detail, F.lit("")))

@@ -1,66 +1,14 @@
-"""Journals and snapshots: binary journal files, typed logs, audits, recovery and compaction."""
+"""Typed logs: audits, recovery and the demotion that follows it."""
 
 from __future__ import annotations
 
-import json
-import struct
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import crc32c_bytes
-from ..policy import Limits
-from ..schemas import RECORD_KINDS
-
-# The record header (magic, payload length, sequence, header and payload checksums).
-RECORD = struct.Struct("<IIQII")
-RECORD_MAGIC = 0x4E524A31
-
-
-def encode_record(sequence: int, payload: bytes) -> bytes:
-    """One journal record."""
-    head = RECORD.pack(RECORD_MAGIC, len(payload), sequence, 0, 0)[:16]
-    return head + struct.pack("<II", crc32c_bytes(head), crc32c_bytes(payload)) + payload
+from ..schemas import RECORD_KINDS, first_refusal
 
-
-def scan_records(data: bytes, snapshot_sequence: int = 0, most_payload: int = Limits().max_journal_record_bytes) -> Iterator[tuple[int, bytes | None, str]]:
-    """(sequence, payload, status) of each record up to the first that can't be believed, which ends with its tail status.
-
-    A repeat of the last sequence, or one that the snapshot holds, is skipped; one that goes backwards is corrupt.
-    """
-    at, last = 0, 0
-    while at < len(data):
-        if len(data) - at < RECORD.size:
-            yield last, None, "TornTail"
-            return
-        magic, length, sequence, head_crc, body_crc = RECORD.unpack_from(data, at)
-        if magic != RECORD_MAGIC or length > most_payload or crc32c_bytes(data[at:at + 16]) != head_crc:
-            yield last, None, "Corrupt"
-            return
-        payload = data[at + RECORD.size:at + RECORD.size + length]
-        if len(payload) < length:
-            yield last, None, "TornTail"
-            return
-        if crc32c_bytes(payload) != body_crc or sequence < last:
-            yield last, None, "Corrupt"
-            return
-        yield sequence, payload, "skipped" if sequence == last or sequence <= snapshot_sequence else "replayed"
-        last, at = sequence, at + RECORD.size + length
-
-
-def read_journals(spark: SparkSession, path: str, snapshot_sequence: int = 0) -> DataFrame:
-    """(path, sequence, payload, status) of the records of binary journal files, each read by one task."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content")):
-                rows = list(scan_records(content.as_py(), snapshot_sequence))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.string())))], names=["path", "sequence", "payload", "status"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, "path string, sequence long, payload binary, status string")
+#: The version of snapshots that can be read.
+SNAPSHOT_VERSION = 1
 
 
 def audit(log: DataFrame, snapshot_sequence: int = 0) -> DataFrame:
@@ -94,61 +42,24 @@ def demote(participants: DataFrame) -> DataFrame:
     return participants.withColumn("pending", was).withColumn("state", F.when(was, "Suspect").otherwise(F.col("state")))
 
 
-class Store:
-    """A log of typed rows in Parquet: appended by batch id, compacted into versioned snapshots.
+def recover(records: DataFrame, version: int = SNAPSHOT_VERSION) -> DataFrame:
+    """Per store what a restart adopts: error_code, adopted, epoch, pending, history_incomplete.
 
-    Appending a batch again replaces it, so a retried batch counts once. The pointer file names the current
-    snapshot and the one before, which stays until the next compaction. Paths are any that Spark writes.
+    ``records``: store, origin (snapshot or journal), version (of the snapshot a record is from), seq, kind,
+    id, state, epoch, readable, torn. A torn tail was never acknowledged: it is discarded and noted. Any
+    other record that can't be read, or a snapshot of another version, refuses the whole store, which then
+    adopts nothing and keeps its epoch. Otherwise the restart is a new epoch, and ``pending`` participants,
+    those whose last record says Active, must register anew.
     """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        """Write a batch of rows; durable when this returns."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/journal/batch={batch_id}")
-
-    def sink(self):
-        """The function for ``foreachBatch``."""
-        return lambda rows, batch_id: self.append(rows, batch_id)
-
-    def _pointers(self) -> list[dict]:
-        found = self._read(f"{self.path}/pointer", "value string")
-        return sorted((json.loads(r["value"]) for r in found.collect()), key=lambda p: -p["version"]) if found is not None else []
-
-    def _read(self, path: str, schema: str) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
-    def journal(self) -> DataFrame:
-        """The rows after the newest snapshot."""
-        pointers = self._pointers()
-        rows = self._read(f"{self.path}/journal", f"{self.schema}, batch bigint")
-        if rows is None:
-            return self.spark.createDataFrame([], self.schema)
-        return rows.filter(F.col("batch") > (pointers[0]["batch"] if pointers else -1)).drop("batch")
-
-    def snapshot(self) -> DataFrame | None:
-        """The newest snapshot that can be read, else the one before, else none."""
-        for pointer in self._pointers()[:2]:
-            if (found := self._read(f"{self.path}/{pointer['folder']}", self.schema)) is not None:
-                return found
-        return None
-
-    def rows(self) -> DataFrame:
-        """Snapshot and journal together."""
-        held = self.snapshot()
-        return self.journal() if held is None else held.unionByName(self.journal())
-
-    def compact(self, fold, batch_id: int) -> None:
-        """Write ``fold(rows)`` as the snapshot of everything up to ``batch_id``, then move the pointer to it."""
-        folder, version = f"snapshot-{uuid.uuid4().hex}", 1 + max([0, *(p["version"] for p in self._pointers())])
-        fold(self.rows()).write.parquet(f"{self.path}/{folder}")
-        pointer = json.dumps({"version": version, "folder": folder, "batch": batch_id})
-        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+    used = records.filter("NOT torn")
+    participants = used.filter("kind IN ('Producer', 'Consumer')").groupBy("store", "kind", "id").agg(F.max_by("state", "seq").alias("state"))
+    pending = participants.groupBy("store").agg(F.count_if(F.col("state") == "Active").alias("_pending"))
+    totals = records.groupBy("store").agg(
+        F.bool_or((F.col("origin") == "snapshot") & (F.col("version") != version)).alias("_other"), F.bool_or(~F.col("readable") & ~F.col("torn")).alias("_broken"),
+        F.count_if(~F.col("torn")).alias("_records"), F.max(F.when(~F.col("torn"), F.col("epoch"))).alias("_epoch"), F.bool_or("torn").alias("_torn"))
+    rows = totals.join(pending, "store", "left").withColumn("error_code", first_refusal(("_other", "UnsupportedVersion"), ("_broken", "StateCorrupt")))
+    ok = F.col("error_code") == "Ok"
+    nil = F.lit(0).cast("long")
+    return rows.select(
+        "store", "error_code", F.when(ok, F.col("_records")).otherwise(nil).alias("adopted"), (F.coalesce("_epoch", nil) + ok.cast("long")).alias("epoch"),
+        F.when(ok, F.coalesce("_pending", nil)).otherwise(nil).alias("pending"), (ok & F.col("_torn")).alias("history_incomplete"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_dir
+
 OUT = "seq long, partition long, partition_gen long, consumer_id long, error_code string, outcome string"
 #: latest generation, its anchor (digest, producer, incarnation, bytes) and the consumers that completed it
 STATE = "latest long, digest string, producer_id long, producer_incarnation long, bytes long, consumers array<long>"
@@ -56,3 +59,20 @@ def fold_stream(log: DataFrame, n: int, shuffle_gen: int = 1) -> DataFrame:
         yield pd.DataFrame(out, columns=["seq", "partition", "partition_gen", "consumer_id", "error_code", "outcome"])
 
     return log.groupBy("partition").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def fold_batches(log: DataFrame, n: int, shuffle_gen: int = 1) -> DataFrame:
+    """The outcomes of a stream of commits up to what is there now, as a table.
+
+    Each batch is written under its number in the shared folder, so one that is retried after a loss
+    replaces itself and counts once.
+    """
+    spark = log.sparkSession
+    path = f"{shared_dir(spark)}/streamed-fold-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    stream = fold_stream(log, n, shuffle_gen).writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{OUT}, batch long").parquet(f"{path}/rows").drop("batch")

@@ -3,6 +3,7 @@
 import random
 import struct
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,12 @@ from fanweave.functions import frames
 from fanweave.functions.binary import crc32c_bytes, le_hex, le_value
 from fanweave.functions.selection import canonical_key, parse_selection, selected_count, selected_partitions, selection
 from fanweave.functions.text import id_code
-from fanweave.operators import ledger, manifests, pressure, scheduler, topology
+from fanweave.operators import ledger, lifecycle, manifests, pressure, scheduler, topology
 from fanweave.operators.ranking import ranked, running_max, running_sum
-from fanweave.policy import Limits, Policy
+from fanweave.policy import Limits, Policy, policy_problem, policy_text
 from fanweave.schemas import ERROR_CODES, MESSAGE_TYPES, retry_class
 from fanweave.sources import journal
-from fanweave.streaming.fold import fold_stream
+from fanweave.streaming.fold import fold_batches
 
 CONSUMER = "consumer_id long, kind string, b long, e long, l array<long>, state string, shuffle_id long"
 
@@ -154,15 +155,26 @@ def test_stream_folds_like_the_batch(spark, tmp_path):
     for k in range(4):
         spark.createDataFrame(rows[50 * k:50 * k + 50], LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log/b={k}")
     stream = spark.readStream.schema(LOG + ", b int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/log").drop("b")
-    store = journal.Store(spark, f"{tmp_path}/store", "seq long, partition long, partition_gen long, consumer_id long, error_code string, outcome string")
-    run = fold_stream(stream, 4).writeStream.foreachBatch(store.sink()).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
-    assert run.awaitTermination(180)
-    assert {r["seq"]: (r["error_code"], r["outcome"]) for r in store.rows().collect()} == loop(rows)
-    store.compact(lambda df: df.filter("outcome <> 'refused'"), 1_000)
-    assert store.journal().count() == 0 and store.rows().count() == sum(o != "refused" for _, o in loop(rows).values())
-    store.append(spark.createDataFrame([(999, 0, 9, 1, "Ok", "new")], store.schema), 1_001)
-    store.append(spark.createDataFrame([(999, 0, 9, 1, "Ok", "new")], store.schema), 1_001)  # a retried batch counts once
-    assert store.rows().filter("seq = 999").count() == 1
+    assert {r["seq"]: (r["error_code"], r["outcome"]) for r in fold_batches(stream, 4).collect()} == loop(rows)
+
+
+def test_only_the_first_cancellation_with_a_reason_counts(spark):
+    opened = spark.createDataFrame([(1, 10), (2, 10)], "shuffle_id long, opened_at long")
+    cancels = spark.createDataFrame([(5, 1, "PolicyDenied"), (20, 1, "Ok"), (30, 1, "ShuttingDown"), (40, 1, "PolicyDenied"), (50, 1, "Ok"), (60, 3, "PolicyDenied")], "seq long, shuffle_id long, reason string")
+    spans = lifecycle.state_spans(opened, cancels)
+    assert sorted(map(tuple, spans.collect())) == [(1, 10, 30, "ShuttingDown"), (2, 10, None, None)]
+    assert values(lifecycle.judge_cancellations(cancels, spans), "seq", "error_code", "applied") == [(5, "InvalidState", False), (20, "InvalidArgument", False), (30, "Ok", True), (40, "Ok", False), (50, "Ok", False), (60, "InvalidState", False)]
+    asked = spark.createDataFrame([(s, i) for i in (1, 2, 3) for s in (9, 29, 31)], "seq long, shuffle_id long")
+    got = {(r["shuffle_id"], r["seq"]): r["error_code"] for r in lifecycle.lifecycle_gate(asked, spans).collect()}
+    assert got == {(1, 9): "InvalidState", (1, 29): "Ok", (1, 31): "Cancelled", (2, 9): "InvalidState", (2, 29): "Ok", (2, 31): "Ok", **{(3, s): "InvalidState" for s in (9, 29, 31)}}
+
+
+def test_a_store_recovers_whole_or_not_at_all(spark):
+    schema = "store long, origin string, version long, seq long, kind string, id long, state string, epoch long, readable boolean, torn boolean"
+    base = [("snapshot", 1, 1, "Producer", 1, "Active", 3, True, False), ("journal", 1, 2, "Producer", 1, "Suspect", 3, True, False), ("journal", 1, 3, "Consumer", 1, "Active", 4, True, False)]
+    stores = {1: base, 2: base + [("journal", 1, 4, "Producer", 1, "Active", 9, False, True)], 3: base + [("journal", 1, 4, "Commit", 1, "", 5, False, False)], 4: [("snapshot", 2, *base[0][2:]), *base[1:]]}
+    rows = spark.createDataFrame([(s, *r) for s, rs in stores.items() for r in rs], schema)
+    assert sorted(map(tuple, journal.recover(rows).collect())) == [(1, "Ok", 3, 5, 1, False), (2, "Ok", 3, 5, 1, True), (3, "StateCorrupt", 0, 5, 0, False), (4, "UnsupportedVersion", 0, 4, 0, False)]
 
 
 def test_progress_closes(spark):
@@ -365,34 +377,15 @@ def test_policies():
     assert "fan_out<=64" in Policy().describe()
 
 
-def test_binary_journals(spark, tmp_path):
-    records = [journal.encode_record(s, f"r{s}".encode()) for s in (1, 2, 2, 3)]
-    status = lambda data: [s for _, _, s in journal.scan_records(data)]
-    assert status(b"".join(records)) == ["replayed", "replayed", "skipped", "replayed"]
-    assert status(records[1] + records[0]) == ["replayed", "Corrupt"]
-    flipped = bytearray(b"".join(records[:2]))
-    flipped[-1] ^= 1
-    assert status(bytes(flipped)) == ["replayed", "Corrupt"]
-    whole = b"".join(records)
-    for cut in range(len(whole)):
-        assert status(whole[:cut])[-1:] in ([], ["TornTail"], ["replayed"], ["skipped"])
-    (tmp_path / "a.log").write_bytes(whole[:-1])
-    got = journal.read_journals(spark, str(tmp_path / "a.log")).collect()
-    assert [(r["sequence"], r["status"]) for r in got] == [(1, "replayed"), (2, "replayed"), (2, "skipped"), (2, "TornTail")]
-
-
-def test_frames_are_put_together_from_pieces(spark):
-    rows = spark.createDataFrame([(s, i, 10 + 2 * (i % 3), 0, i, f"payload {i}".encode() * i) for s in (1, 2) for i in range(1, 6)], "session long, sequence long, type long, flags long, n long, payload binary")
-    sent = frames.encode_frames(rows)
-    assert sorted((r["session"], r["sequence"], r["error_code"]) for r in frames.decode_frames(sent.drop("session", "sequence", "type", "flags")).collect()) == sorted((s, i, "Ok") for s in (1, 2) for i in range(1, 6))
-    streams = {s: b"".join(r["frame"] for r in sorted(sent.filter(F.col("session") == s).collect(), key=lambda r: r["sequence"])) for s in (1, 2)}
-    streams[2] = streams[2][:-3]
-    streams[3] = streams[1][:60] + b"\x00" * 50
-    pieces = [(s, k, data[a:a + 7]) for s, data in streams.items() for k, a in enumerate(range(0, len(data), 7))]
-    got = frames.frame_stream(spark.createDataFrame(pieces, "session long, arrival long, bytes binary")).collect()
-    by = {s: [r["error_code"] for r in sorted(got, key=lambda r: r["position"]) if r["session"] == s] for s in streams}
-    assert by[1] == ["Ok"] * 5 and by[2] == ["Ok"] * 4 + ["TruncatedInput"] and by[3] == ["Ok", "ChecksumMismatch"]
-    assert b"".join(r["frame"] for r in sorted(got, key=lambda r: r["position"]) if r["session"] == 1) == streams[1]
+def test_policies_as_rows_are_judged_like_values(spark):
+    rng = random.Random(3)
+    some = [Policy(shuffle=rng.randrange(2), per_source=rng.randrange(3), global_limit=rng.randrange(1, 3), max_grants=rng.randrange(3), pause=rng.choice([39, 60, 101]), require_fresh=bool(rng.randrange(2)), validity=rng.randrange(2), limits=Limits(max_wave_grants=rng.randrange(4))) for _ in range(300)]
+    schema = "n long, shuffle long, per_source long, global_limit long, max_grants long, pause long, require_fresh boolean, validity long, per_destination long, max_wave_grants long"
+    some = [replace(p, per_destination=1) for p in some]
+    rows = spark.createDataFrame([(k, p.shuffle, p.per_source, p.global_limit, p.max_grants, p.pause, p.require_fresh, p.validity, 1, p.limits.max_wave_grants) for k, p in enumerate(some)], schema)
+    got = rows.select("n", policy_problem(rows).alias("problem"), policy_text(rows).alias("text")).collect()
+    assert {r["n"]: (r["problem"], r["text"]) for r in got} == {k: (p.problem(), p.describe()) for k, p in enumerate(some)}
+    assert len({p.problem() for p in some}) > 6
 
 
 def test_commit_refusals_in_order(spark):
