@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, key_filter, maybe_in, whole_text
@@ -94,20 +94,17 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return out
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """The rule's counting matches in a text as array<struct<start, end>>, in code points, end exclusive."""
-    literal = F.lit(rule.pattern)
-    found, between = F.regexp_extract_all(text, literal, F.lit(0)), F.split(text, rule.pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("found"), F.slice(between, F.lit(1), F.size(between) - 1).alias("before")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,ok:boolean>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["before"]) + F.length(x["found"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["before"])).alias("start"), (acc["at"] + F.length(x["before"]) + F.length(x["found"])).alias("end"), x["found"].rlike(rule.keep).alias("ok"),
-            ))).alias("out")),
-        lambda acc: acc["out"])
-    return F.transform(F.filter(placed, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+def match_rows(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(_id, _row, start, end) of the rule's counting matches in ``_text``, in code points, end exclusive.
+
+    Every match is a row of its own with the text before it, and its place is a running sum of their
+    lengths, so a text with very many matches costs no more than its length. Repeated texts of an id count once.
+    """
+    found, between = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(0)), F.split("_text", rule.pattern, -1)
+    pieces = texts.select("_id", "_row", F.posexplode(F.arrays_zip(found.alias("found"), F.slice(between, F.lit(1), F.size(between) - 1).alias("before"))).alias("pos", "m"))
+    sizes = pieces.select("_id", "_row", "pos", F.length("m.before").alias("_before"), F.length("m.found").alias("_found"), F.col("m.found").rlike(rule.keep).alias("_ok")).dropDuplicates(["_id", "_row", "pos"])
+    end = F.sum(F.col("_before") + F.col("_found")).over(Window.partitionBy("_id", "_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    return sizes.withColumn("end", end).filter("_ok").select("_id", "_row", (F.col("end") - F.col("_found")).alias("start"), "end")
 
 
 def postings(rows: DataFrame, trigrams: list[str], keys: list[str]) -> DataFrame:
@@ -130,8 +127,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     def verified(texts: DataFrame, rule: Rule) -> DataFrame:
         rank = [r.kind for r in rules].index(rule.kind)
-        hits = texts.select("_id", "_row", matches(F.col("_text"), rule).alias("_hits"))
-        return hits.select("_id", "_row", F.explode("_hits").alias("h")).select("_id", "_row", F.struct(F.col("h.start").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.col("h.end").alias("end")).alias("span"))
+        return match_rows(texts, rule).select("_id", "_row", F.struct("start", F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), "end").alias("span"))
 
     parts = [verified(rows.filter(F.col("_text").rlike(rule.prefilter or rule.pattern)), rule) for rule in rules if not queries[rule.kind]]
     if needed:
