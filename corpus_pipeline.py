@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written as Parquet and read again."""
+    """All stages over ``documents``; each one's rows are written as Parquet and read again.
+
+    Null texts count as empty and have no language, so they go with the first stage. Of rows that repeat an id
+    and a text one stays; different texts under one id are judged each, but are one document to the
+    near-duplicate stage. Ties go to the smallest id, and a null id is never smallest. Further columns, whatever
+    their names, pass through all stages but the last. An empty table packs nothing.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
