@@ -4,8 +4,7 @@ Counts of all training tokens come from a grouped aggregation. The most frequent
 symbols of their own; all other words fall into classes by their spelling. The output is factored: a
 softmax over classes, then a softmax within each head class, or the smoothed relative frequency of the
 word within its spelling class. The recurrent weights are fitted by truncated backpropagation in every
-task, over all its training documents (or a share that a hash of the id picks), and averaged over tasks, so
-more data means more fitting. Scoring runs documents side by side and carries each one's state from window
+task, over all its training documents, and averaged over tasks, so more data means more fitting. Scoring runs documents side by side and carries each one's state from window
 to window up to its end.
 
 Counts of frequent words (a bounded number) are broadcast; those of rare words come by a join.
@@ -32,19 +31,20 @@ from .common import durable, task_number, text_slices, whole_text
 class Settings:
     """head_classes * class_size words have symbols of their own; at most ``frequent`` counts are broadcast.
 
-    ``share``: of the training documents, for the recurrent weights. ``rounds``: of fitting and averaging.
+    ``lanes``: pieces of a block of text that are read side by side, fewer where that would leave less than
+    ``updates`` windows. ``rounds``: of fitting and averaging.
     """
 
-    head_classes: int = 16
-    class_size: int = 32
+    head_classes: int = 32
+    class_size: int = 64
     suffixes: int = 21
     embed: int = 12
     hidden: int = 16
     window: int = 16
-    lanes: int = 32
+    lanes: int = 512
+    updates: int = 64
     rate: float = 0.05
-    share: float = 1.0
-    rounds: int = 2
+    rounds: int = 1
     frequent: int = 200_000
     seed: int = 7
 
@@ -61,6 +61,11 @@ class Settings:
         """The end, then the head classes, then the spelling classes."""
         return 1 + self.head_classes + self.spelled
 
+    @property
+    def code(self) -> np.dtype:
+        """How symbols are written."""
+        return np.dtype("<u2" if self.symbols <= 1 << 16 else "<u4")
+
     @property
     def symbols(self) -> int:
         """Head words, then spelling classes, then the end (also the start)."""
@@ -195,7 +200,11 @@ def unflat(vector: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(w: dict[str, np.ndarray], projected: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -203,13 +212,35 @@ def step(w: dict[str, np.ndarray], projected: np.ndarray, h: np.ndarray) -> tupl
     n = h.shape[1]
     own = h @ w["state"]
     gates = _sigmoid(projected[:, :2 * n] + own[:, :2 * n])
-    candidate = np.tanh(projected[:, 2 * n:] + gates[:, n:] * own[:, 2 * n:])
-    return candidate + gates[:, :n] * (h - candidate), gates, candidate, own[:, 2 * n:]
+    candidate = gates[:, n:] * own[:, 2 * n:]
+    candidate += projected[:, 2 * n:]
+    np.tanh(candidate, out=candidate)
+    after = h - candidate
+    after *= gates[:, :n]
+    after += candidate
+    return after, gates, candidate, own[:, 2 * n:]
+
 
+def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state, being within -1 and 1, can give a logit that ``exp`` overflows on."""
+    return float((np.abs(weights).sum(-2) + np.abs(bias)).max(initial=0)) < 80
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+def _softmax(x: np.ndarray, small: bool) -> np.ndarray:
+    """The softmax of each row, in place; rows of small logits need no maximum."""
+    if not small:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_shares(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """Of each row, the log of the softmax at one place. ``x`` is used up."""
+    if not small:
+        x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    return own - np.log(np.exp(x, out=x).sum(1))
 
 
 def targets(symbols: np.ndarray, s: Settings) -> np.ndarray:
@@ -217,75 +248,96 @@ def targets(symbols: np.ndarray, s: Settings) -> np.ndarray:
     return np.where(symbols < s.head, 1 + symbols // s.class_size, np.where(symbols == s.symbols - 1, 0, symbols - s.head + 1 + s.head_classes))
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``rows`` added up by their places ``at``, of which there are ``n``."""
+    order = np.argsort(at, kind="stable")
+    places, starts = np.unique(at[order], return_index=True)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[places] = np.add.reduceat(rows[order], starts)
+    return out
+
+
 def fit_window(w: dict[str, np.ndarray], s: Settings, seen: np.ndarray, next_: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the loss over a window (steps x lanes) per place, the last state and the loss. Where ``next_`` is -1, nothing is predicted."""
     k, lanes, n = len(seen), h.shape[0], s.hidden
-    table = w["embed"] @ w["in"] + w["in_bias"]
+    known = w["embed"][seen.ravel()]
+    inputs = (known @ w["in"] + w["in_bias"]).reshape(k, lanes, -1)
     keep = []
-    states = np.empty((k, lanes, n), np.float32)
+    states = np.empty((k, lanes, n), known.dtype)
     for t in range(k):
         before = h * ~fresh[t][:, None]
-        h, gates, candidate, own = step(w, table[seen[t]], before)
+        h, gates, candidate, own = step(w, inputs[t], before)
         keep.append((before, gates, candidate, own))
         states[t] = h
     rows, goal = states.reshape(-1, n), next_.ravel()
     used = goal >= 0
-    count = goal.size  # lanes that have ended weigh nothing, and the others no more than before
+    count = goal.size  # places after the last document weigh nothing, and the others no more than before
     cls = targets(np.where(used, goal, 0), s)
-    logp = _log_softmax(rows @ w["class"] + w["class_bias"])
-    loss = -logp[np.arange(len(goal)), cls][used].sum()
-    d = np.exp(logp)
-    d[np.arange(len(goal)), cls] -= 1
-    d *= used[:, None] / count
+    d, at_goal = rows @ w["class"], (np.arange(len(goal)), cls)
+    d += w["class_bias"]
+    d = _softmax(d, _small(w["class"], w["class_bias"]))
+    small = _small(w["word"], w["word_bias"])
+    loss = -np.log(d[at_goal][used]).sum()
+    d[at_goal] -= 1
+    if used.all():
+        d *= np.asarray(1 / count, known.dtype)
+    else:
+        d *= (used / count).astype(known.dtype)[:, None]
     g = {"class": rows.T @ d, "class_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
     dh = d @ w["class"].T
+    by_class = np.where(used, cls, 0)
+    order = np.argsort(by_class, kind="stable")
+    cuts = np.searchsorted(by_class[order], np.arange(1, s.head_classes + 2))
     for c in range(s.head_classes):
-        at = np.flatnonzero(used & (cls == 1 + c))
+        at = order[cuts[c]:cuts[c + 1]]
         if len(at):
-            lw = _log_softmax(rows[at] @ w["word"][c] + w["word_bias"][c])
-            which = goal[at] - c * s.class_size
-            loss -= lw[np.arange(len(at)), which].sum()
-            dw = np.exp(lw)
-            dw[np.arange(len(at)), which] -= 1
-            dw /= count
-            g["word"][c], g["word_bias"][c] = rows[at].T @ dw, dw.sum(0)
+            own = rows[at]
+            dw, which = own @ w["word"][c], (np.arange(len(at)), goal[at] - c * s.class_size)
+            dw += w["word_bias"][c]
+            dw = _softmax(dw, small)
+            loss -= np.log(dw[which]).sum()
+            dw[which] -= 1
+            dw *= np.asarray(1 / count, known.dtype)
+            g["word"][c], g["word_bias"][c] = own.T @ dw, dw.sum(0)
             dh[at] += dw @ w["word"][c].T
     dh = dh.reshape(k, lanes, n)
-    carry = np.zeros((lanes, n), np.float32)
-    g["state"], dtable = np.zeros_like(w["state"]), np.zeros_like(table)
+    carry = np.zeros((lanes, n), known.dtype)
+    g["state"], into = np.zeros_like(w["state"]), np.empty_like(inputs)
     for t in reversed(range(k)):
         before, gates, candidate, own = keep[t]
         z, r = gates[:, :n], gates[:, n:]
         total = dh[t] + carry
         dc = total * (1 - z) * (1 - candidate**2)
-        dz = total * (before - candidate) * z * (1 - z)
-        dr = dc * own * r * (1 - r)
-        into = np.concatenate([dz, dr, dc], 1)
-        through = np.concatenate([dz, dr, dc * r], 1)
+        into[t, :, :n] = total * (before - candidate) * z * (1 - z)
+        into[t, :, n:2 * n] = dc * own * r * (1 - r)
+        into[t, :, 2 * n:] = dc
+        through = into[t].copy()
+        through[:, 2 * n:] *= r
         g["state"] += before.T @ through
         carry = (total * z + through @ w["state"].T) * ~fresh[t][:, None]
-        np.add.at(dtable, seen[t], into)
-    g["embed"], g["in"], g["in_bias"] = dtable @ w["in"].T, w["embed"].T @ dtable, dtable.sum(0)
+    flat_into = into.reshape(k * lanes, -1)
+    g["in"], g["in_bias"] = known.T @ flat_into, flat_into.sum(0)
+    g["embed"] = _summed(flat_into @ w["in"].T, seen.ravel(), s.symbols)
     return g, h, float(loss) / count
 
 
-def fit(w: dict[str, np.ndarray], s: Settings, docs: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Truncated backpropagation (Adagrad) over documents of symbols, each with its end, dealt to lanes."""
-    lanes: list[list[np.ndarray]] = [[] for _ in range(s.lanes)]
-    loads = np.zeros(s.lanes, dtype=np.int64)
-    for doc in sorted(docs, key=len, reverse=True):
-        lane = int(loads.argmin())
-        lanes[lane].append(doc)
-        loads[lane] += len(doc)
-    length = int(loads.max())
-    seen = np.full((s.lanes, length), s.symbols - 1, dtype=np.int64)
-    goal, fresh = np.full((s.lanes, length), -1, dtype=np.int64), np.zeros((s.lanes, length), dtype=bool)
-    for i, lane in enumerate(lanes):
-        at = 0
-        for doc in lane:
-            seen[i, at + 1:at + len(doc)], goal[i, at:at + len(doc)], fresh[i, at] = doc[:-1], doc, True
-            at += len(doc)
-    squares, h = {k: np.full_like(x, 1e-6) for k, x in w.items()}, np.zeros((s.lanes, s.hidden), np.float32)
+def fit(w: dict[str, np.ndarray], s: Settings, symbols: np.ndarray, stops: np.ndarray) -> dict[str, np.ndarray]:
+    """Truncated backpropagation (Adagrad) over documents of symbols, each with its end.
+
+    The documents in a row are cut into equal lanes, so a long one fills no more memory than its symbols do;
+    the state is carried from window to window and cleared where a document begins.
+    """
+    n = len(symbols)
+    lanes = max(1, min(s.lanes, n // (s.window * s.updates)))
+    length = -(-n // lanes)
+    pad = lanes * length - n
+    end = s.symbols - 1
+    seen = np.concatenate([[end], symbols[:-1], np.full(pad, end)]).reshape(lanes, length)
+    goal = np.concatenate([symbols, np.full(pad, -1)]).reshape(lanes, length)
+    fresh = np.zeros(lanes * length, dtype=bool)
+    fresh[np.concatenate([[0], stops[:-1]])] = True
+    fresh = fresh.reshape(lanes, length)
+    squares, h = {k: np.full_like(x, 1e-6) for k, x in w.items()}, np.zeros((lanes, s.hidden), np.float32)
     w = {k: x.copy() for k, x in w.items()}
     for at in range(0, length, s.window):
         part = slice(at, at + s.window)
@@ -305,6 +357,7 @@ def log_probabilities(w: dict[str, np.ndarray], s: Settings, symbols: np.ndarray
     out, h = np.zeros(len(order)), np.zeros((len(order), s.hidden), np.float32)
     live = len(order)
     states, goals, held = [], [], 0
+    small, small_words = _small(w["class"], w["class_bias"]), _small(w["word"], w["word_bias"])
     previous = np.full(len(order), s.symbols - 1, dtype=np.int64)
 
     def settle() -> None:
@@ -313,13 +366,15 @@ def log_probabilities(w: dict[str, np.ndarray], s: Settings, symbols: np.ndarray
         cls = targets(goal, s)
         x = rows @ w["class"]
         x += w["class_bias"]
-        p = x[np.arange(len(goal)), cls] - x.max(1)
-        x -= x.max(1, keepdims=True)
-        p -= np.log(np.exp(x, out=x).sum(1))
+        p = _log_shares(x, cls, small)
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(1, s.head_classes + 2))
         for c in range(s.head_classes):
-            at = np.flatnonzero(cls == 1 + c)
+            at = order[cuts[c]:cuts[c + 1]]
             if len(at):
-                p[at] += _log_softmax(rows[at] @ w["word"][c] + w["word_bias"][c])[np.arange(len(at)), goal[at] - c * s.class_size]
+                y = rows[at] @ w["word"][c]
+                y += w["word_bias"][c]
+                p[at] += _log_shares(y, goal[at] - c * s.class_size, small_words)
         done = 0
         for part in goals:
             out[:len(part)] += p[done:done + len(part)]
@@ -361,27 +416,84 @@ def _with_ends(values: np.ndarray, stops: np.ndarray, end: int) -> tuple[np.ndar
     return np.insert(values, stops, end), stops + np.arange(1, len(stops) + 1)
 
 
-def fitted(rows: DataFrame, s: Settings, lex: Lexicon) -> dict[str, np.ndarray]:
-    """The weights after ``s.rounds`` of fitting in every task and averaging."""
+def encoded(rows: DataFrame, s: Settings, lex: Lexicon) -> DataFrame:
+    """Every row as symbols, written once for fitting and scoring.
+
+    uid, doc_id, held_out, n_tokens, ``known`` (frequent tokens), ``base`` and ``tail`` (what the base and the
+    spelling classes give for those), ``symbols`` (little-endian), and the hashes of rare words with their times.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(lex)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon_ = shared.value
+        number = task_number() << 33
+        norm = math.log10(lexicon_.total + lexicon_.distinct + 1)
+        frequent, mass = np.log10(lexicon_.counts + 1.0), np.log10(lexicon_.shape_mass)
+        for whole in batches:
+            for batch in text_slices(whole, most_bytes=16 << 20):
+                words = block_words(batch.column("text"), s.suffixes)
+                symbol, place = _symbols(words, lexicon_, s)
+                known = place >= 0
+                base_of = np.where(known, frequent[place] if len(frequent) else 0.0, 0.0)
+                # the part of a spelled word's probability within its class that needs no count of a rare word
+                tail_of = np.where(symbol < s.head, 0.0, base_of - mass[words.shapes])
+                add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[words.codes])])[words.stops], prepend=0.0)
+                symbols, stops = _with_ends(symbol[words.codes].astype(s.code), words.stops, s.symbols - 1)
+                sizes = np.diff(stops, prepend=0)
+                base = add(base_of) + math.log10(lexicon_.ends + 1) - sizes * norm
+                doc = np.repeat(np.arange(len(batch)), sizes - 1)
+                rare = ~known[words.codes]
+                pairs, n = np.unique(doc[rare] * len(words.hashes) + words.codes[rare], return_counts=True)
+                where = np.searchsorted(pairs, np.arange(len(batch) + 1) * max(1, len(words.hashes)))
+                lists = [pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(x)) for x in (words.hashes[pairs % max(1, len(words.hashes))], n.astype(np.int64))]
+                bytes_ = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int64) * s.code.itemsize), pa.py_buffer(symbols)])
+                ids = batch.column("doc_id")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(number + np.arange(len(batch))), ids, pa.array(is_held_out(ids.to_pylist())), pa.array(sizes.astype(np.int64)), pa.array(np.rint(add(known.astype(float))).astype(np.int64) + bool(lexicon_.ends)),
+                    pa.array(base), pa.array(add(tail_of)), bytes_.cast(pa.binary()), *lists,
+                ], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "tail", "symbols", "rare", "times"])
+                number += len(batch)
+
+    return durable(rows.mapInArrow(encode, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, tail double, symbols binary, rare array<long>, times array<long>"), "lm-symbols")
+
+
+def _read(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all documents in a row, where each one's end)."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // s.code.itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), s.code).astype(np.int64), np.cumsum(sizes)
+
+
+def fitted(documents: DataFrame, s: Settings, lex: Lexicon, block: int = 1 << 20) -> dict[str, np.ndarray]:
+    """The weights after ``s.rounds`` of fitting in every task and averaging, by the tokens that each task has seen.
+
+    ``documents`` are those of ``encoded``. A task fits about ``block`` symbols at a time.
+    """
     w = initial(s, lex)
-    spark = rows.sparkSession
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(10_000)) < int(10_000 * s.share))
+    spark = documents.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    learning = documents.filter("NOT held_out").select("symbols")
 
     for _ in range(s.rounds):
-        shared = spark.sparkContext.broadcast((w, lex))
+        shared = spark.sparkContext.broadcast(w)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, lexicon_ = shared.value
-            tokens = 0
+            now, tokens = shared.value, 0
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def settle(now: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+                starts = np.cumsum([0, *(len(x) for x, _ in held)])
+                out = fit(now, s, np.concatenate([x for x, _ in held]), np.concatenate([stops + at for (_, stops), at in zip(held, starts)]))
+                held.clear()
+                return out
+
             for whole in batches:
-                for batch in text_slices(whole):
-                    batch = batch.filter(pa.array(~is_held_out(batch.column("doc_id").to_pylist())))
-                    if not len(batch):
-                        continue
-                    words = block_words(batch.column("text"), s.suffixes)
-                    symbols, stops = _with_ends(_symbols(words, lexicon_, s)[0][words.codes], words.stops, s.symbols - 1)
-                    now = fit(now, s, np.split(symbols, stops[:-1]))
-                    tokens += len(symbols)
+                for batch in text_slices(whole, "symbols", block * s.code.itemsize):
+                    held.append(_read(batch.column("symbols"), s))
+                    tokens += len(held[-1][0])
+                    if sum(len(x) for x, _ in held) >= block:
+                        now = settle(now)
+            if held:
+                now = settle(now)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([flat(now) * np.float32(tokens)], pa.list_(pa.float32()))], names=["n", "w"])
 
@@ -394,8 +506,9 @@ def fitted(rows: DataFrame, s: Settings, lex: Lexicon) -> dict[str, np.ndarray]:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=["n", "w"])
 
-        each = chosen.mapInArrow(train, "n double, w array<float>")
-        sums = each.repartition(8).mapInArrow(add, "n double, w array<double>").toArrow()  # 8 rows at most
+        each = learning.mapInArrow(train, "n double, w array<float>")
+        sums = each.repartition(tasks).mapInArrow(add, "n double, w array<double>")  # two levels, so no task adds up too many
+        sums = sums.repartition(8).mapInArrow(add, "n double, w array<double>").toArrow()  # 8 rows at most
         n = sum(sums.column("n").to_pylist())
         if not n:
             return w
@@ -415,42 +528,23 @@ def score_documents(docs: DataFrame, settings: Settings | None = None, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     counts = token_counts(rows, s.suffixes)
     lex = lexicon(counts, s)
-    shared = rows.sparkSession.sparkContext.broadcast((fitted(rows, s, lex), lex))
+    documents = encoded(rows, s, lex)
+    shared = rows.sparkSession.sparkContext.broadcast(fitted(documents, s, lex))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, lexicon_ = shared.value
-        number = task_number() << 33
-        norm, log10 = math.log10(lexicon_.total + lexicon_.distinct + 1), math.log(10)
-        frequent, mass = np.log10(lexicon_.counts + 1.0), np.log10(lexicon_.shape_mass)
+        w, log10 = shared.value, math.log(10)
         for whole in batches:
-            for batch in text_slices(whole, most_bytes=24 << 20):
-                words = block_words(batch.column("text"), s.suffixes)
-                symbol, place = _symbols(words, lexicon_, s)
-                known = place >= 0
-                base_of = np.where(known, frequent[place] if len(frequent) else 0.0, 0.0)
-                # the part of a spelled word's probability within its class that needs no count of a rare word
-                tail_of = np.where(symbol < s.head, 0.0, base_of - mass[words.shapes])
-                add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[words.codes])])[words.stops], prepend=0.0)
-                symbols, stops = _with_ends(symbol[words.codes], words.stops, s.symbols - 1)
-                sizes = np.diff(stops, prepend=0)
-                base = add(base_of) + math.log10(lexicon_.ends + 1) - sizes * norm
-                model = log_probabilities(w, s, symbols, stops) / log10 + add(tail_of)
-                doc = np.repeat(np.arange(len(batch)), sizes - 1)
-                rare = ~known[words.codes]
-                pairs, n = np.unique(doc[rare] * len(words.hashes) + words.codes[rare], return_counts=True)
-                where = np.searchsorted(pairs, np.arange(len(batch) + 1) * max(1, len(words.hashes)))
-                lists = [pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(x)) for x in (words.hashes[pairs % max(1, len(words.hashes))], n.astype(np.int64))]
-                ids = batch.column("doc_id")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(number + np.arange(len(batch))), ids, pa.array(is_held_out(ids.to_pylist())), pa.array(sizes.astype(np.int64)), pa.array(np.rint(add(known.astype(float))).astype(np.int64) + bool(lexicon_.ends)), pa.array(base), pa.array(model), *lists,
-                ], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare", "times"])
-                number += len(batch)
-
-    scored = durable(rows.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>, times array<long>"), "lm-scores")
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
+            for batch in text_slices(whole, "symbols", 4 << 20):
+                symbols, stops = _read(batch.column("symbols"), s)
+                model = log_probabilities(w, s, symbols, stops) / log10 + batch.column("tail").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "held_out", "n_tokens", "known", "base")), pa.array(model)], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model"])
+
+    asked = documents.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "tail", "symbols")
+    scored = durable(asked.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"), "lm-scores")
+    rare = documents.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
     # rare words have bounded counts, so no key of this join is hot
     added = rare.join(counts.filter("shape >= 0").select("word", "c"), "word").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_c"), F.sum("n").alias("rare_known"))
-    out = scored.drop("rare", "times").join(added, "uid", "left")
+    out = scored.join(added, "uid", "left")
     log_c = F.coalesce("log_c", F.lit(0.0))
     return out.select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
