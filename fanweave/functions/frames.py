@@ -20,9 +20,15 @@ MOST_JUMP = 1 << 40
 
 def encode_frames(rows: DataFrame) -> DataFrame:
     """``rows`` (type, flags, session, sequence, payload) with ``frame``, the header and payload as bytes."""
-    head = F.concat(le_hex(F.lit(MAGIC), 4), le_hex(F.lit(VERSION), 2), le_hex(F.col("type"), 2), le_hex(F.col("flags"), 4), le_hex(F.col("session"), 8), le_hex(F.col("sequence"), 8), le_hex(F.octet_length("payload"), 4), le_hex(crc32c(F.col("payload")), 4))
+    head = F.concat(
+        le_hex(F.lit(MAGIC), 4), le_hex(F.lit(VERSION), 2), le_hex(F.col("type"), 2), le_hex(F.col("flags"), 4),
+        le_hex(F.col("session"), 8), le_hex(F.col("sequence"), 8), le_hex(F.octet_length("payload"), 4),
+        le_hex(crc32c(F.col("payload")), 4)
+    )
     headed = rows.withColumn("_head", head)
-    return headed.withColumn("frame", F.concat(F.unhex("_head"), F.unhex(le_hex(crc32c(F.unhex("_head")), 4)), F.col("payload"))).drop("_head")
+    return headed.withColumn(
+        "frame", F.concat(F.unhex("_head"), F.unhex(le_hex(crc32c(F.unhex("_head")), 4)), F.col("payload"))
+    ).drop("_head")
 
 
 def decode_frames(rows: DataFrame, most_payload: int = MOST_PAYLOAD) -> DataFrame:
@@ -34,14 +40,33 @@ def decode_frames(rows: DataFrame, most_payload: int = MOST_PAYLOAD) -> DataFram
     text = F.lower(F.hex("frame"))
     field = lambda at, size: le_value(F.substring("_hex", 2 * at + 1, 2 * size), size)
     size = F.octet_length("frame")
-    split = rows.withColumns({"_hex": text, "_head_crc": crc32c(F.substring("frame", 1, CRC_AT)), "_body_crc": crc32c(F.substring("frame", HEADER_BYTES + 1, 1 << 30))})
-    parts = split.withColumns({"_magic": field(0, 4), "_version": field(4, 2), "type": field(6, 2), "flags": field(8, 4), "session": field(12, 8), "sequence": field(20, 8), "payload_bytes": field(28, 4), "_crc": field(32, 4), "_own_crc": field(CRC_AT, 4)})
+    split = rows.withColumns(
+        {
+            "_hex": text, "_head_crc": crc32c(F.substring("frame", 1, CRC_AT)),
+            "_body_crc": crc32c(F.substring("frame", HEADER_BYTES + 1, 1 << 30))
+        }
+    )
+    parts = split.withColumns(
+        {
+            "_magic": field(0, 4), "_version": field(4, 2), "type": field(6, 2), "flags": field(8, 4),
+            "session": field(12, 8), "sequence": field(20, 8), "payload_bytes": field(28, 4), "_crc": field(32, 4),
+            "_own_crc": field(CRC_AT, 4)
+        }
+    )
     code = first_refusal(
-        (size < HEADER_BYTES, "TruncatedInput"), (F.col("_magic") != MAGIC, "ProtocolViolation"), (F.col("_version") != VERSION, "UnsupportedVersion"), (F.col("_own_crc") != F.col("_head_crc"), "ChecksumMismatch"),
-        (F.col("flags") > 1, "MalformedInput"), (~F.col("type").isin(*MESSAGE_TYPES), "FrameTypeUnsupported"), (F.col("payload_bytes") > most_payload, "OversizedInput"), (F.col("sequence") == 0, "SequenceViolation"),
-        (size < HEADER_BYTES + F.col("payload_bytes"), "TruncatedInput"), (size > HEADER_BYTES + F.col("payload_bytes"), "TrailingGarbage"), (F.col("_crc") != F.col("_body_crc"), "ChecksumMismatch"),
+        (size < HEADER_BYTES, "TruncatedInput"), (F.col("_magic") != MAGIC, "ProtocolViolation"), (F.col("_version") != VERSION, "UnsupportedVersion"), (
+            F.col("_own_crc") != F.col("_head_crc"), "ChecksumMismatch"
+        ),
+        (F.col("flags") > 1, "MalformedInput"), (
+            ~F.col("type").isin(*MESSAGE_TYPES), "FrameTypeUnsupported"
+        ), (F.col("payload_bytes") > most_payload, "OversizedInput"), (F.col("sequence") == 0, "SequenceViolation"),
+        (size < HEADER_BYTES + F.col("payload_bytes"), "TruncatedInput"), (
+            size > HEADER_BYTES + F.col("payload_bytes"), "TrailingGarbage"
+        ), (F.col("_crc") != F.col("_body_crc"), "ChecksumMismatch"),
+    )
+    return parts.withColumn("error_code", code).drop(
+        "_hex", "_head_crc", "_body_crc", "_magic", "_version", "_crc", "_own_crc"
     )
-    return parts.withColumn("error_code", code).drop("_hex", "_head_crc", "_body_crc", "_magic", "_version", "_crc", "_own_crc")
 
 
 def message_class(number: Column) -> Column:
@@ -89,5 +114,7 @@ def replay_guard(rows: DataFrame, size: int = 1024) -> DataFrame:
                 answers.append(window.answer(int(sequence)))
             yield frame.assign(answer=answers)
 
-    dealt = rows.select("session", "arrival", "sequence").repartition("session").sortWithinPartitions("session", "arrival")
+    dealt = rows.select(
+        "session", "arrival", "sequence"
+    ).repartition("session").sortWithinPartitions("session", "arrival")
     return dealt.mapInPandas(guard, "session long, arrival long, sequence long, answer string")

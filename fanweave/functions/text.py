@@ -17,7 +17,10 @@ def id_code(text: Column) -> Column:
         (F.coalesce(text, F.lit("")) == "", "EmptyValue"),
         ((F.length(text) > 1) & text.startswith("0"), "InvalidArgument"),
         (~digits, "InvalidArgument"),
-        ((F.length(text) > 20) | (text.try_cast("decimal(38,0)") > F.lit(_MOST).cast("decimal(38,0)")), "IntegerOverflow"),
+        (
+            (F.length(text) > 20) | (text.try_cast("decimal(38,0)") > F.lit(_MOST).cast("decimal(38,0)")),
+            "IntegerOverflow"
+        ),
     )
 
 
@@ -28,4 +31,7 @@ def id_value(text: Column) -> Column:
 
 def edge_text(partition: Column, generation: Column, consumer: Column) -> Column:
     """An edge's name, as explanations sort by it."""
-    return F.concat(F.lit("p"), partition.cast("string"), F.lit("/g"), generation.cast("string"), F.lit("/c"), consumer.cast("string"))
+    return F.concat(
+        F.lit("p"), partition.cast("string"), F.lit("/g"), generation.cast("string"), F.lit("/c"),
+        consumer.cast("string")
+    )

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..schemas import first_refusal
 
 
-def admit_commits(requests: DataFrame, grants: DataFrame, consumers: DataFrame, producers: DataFrame, owners: DataFrame, manifests: DataFrame, shuffle_state: str | Column = "Open", shuffle_gen: int = 1) -> DataFrame:
+def admit_commits(
+    requests: DataFrame, grants: DataFrame, consumers: DataFrame, producers: DataFrame, owners: DataFrame,
+    manifests: DataFrame, shuffle_state: str | Column = "Open", shuffle_gen: int = 1
+) -> DataFrame:
     """Requests with ``error_code``: the first check that refuses names it.
 
     requests: seq, attempt, partition, partition_gen, consumer_id, consumer_incarnation, producer_id,
@@ -19,21 +22,38 @@ def admit_commits(requests: DataFrame, grants: DataFrame, consumers: DataFrame,
     """
     state = F.lit(shuffle_state) if isinstance(shuffle_state, str) else shuffle_state
     requests = requests.withColumn("_state", state)
-    grant = grants.select("attempt", F.struct("partition", "partition_gen", "consumer_id", "consumer_incarnation", "producer_id", "producer_incarnation", "digest").alias("g"))
+    grant = grants.select(
+        "attempt",
+        F.struct(
+            "partition", "partition_gen", "consumer_id", "consumer_incarnation", "producer_id", "producer_incarnation",
+            "digest"
+        ).alias("g")
+    )
     joined = (
         requests.join(grant, "attempt", "left")
         .join(consumers.select("consumer_id", F.struct("incarnation", "state").alias("c")), "consumer_id", "left")
         .join(producers.select("producer_id", F.struct("incarnation", "state").alias("p")), "producer_id", "left")
         .join(owners.select("partition", F.col("producer_id").alias("owner")), "partition", "left")
-        .join(manifests.select("partition", F.struct("partition_gen", "digest", "content_digest", "bytes", "chunk_digests").alias("m")), "partition", "left")
+        .join(
+            manifests.select(
+                "partition", F.struct("partition_gen", "digest", "content_digest", "bytes", "chunk_digests").alias("m")
+            ),
+            "partition", "left"
+        )
     )
     return joined.select("seq", first_refusal(
         ("_state IN ('Cancelled', 'Cancelling')", "Cancelled"),
         ("g IS NULL", "StaleAttempt"),
         ("_state <> 'Open'", "InvalidState"),
         (F.col("shuffle_gen") != shuffle_gen, "StaleGeneration"),
-        ("partition <> g.partition OR partition_gen <> g.partition_gen OR consumer_id <> g.consumer_id", "AttemptSuperseded"),
-        ("producer_id <> g.producer_id OR producer_incarnation <> g.producer_incarnation OR consumer_incarnation <> g.consumer_incarnation", "StaleIncarnation"),
+        (
+            "partition <> g.partition OR partition_gen <> g.partition_gen OR consumer_id <> g.consumer_id",
+            "AttemptSuperseded"
+        ),
+        (
+            "producer_id <> g.producer_id OR producer_incarnation <> g.producer_incarnation OR consumer_incarnation <> g.consumer_incarnation",
+            "StaleIncarnation"
+        ),
         ("digest <> g.digest", "ManifestInconsistent"),
         ("c IS NULL", "UnknownParticipant"),
         ("c.incarnation <> consumer_incarnation", "StaleIncarnation"),

@@ -14,12 +14,19 @@ BAND = 4096
 
 def running_sums(df: DataFrame, order: str, values: dict[str, Column], band: int = BAND) -> DataFrame:
     """``df`` with, for each name, the sum of its value over all rows up to and including this one, in ascending ``order`` (unique integers)."""
-    rows = df.withColumns({"__band": F.floor(F.col(order) / band)} | {f"__{name}": value.cast("long") for name, value in values.items()})
+    rows = df.withColumns(
+        {"__band": F.floor(F.col(order) / band)} | {f"__{name}": value.cast("long") for name, value in values.items()}
+    )
     before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     bands = rows.groupBy("__band").agg(*[F.sum(f"__{name}").alias(f"__sum_{name}") for name in values])
-    bands = bands.select("__band", *[F.coalesce(F.sum(f"__sum_{name}").over(before), F.lit(0)).alias(f"__before_{name}") for name in values])
+    bands = bands.select(
+        "__band",
+        *[F.coalesce(F.sum(f"__sum_{name}").over(before), F.lit(0)).alias(f"__before_{name}") for name in values]
+    )
     within = Window.partitionBy("__band").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(bands, "__band").withColumns({name: F.col(f"__before_{name}") + F.sum(f"__{name}").over(within) for name in values})
+    rows = rows.join(bands, "__band").withColumns(
+        {name: F.col(f"__before_{name}") + F.sum(f"__{name}").over(within) for name in values}
+    )
     return rows.drop("__band", *[f"__{name}" for name in values], *[f"__before_{name}" for name in values])
 
 
@@ -32,9 +39,13 @@ def running_max(df: DataFrame, order: str, value: Column, name: str, band: int =
     """``df`` with the largest ``value`` over all rows up to and including this one, in ascending ``order``."""
     rows = df.withColumns({"__band": F.floor(F.col(order) / band), "__value": value})
     before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = rows.groupBy("__band").agg(F.max("__value").alias("__max")).select("__band", F.max("__max").over(before).alias("__before"))
+    bands = rows.groupBy("__band").agg(F.max("__value").alias("__max")).select(
+        "__band", F.max("__max").over(before).alias("__before")
+    )
     within = Window.partitionBy("__band").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(bands, "__band").withColumn(name, F.greatest("__before", F.max("__value").over(within))).drop("__band", "__value", "__before")
+    return rows.join(bands, "__band").withColumn(
+        name, F.greatest("__before", F.max("__value").over(within))
+    ).drop("__band", "__value", "__before")
 
 
 def earlier_max(df: DataFrame, key: str, order: str, value: Column, name: str, band: int = BAND) -> DataFrame:
@@ -47,7 +58,9 @@ def earlier_max(df: DataFrame, key: str, order: str, value: Column, name: str, b
     before = Window.partitionBy(key).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select(key, "__band", F.max("__max").over(before).alias("__before"))
     within = Window.partitionBy(key, "__band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(bands, [key, "__band"]).withColumn(name, F.greatest("__before", F.max("__value").over(within))).drop("__band", "__value", "__before")
+    return rows.join(bands, [key, "__band"]).withColumn(
+        name, F.greatest("__before", F.max("__value").over(within))
+    ).drop("__band", "__value", "__before")
 
 
 def ranked(df: DataFrame, order: str, name: str, band: int = BAND) -> DataFrame:

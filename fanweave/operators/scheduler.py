@@ -22,17 +22,24 @@ from .ranking import running_sums
 #: The answers that come before any limit, in order of precedence.
 EARLY = ("unproduced", "completed", "failed", "in_flight", "retry_wait")
 #: What a wave counts besides its grants; all but the first two keep a shuffle unresolved.
-COUNTED = ("completed", "failed", "in_flight", "unproduced", "limits", "source_pressure", "destination_pressure", "unknown_pressure", "retry_wait")
+COUNTED = (
+    "completed", "failed", "in_flight", "unproduced", "limits", "source_pressure", "destination_pressure",
+    "unknown_pressure", "retry_wait"
+)
 
 
 def _required(consumers: DataFrame) -> DataFrame:
-    return consumers.filter("state <> 'Withdrawn'").select("shuffle_id", "consumer_id", "selection", canonical_key(F.col("selection")).alias("canonical_key"))
+    return consumers.filter("state <> 'Withdrawn'").select(
+        "shuffle_id", "consumer_id", "selection", canonical_key(F.col("selection")).alias("canonical_key")
+    )
 
 
 def cursor_steps(consumers: DataFrame, n: int) -> DataFrame:
     """(shuffle_id, patterns, planned_edges, full_pass): how many steps one full pass takes, in closed form."""
     keyed = _required(consumers).withColumn("_n", selected_count(F.col("selection"), n))
-    by = keyed.groupBy("shuffle_id").agg(F.countDistinct("canonical_key").alias("patterns"), F.sum("_n").alias("planned_edges"))
+    by = keyed.groupBy("shuffle_id").agg(
+        F.countDistinct("canonical_key").alias("patterns"), F.sum("_n").alias("planned_edges")
+    )
     return by.withColumn("full_pass", n * (1 + F.col("patterns")) + F.col("planned_edges"))
 
 
@@ -48,16 +55,28 @@ def pass_segments(consumers: DataFrame, n: int) -> DataFrame:
     members = F.filter("selection.list", lambda m: m < n)
     changes = (
         F.when(F.col("selection.kind") == "All", F.array(one(F.lit(0), 1), one(F.lit(n), -1)))
-        .when(F.col("selection.kind") == "Range", F.when(bound("begin") < bound("end"), F.array(one(bound("begin"), 1), one(bound("end"), -1))))
+        .when(
+            F.col("selection.kind") == "Range",
+            F.when(bound("begin") < bound("end"), F.array(one(bound("begin"), 1), one(bound("end"), -1)))
+        )
         .otherwise(F.concat(F.transform(members, lambda m: one(m, 1)), F.transform(members, lambda m: one(m + 1, -1))))
     )
     edges = F.array(one(F.lit(0), 0), one(F.lit(n), 0))
-    steps = keyed.select("shuffle_id", F.explode(F.concat(F.coalesce(changes, edges), edges)).alias("c")).groupBy("shuffle_id", F.col("c.first").alias("first")).agg(F.sum("c.by").alias("by"))
+    steps = keyed.select(
+        "shuffle_id", F.explode(F.concat(F.coalesce(changes, edges), edges)).alias("c")
+    ).groupBy("shuffle_id", F.col("c.first").alias("first")).agg(F.sum("c.by").alias("by"))
     patterns = keyed.groupBy("shuffle_id").agg(F.countDistinct("canonical_key").alias("patterns"))
     order = Window.partitionBy("shuffle_id").orderBy("first")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = steps.join(patterns, "shuffle_id").withColumns({"stop": F.lead("first").over(order), "each": F.col("patterns") + 1 + F.sum("by").over(upto)}).filter("stop IS NOT NULL")
-    return rows.select("shuffle_id", "first", "stop", "each", F.coalesce(F.sum(F.expr("(stop - first) * each")).over(before), F.lit(0)).alias("start"))
+    upto, before = order.rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    ), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = steps.join(patterns, "shuffle_id").withColumns(
+        {"stop": F.lead("first").over(order), "each": F.col("patterns") + 1 + F.sum("by").over(upto)}
+    ).filter("stop IS NOT NULL")
+    return rows.select(
+        "shuffle_id", "first", "stop", "each",
+        F.coalesce(F.sum(F.expr("(stop - first) * each")).over(before), F.lit(0)).alias("start")
+    )
 
 
 def visited_partitions(segments: DataFrame, cursors: DataFrame | None = None, budget: int = 0) -> DataFrame:
@@ -70,23 +89,40 @@ def visited_partitions(segments: DataFrame, cursors: DataFrame | None = None, bu
         spans = segments.withColumns({"low": F.col("first"), "high": F.col("stop") - 1})
     else:
         over = F.greatest(F.col("cursor") + budget - F.col("full_pass"), F.lit(0))
-        ranges = F.array(F.struct(F.col("cursor").alias("a"), F.least(F.col("cursor") + budget, F.col("full_pass")).alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.least(over, F.col("cursor")).alias("b")))
-        asked = segments.join(cursors, "shuffle_id").withColumn("r", F.explode(ranges)).withColumn("end", F.expr("start + (stop - first) * each"))
+        ranges = F.array(
+            F.struct(F.col("cursor").alias("a"), F.least(F.col("cursor") + budget, F.col("full_pass")).alias("b")),
+            F.struct(F.lit(0).cast("long").alias("a"), F.least(over, F.col("cursor")).alias("b"))
+        )
+        asked = segments.join(cursors, "shuffle_id").withColumn("r", F.explode(ranges)).withColumn(
+            "end", F.expr("start + (stop - first) * each")
+        )
         asked = asked.filter("r.a < end AND r.b > start AND r.a < r.b")
-        spans = asked.withColumns({"low": F.expr("first + (greatest(r.a, start) - start) div each"), "high": F.expr("first + (least(r.b, end) - 1 - start) div each")})
+        spans = asked.withColumns(
+            {
+                "low": F.expr("first + (greatest(r.a, start) - start) div each"),
+                "high": F.expr("first + (least(r.b, end) - 1 - start) div each")
+            }
+        )
     rows = spans.select("shuffle_id", F.explode(F.sequence("low", "high")).alias("partition"), "first", "each", "start")
-    return rows.select("shuffle_id", "partition", F.expr("start + (partition - first) * each").alias("start")).distinct()
+    return rows.select(
+        "shuffle_id", "partition", F.expr("start + (partition - first) * each").alias("start")
+    ).distinct()
 
 
 def _numbered(consumers: DataFrame, visited: DataFrame) -> DataFrame:
     """The edges of the visited partitions with their steps. Each partition is numbered by itself."""
     keyed = _required(consumers)
     order = Window.partitionBy("shuffle_id").orderBy("canonical_key")
-    kinds = keyed.groupBy("shuffle_id", "canonical_key").agg(F.first("selection").alias("selection")).withColumn("_pattern", F.row_number().over(order))
+    kinds = keyed.groupBy("shuffle_id", "canonical_key").agg(
+        F.first("selection").alias("selection")
+    ).withColumn("_pattern", F.row_number().over(order))
     rows = visited.join(kinds, "shuffle_id").filter(covers(F.col("selection"), F.col("partition"))).drop("selection")
     rows = rows.join(keyed.select("shuffle_id", "canonical_key", "consumer_id"), ["shuffle_id", "canonical_key"])
     place = F.row_number().over(Window.partitionBy("shuffle_id", "partition").orderBy("canonical_key", "consumer_id"))
-    return rows.select("shuffle_id", "partition", "canonical_key", "consumer_id", (F.col("start") + F.col("_pattern") - 1 + place).alias("step"))
+    return rows.select(
+        "shuffle_id", "partition", "canonical_key", "consumer_id",
+        (F.col("start") + F.col("_pattern") - 1 + place).alias("step")
+    )
 
 
 def cursor_edges(consumers: DataFrame, n: int) -> DataFrame:
@@ -96,7 +132,9 @@ def cursor_edges(consumers: DataFrame, n: int) -> DataFrame:
 
 def wave_edges(consumers: DataFrame, n: int, cursors: DataFrame, budget: int) -> DataFrame:
     """Those of ``cursor_edges`` that a wave from ``cursors`` (shuffle_id, cursor, full_pass) may examine within ``budget`` steps."""
-    edges = _numbered(consumers, visited_partitions(pass_segments(consumers, n), cursors, budget)).join(cursors, "shuffle_id")
+    edges = _numbered(
+        consumers, visited_partitions(pass_segments(consumers, n), cursors, budget)
+    ).join(cursors, "shuffle_id")
     ahead = (F.col("step") - F.col("cursor") - 1 + F.col("full_pass")) % F.col("full_pass") + 1
     return edges.filter(ahead <= budget).drop("cursor", "full_pass")
 
@@ -108,9 +146,14 @@ def bind_cursors(cursors: DataFrame, bound: DataFrame, consumers: DataFrame, n:
     of other generations restarts at 0, so that every edge is examined anew; what is in flight stays so.
     """
     old = cursors.select("shuffle_id", F.struct("topology_gen", "policy_gen", "cursor").alias("_old"))
-    rows = bound.select("shuffle_id", "topology_gen", "policy_gen").join(old, "shuffle_id", "left").join(cursor_steps(consumers, n).select("shuffle_id", "full_pass"), "shuffle_id", "left")
+    rows = bound.select("shuffle_id", "topology_gen", "policy_gen").join(old, "shuffle_id", "left").join(
+        cursor_steps(consumers, n).select("shuffle_id", "full_pass"), "shuffle_id", "left"
+    )
     same = (F.col("_old.topology_gen") == F.col("topology_gen")) & (F.col("_old.policy_gen") == F.col("policy_gen"))
-    return rows.select("shuffle_id", "topology_gen", "policy_gen", F.coalesce(F.when(same, F.col("_old.cursor")), F.lit(0)).cast("long").alias("cursor"), "full_pass")
+    return rows.select(
+        "shuffle_id", "topology_gen", "policy_gen",
+        F.coalesce(F.when(same, F.col("_old.cursor")), F.lit(0)).cast("long").alias("cursor"), "full_pass"
+    )
 
 
 def wave_admission(bound: DataFrame, offered: DataFrame) -> DataFrame:
@@ -120,10 +163,19 @@ def wave_admission(bound: DataFrame, offered: DataFrame) -> DataFrame:
     """
     own = bound.select("shuffle_id", F.struct("shuffle_gen", "topology_gen").alias("own"))
     rows = offered.join(own, "shuffle_id", "left")
-    return rows.select("shuffle_id", first_refusal(("own IS NULL", "InvalidState"), ("own.shuffle_gen <> shuffle_gen", "PolicyMismatch"), ("own.topology_gen <> topology_gen", "StaleTopology")).alias("error_code"))
+    return rows.select(
+        "shuffle_id",
+        first_refusal(
+            ("own IS NULL", "InvalidState"), ("own.shuffle_gen <> shuffle_gen", "PolicyMismatch"),
+            ("own.topology_gen <> topology_gen", "StaleTopology")
+        ).alias("error_code")
+    )
 
 
-def dispositions(edges: DataFrame, facts: DataFrame, owners: DataFrame, producers: DataFrame, consumers: DataFrame, status: DataFrame, in_flight: DataFrame, now: int, policy: Policy, pressure: DataFrame | None = None) -> DataFrame:
+def dispositions(
+    edges: DataFrame, facts: DataFrame, owners: DataFrame, producers: DataFrame, consumers: DataFrame,
+    status: DataFrame, in_flight: DataFrame, now: int, policy: Policy, pressure: DataFrame | None = None
+) -> DataFrame:
     """Edges with ``disposition``: one of EARLY, else a pressure answer, ``inactive`` or ``candidate``.
 
     facts: partition, partition_gen, producer_id, producer_incarnation, manifest_digest, total_bytes;
@@ -132,9 +184,15 @@ def dispositions(edges: DataFrame, facts: DataFrame, owners: DataFrame, producer
     """
     own = owners.select("partition", F.col("producer_id").alias("_owner"), F.col("incarnation").alias("_incarnation"))
     who = producers.select(F.col("producer_id").alias("_owner"), F.col("state").alias("_producer_state"))
-    dest = consumers.select("consumer_id", F.col("state").alias("_consumer_state"), F.col("incarnation").alias("consumer_incarnation"))
-    rows = edges.join(facts, "partition", "left").join(own, "partition", "left").join(who, "_owner", "left").join(dest, "consumer_id", "left")
-    rows = rows.join(status, ["partition", "consumer_id"], "left").join(in_flight.select("partition", "consumer_id", F.lit(True).alias("_flying")), ["partition", "consumer_id"], "left")
+    dest = consumers.select(
+        "consumer_id", F.col("state").alias("_consumer_state"), F.col("incarnation").alias("consumer_incarnation")
+    )
+    rows = edges.join(facts, "partition", "left").join(own, "partition", "left").join(who, "_owner", "left").join(
+        dest, "consumer_id", "left"
+    )
+    rows = rows.join(status, ["partition", "consumer_id"], "left").join(
+        in_flight.select("partition", "consumer_id", F.lit(True).alias("_flying")), ["partition", "consumer_id"], "left"
+    )
     if pressure is None:
         rows = rows.withColumns({"_source": F.lit("Allow"), "_destination": F.lit("Allow")})
     else:
@@ -144,21 +202,35 @@ def dispositions(edges: DataFrame, facts: DataFrame, owners: DataFrame, producer
         rows = rows.fillna("Allow", ["_source", "_destination"])
     attempts = F.coalesce("attempts", F.lit(0))
     case = (
-        F.when(F.expr("producer_id IS NULL OR _owner IS NULL OR _owner <> producer_id OR _producer_state <> 'Active' OR _incarnation <> producer_incarnation"), "unproduced")
-        .when(F.expr("phase = 'Completed'"), "completed").when(F.expr("phase IN ('Failed', 'Purged')") | (attempts >= policy.max_attempts), "failed")
+        F.when(
+            F.expr(
+                "producer_id IS NULL OR _owner IS NULL OR _owner <> producer_id OR _producer_state <> 'Active' OR _incarnation <> producer_incarnation"
+            ),
+            "unproduced"
+        )
+        .when(F.expr("phase = 'Completed'"), "completed").when(
+            F.expr("phase IN ('Failed', 'Purged')") | (attempts >= policy.max_attempts), "failed"
+        )
         .when(F.col("_flying"), "in_flight").when(F.coalesce("ready_at", F.lit(0)) > now, "retry_wait")
         .when(F.expr("_source = 'Paused'"), "source_pressure").when(F.expr("_source = 'Unknown'"), "unknown_pressure")
-        .when(F.expr("_destination = 'Paused'"), "destination_pressure").when(F.expr("_destination = 'Unknown'"), "unknown_pressure")
+        .when(
+            F.expr("_destination = 'Paused'"), "destination_pressure"
+        ).when(F.expr("_destination = 'Unknown'"), "unknown_pressure")
         .when(F.expr("_consumer_state <> 'Active'"), "inactive").otherwise("candidate")
     )
-    return rows.select(*edges.columns, "partition_gen", "producer_id", "producer_incarnation", "consumer_incarnation", "manifest_digest", "total_bytes", (attempts + 1).alias("attempt_ordinal"), case.alias("disposition"))
+    return rows.select(
+        *edges.columns, "partition_gen", "producer_id", "producer_incarnation", "consumer_incarnation",
+        "manifest_digest", "total_bytes", (attempts + 1).alias("attempt_ordinal"), case.alias("disposition")
+    )
 
 
 def grants_one_sided(candidates: DataFrame, side: str, limit: int, total: int) -> DataFrame:
     """Candidates (shuffle_id, step, ...) granted under a limit per ``side`` and one per shuffle: two row numbers, exact."""
     by_side = Window.partitionBy("shuffle_id", side).orderBy("step")
     within = candidates.withColumn("_n", F.row_number().over(by_side)).filter(F.col("_n") <= limit)
-    return within.withColumn("_n", F.row_number().over(Window.partitionBy("shuffle_id").orderBy("step"))).filter(F.col("_n") <= total).drop("_n")
+    return within.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("shuffle_id").orderBy("step"))
+    ).filter(F.col("_n") <= total).drop("_n")
 
 
 _WAVE = "shuffle_id long, position long, attempt long, step long, partition long, consumer_id long, producer_id long, outcome string, cursor long, cursor_wrapped boolean"
@@ -179,7 +251,10 @@ def next_wave(decided: DataFrame, cursors: DataFrame, policy: Policy, load: Data
     if load is None:
         starts = starts.withColumn("load", F.lit(None).cast("array<struct<side:string,id:bigint,in_flight:bigint>>"))
     else:
-        starts = starts.join(load.groupBy("shuffle_id").agg(F.collect_list(F.struct("side", "id", "in_flight")).alias("load")), "shuffle_id", "left")
+        starts = starts.join(
+            load.groupBy("shuffle_id").agg(F.collect_list(F.struct("side", "id", "in_flight")).alias("load")),
+            "shuffle_id", "left"
+        )
 
     def examine(edges: pd.DataFrame, cursor: int, full: int) -> Iterator[tuple[int, object]]:
         """(position, edge) in order, pass after pass; the end of a pass has no edge."""
@@ -198,7 +273,9 @@ def next_wave(decided: DataFrame, cursors: DataFrame, policy: Policy, load: Data
             (source if item["side"] == "source" else destination)[item["id"]] += item["in_flight"]
             total += item["in_flight"] if item["side"] == "source" else 0
         granted, at_last_end, wrapped, taken, own = 0, 0, False, 0, set()
-        for position, row in examine(edges, int(head["cursor"]), int(head["full_pass"])) if head["full_pass"] > 0 else ():
+        for position, row in examine(
+            edges, int(head["cursor"]), int(head["full_pass"])
+        ) if head["full_pass"] > 0 else ():
             taken = min(position, policy.max_examined)
             if position > policy.max_examined:
                 break
@@ -207,7 +284,9 @@ def next_wave(decided: DataFrame, cursors: DataFrame, policy: Policy, load: Data
                 if still:
                     break
                 continue
-            outcome = "in_flight" if row.disposition not in EARLY and (row.partition, row.consumer_id) in own else row.disposition
+            outcome = "in_flight" if row.disposition not in EARLY and (
+                row.partition, row.consumer_id
+            ) in own else row.disposition
             if outcome not in EARLY:
                 full = total >= policy.global_limit
                 if full or source[row.producer_id] >= policy.per_source or destination[row.consumer_id] >= policy.per_destination:
@@ -219,19 +298,38 @@ def next_wave(decided: DataFrame, cursors: DataFrame, policy: Policy, load: Data
                     source[row.producer_id] += 1
                     destination[row.consumer_id] += 1
                     own.add((row.partition, row.consumer_id))
-            out.append((position, granted if outcome == "granted" else None, row.step, row.partition, row.consumer_id, row.producer_id, outcome, None, None))
+            out.append(
+                (
+                    position, granted if outcome == "granted" else None, row.step, row.partition, row.consumer_id,
+                    row.producer_id, outcome, None, None
+                )
+            )
             if outcome == "limits" and full or granted >= policy.max_grants:
                 break
         after = (int(head["cursor"]) + taken) % int(head["full_pass"]) if head["full_pass"] > 0 else 0
         out.append((taken, None, None, None, None, None, "end", after, wrapped))
-        frame = pd.DataFrame(out, columns=["position", "attempt", "step", "partition", "consumer_id", "producer_id", "outcome", "cursor", "cursor_wrapped"])
+        frame = pd.DataFrame(
+            out,
+            columns=[
+                "position", "attempt", "step", "partition", "consumer_id", "producer_id", "outcome", "cursor",
+                "cursor_wrapped"
+            ]
+        )
         frame.insert(0, "shuffle_id", head["_of"])
-        return frame.astype({c: "Int64" for c in ("attempt", "step", "partition", "consumer_id", "producer_id", "cursor")} | {"cursor_wrapped": "boolean"})
+        return frame.astype(
+            {
+                c: "Int64" for c in ("attempt", "step", "partition", "consumer_id", "producer_id", "cursor")
+            } | {"cursor_wrapped": "boolean"}
+        )
 
     def wave(start: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        return decide(start, edges) if len(start) else pd.DataFrame(columns=[part.split()[0] for part in _WAVE.split(", ")])
+        return decide(start, edges) if len(start) else pd.DataFrame(
+            columns=[part.split()[0] for part in _WAVE.split(", ")]
+        )
 
-    own = starts.select(F.col("shuffle_id").alias("_of"), "cursor", F.coalesce("full_pass", F.lit(0)).alias("full_pass"), "load")
+    own = starts.select(
+        F.col("shuffle_id").alias("_of"), "cursor", F.coalesce("full_pass", F.lit(0)).alias("full_pass"), "load"
+    )
     edges = decided.select(F.col("shuffle_id").alias("_with"), *names[1:])
     return own.groupBy("_of").cogroup(edges.groupBy("_with")).applyInPandas(wave, _WAVE)
 
@@ -244,7 +342,9 @@ def wave_counters(wave: DataFrame) -> DataFrame:
     """
     end = F.col("outcome") == "end"
     counted = wave.groupBy("shuffle_id").agg(
-        *[F.count_if(F.col("outcome") == name).alias(name) for name in ("granted", *COUNTED)], F.max(F.when(end, F.col("position"))).alias("examined"),
+        *[
+            F.count_if(F.col("outcome") == name).alias(name) for name in ("granted", *COUNTED)
+        ], F.max(F.when(end, F.col("position"))).alias("examined"),
         F.max("cursor").alias("cursor"), F.bool_or(F.col("cursor_wrapped")).alias("cursor_wrapped"))
     waiting = sum((F.col(c) for c in COUNTED if c not in ("completed", "failed")), F.col("granted"))
     return counted.withColumn("all_resolved", (waiting == 0) & (F.col("cursor_wrapped") | (F.col("examined") == 0)))
@@ -253,12 +353,20 @@ def wave_counters(wave: DataFrame) -> DataFrame:
 def scheduler_totals(counters: DataFrame, order: str) -> DataFrame:
     """Wave counters with running totals in ascending ``order`` (unique integers): waves planned, grants issued, edges examined, edges skipped as resolved."""
     resolved = F.col("completed") + F.col("failed")
-    rows = running_sums(counters, order, {"waves_planned": F.lit(1), "grants_issued": F.col("granted"), "edges_examined": F.col("examined"), "edges_skipped_resolved": resolved})
+    rows = running_sums(
+        counters, order,
+        {
+            "waves_planned": F.lit(1), "grants_issued": F.col("granted"), "edges_examined": F.col("examined"),
+            "edges_skipped_resolved": resolved
+        }
+    )
     return rows.select(order, "waves_planned", "grants_issued", "edges_examined", "edges_skipped_resolved")
 
 
 def in_flight(grants: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(shuffle_id, side, id, in_flight) of grants without an outcome; ``outcomes`` has shuffle_id and attempt."""
     open_ = grants.join(outcomes.select("shuffle_id", "attempt"), ["shuffle_id", "attempt"], "left_anti")
-    side = lambda name, key: open_.groupBy("shuffle_id", F.col(key).alias("id")).agg(F.count("*").alias("in_flight")).select("shuffle_id", F.lit(name).alias("side"), "id", "in_flight")
+    side = lambda name, key: open_.groupBy("shuffle_id", F.col(key).alias("id")).agg(F.count("*").alias("in_flight")).select(
+        "shuffle_id", F.lit(name).alias("side"), "id", "in_flight"
+    )
     return side("source", "producer_id").unionByName(side("destination", "consumer_id"))

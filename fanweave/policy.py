@@ -84,17 +84,31 @@ POLICY_RULES = (
     ("validity", lambda v: (v.require_fresh == False) | (v.validity > 0)),  # noqa: E712
 )
 LIMIT_RULES = (
-    ("max_frame_payload_bytes", lambda v: (v.max_frame_payload_bytes > 0) & (v.max_frame_payload_bytes <= v.max_message_payload_bytes)),
-    ("max_allocation_bytes", lambda v: (v.max_allocation_bytes > 0) & (v.max_allocation_bytes <= v.max_message_payload_bytes)),
+    (
+        "max_frame_payload_bytes",
+        lambda v: (v.max_frame_payload_bytes > 0) & (v.max_frame_payload_bytes <= v.max_message_payload_bytes)
+    ),
+    (
+        "max_allocation_bytes",
+        lambda v: (v.max_allocation_bytes > 0) & (v.max_allocation_bytes <= v.max_message_payload_bytes)
+    ),
     ("max_string_bytes", lambda v: (v.max_string_bytes > 0) & (v.max_string_bytes <= v.max_allocation_bytes)),
     ("max_endpoint_bytes", lambda v: (v.max_endpoint_bytes > 0) & (v.max_endpoint_bytes <= v.max_string_bytes)),
     ("max_collection_items", lambda v: v.max_collection_items > 0),
     ("max_chunks_per_partition", lambda v: v.max_chunks_per_partition > 0),
     ("max_partitions", lambda v: (v.max_partitions > 0) & (v.max_participants > 0)),
     ("max_selection_patterns", lambda v: (v.max_selection_patterns > 0) & (v.max_selection_items > 0)),
-    ("max_planned_edges", lambda v: (v.max_planned_edges > 0) & (v.max_tracked_edges > 0) & (v.max_tracked_partitions > 0)),
+    (
+        "max_planned_edges",
+        lambda v: (v.max_planned_edges > 0) & (v.max_tracked_edges > 0) & (v.max_tracked_partitions > 0)
+    ),
     ("max_tracked_partitions", lambda v: v.max_tracked_partitions <= v.max_partitions),
-    ("max_state_bytes", lambda v: (v.max_state_bytes > 0) & (v.max_journal_record_bytes > 0) & (v.max_journal_record_bytes <= v.max_state_bytes)),
+    (
+        "max_state_bytes",
+        lambda v: (v.max_state_bytes > 0) & (v.max_journal_record_bytes > 0) & (
+            v.max_journal_record_bytes <= v.max_state_bytes
+        )
+    ),
     ("max_retained_generations", lambda v: v.max_retained_generations > 0),
     ("max_wave_grants", lambda v: (v.max_wave_grants > 0) & (v.max_wave_grants <= v.max_tracked_edges)),
 )
@@ -136,5 +150,7 @@ def policy_text(rows: DataFrame) -> Column:
     """Each envelope of ``rows`` as text, one group a line."""
     values = _Columns(rows.columns)
     parts = re.split(r"\{(\w+)\}", POLICY_TEXT)
-    text = lambda name: F.when(values.require_fresh, "yes").otherwise("no") if name == "require_fresh" else getattr(values, name).cast("string")
+    text = lambda name: F.when(
+        values.require_fresh, "yes"
+    ).otherwise("no") if name == "require_fresh" else getattr(values, name).cast("string")
     return F.concat(*[text(part) if k % 2 else F.lit(part) for k, part in enumerate(parts)])

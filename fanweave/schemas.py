@@ -18,9 +18,20 @@ ERROR_CODES = {
     "ResourceExhausted": 800, "QueueFull": 801, "TooManyParticipants": 802, "TooManyPartitions": 803, "TooManyChunks": 804, "TooManyPatterns": 805, "TooManyTrackedEdges": 806,
 }
 # How a refusal may be retried; every other code but Ok is Permanent.
-RETRIABLE = ("ConnectionFailure", "PeerUnavailable", "ConnectionClosed", "SessionClosed", "IntegrityFailure", "PayloadRejected", "ChecksumMismatch", "AmbiguousOutcome")
-DEFERRED = ("BackpressureActive", "BackpressureUnknown", "RetryDeferred", "NoWorkAvailable", "WaveLimitReached", "ConcurrencyLimitExceeded", "QueueFull", "DuplicateFrame")
-AUTHORITY = ("AuthorityDenied", "EligibilityDenied", "StaleGeneration", "StaleIncarnation", "StaleTopology", "StalePolicy", "StaleAttempt", "IncarnationMismatch", "GenerationMismatch", "LateAuthority", "AttemptSuperseded", "TopologyMismatch", "PolicyMismatch", "ParticipantNotActive", "PartitionNotOwned", "PolicyDenied", "FanOutCeilingExceeded", "FanInCeilingExceeded", "Cancelled", "ShuttingDown", "DivergentCommit")
+RETRIABLE = (
+    "ConnectionFailure", "PeerUnavailable", "ConnectionClosed", "SessionClosed", "IntegrityFailure", "PayloadRejected",
+    "ChecksumMismatch", "AmbiguousOutcome"
+)
+DEFERRED = (
+    "BackpressureActive", "BackpressureUnknown", "RetryDeferred", "NoWorkAvailable", "WaveLimitReached",
+    "ConcurrencyLimitExceeded", "QueueFull", "DuplicateFrame"
+)
+AUTHORITY = (
+    "AuthorityDenied", "EligibilityDenied", "StaleGeneration", "StaleIncarnation", "StaleTopology", "StalePolicy",
+    "StaleAttempt", "IncarnationMismatch", "GenerationMismatch", "LateAuthority", "AttemptSuperseded",
+    "TopologyMismatch", "PolicyMismatch", "ParticipantNotActive", "PartitionNotOwned", "PolicyDenied",
+    "FanOutCeilingExceeded", "FanInCeilingExceeded", "Cancelled", "ShuttingDown", "DivergentCommit"
+)
 # Participant states and the kinds of journal records.
 STATES = ("Joining", "Active", "Suspect", "Failed", "Withdrawn")
 RECORD_KINDS = ("ShuffleState", "Producer", "Consumer", "Manifest", "Commit", "Failure")
@@ -50,12 +61,16 @@ def retry_class(code: str) -> str:
 
 def retry_class_of(code: Column) -> Column:
     """The retry class of a column of code names."""
-    return F.when(code == "Ok", "NotApplicable").when(code.isin(*RETRIABLE), "Retriable").when(code.isin(*DEFERRED), "Deferred").when(code.isin(*AUTHORITY), "Authority").otherwise("Permanent")
+    return F.when(code == "Ok", "NotApplicable").when(
+        code.isin(*RETRIABLE), "Retriable"
+    ).when(code.isin(*DEFERRED), "Deferred").when(code.isin(*AUTHORITY), "Authority").otherwise("Permanent")
 
 
 def error_codes(spark: SparkSession) -> DataFrame:
     """(code, name, retry_class): the dimension of refusal codes."""
-    return spark.createDataFrame([(n, name, retry_class(name)) for name, n in ERROR_CODES.items()], "code int, name string, retry_class string")
+    return spark.createDataFrame(
+        [(n, name, retry_class(name)) for name, n in ERROR_CODES.items()], "code int, name string, retry_class string"
+    )
 
 
 def first_refusal(*rules: tuple[Column | str, str]) -> Column:

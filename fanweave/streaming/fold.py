@@ -38,7 +38,9 @@ def fold_stream(log: DataFrame, n: int, shuffle_gen: int = 1) -> DataFrame:
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest, digest, producer, incarnation, size, consumers = state.get if state.exists else (0, None, None, None, None, [])
+        latest, digest, producer, incarnation, size, consumers = state.get if state.exists else (
+            0, None, None, None, None, []
+        )
         consumers, out = set(consumers), []
         for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
             code, outcome = _local(row, n, shuffle_gen), "refused"
@@ -47,7 +49,9 @@ def fold_stream(log: DataFrame, n: int, shuffle_gen: int = 1) -> DataFrame:
             elif code == "Ok" and row.partition_gen > latest:
                 latest, digest, producer, incarnation, size = row.partition_gen, row.digest, row.producer_id, row.producer_incarnation, row.bytes
                 consumers, outcome = {row.consumer_id}, "new"
-            elif code == "Ok" and (row.digest, row.producer_id, row.producer_incarnation) != (digest, producer, incarnation):
+            elif code == "Ok" and (
+                row.digest, row.producer_id, row.producer_incarnation
+            ) != (digest, producer, incarnation):
                 code = "DivergentCommit"
             elif code == "Ok" and row.bytes != size:
                 code = "AccountingMismatch"
@@ -73,6 +77,8 @@ def fold_batches(log: DataFrame, n: int, shuffle_gen: int = 1) -> DataFrame:
     def keep(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    stream = fold_stream(log, n, shuffle_gen).writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state")
+    stream = fold_stream(log, n, shuffle_gen).writeStream.foreachBatch(keep).option(
+        "checkpointLocation", f"{path}/state"
+    )
     stream.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{OUT}, batch long").parquet(f"{path}/rows").drop("batch")
