@@ -105,23 +105,47 @@ def url_host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""")
+_OPENS = re.compile(r"(?i)<!--|<(script|style)\b")
+_CLOSES = {"": re.compile("-->"), "script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>")}
+_PAGE = re.compile(r"(?i)<html\b([^>]*)")
+_DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z]+)""")
+
+
+def _shown(page: str) -> str:
+    """The page without scripts, styles and comments; what is opened and never closed stays. One pass: no end is looked for twice."""
+    parts, at, scan, endless = [], 0, 0, set()
+    while opened := _OPENS.search(page, scan):
+        kind, scan = (opened[1] or "").lower(), opened.end()
+        closed = None if kind in endless else _CLOSES[kind].search(page, scan)
+        if closed is None:
+            endless.add(kind)
+            continue
+        parts += [page[at:opened.start()], " "]
+        at = scan = closed.end()
+    return "".join([*parts, page[at:]])
 
 
 def visible_text(page: str) -> str:
     """The text between a page's tags, without scripts, styles and comments."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    page, parts, at = _shown(page), [], 0
+    while (start := page.find("<", at)) >= 0 and (end := page.find(">", start)) >= 0:
+        parts.append(page[at:start])
+        at = end + 1
+    return html.unescape(" ".join([*parts, page[at:]]))
+
+
+def declared_language(page: str) -> str | None:
+    """The language that the first html tag with one declares."""
+    return next((m[1] for tag in _PAGE.finditer(page) if (m := _DECLARED.search(tag[1]))), None)
 
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_id, _text, _declared, _host) of web pages."""
+    """(_id, _text, _declared, _host) of web pages. Null pages are empty, repeated ones stay, other columns are ignored."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("html").to_pylist()
-            declared = [m[1] if (m := _DECLARED.search(x)) else None for x in raw]
+            declared = [declared_language(x) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([visible_text(x) for x in raw], pa.string()), pa.array(declared, pa.string()), batch.column("_host")], names=["_id", "_text", "_declared", "_host"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), whole_text(html_col).alias("html"), url_host(F.col(url_col)).alias("_host"))
