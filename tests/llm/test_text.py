@@ -9,8 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from fanweave.llm import packing, token_counts
-from fanweave.llm.decontam import ShiftTables, contamination, keep_uncontaminated
-from fanweave.llm.language import document_rows, fit_text_model, identify, keep_identified, page_rows, visible_text
+from fanweave.llm.decontam import Patterns, contamination, keep_uncontaminated, words_of
+from fanweave.llm.language import declared_language, document_rows, fit_text_model, identify, keep_identified, page_rows, visible_text
 from fanweave.llm.passages import Fenwick, chains, repeated_passages
 from fanweave.llm.recurrent import Settings, fit_window, initial, log_probabilities, score_documents
 from fanweave.llm.recurrent import Lexicon
@@ -68,9 +68,54 @@ def test_clean_documents_stay(spark):
     assert keep_uncontaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == 4
 
 
+def occurrences(items, text, window, piece=4096):
+    patterns, words = Patterns(items, window), words_of(text)
+    codes = patterns.codes(words)
+    return sorted((at, table.length) for table in patterns.tables for at in set(table.find(codes, np.array([len(words)]), piece)[0].tolist()))
+
+
 def test_shift_tables_find_overlapping_windows():
-    table = ShiftTables(3, {(b"a", b"a", b"a"): {1}, (b"a", b"b", b"a"): {2}})
-    assert [at for at, _ in table.find(b"a a a a b a b a".split())] == [0, 1, 3, 5]
+    assert [at for at, _ in occurrences([(1, "a a a"), (2, "a b a")], "a a a a b a b a", 3)] == [0, 1, 3, 5]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 4096])
+def test_every_occurrence_is_found_in_texts_of_few_words(piece):
+    rng = random.Random(8)
+    draw = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(k, draw(rng.randrange(1, 9))) for k in range(12)]
+    text, want = draw(400), set()
+    for _, item in items:
+        v, w = words_of(item), words_of(text)
+        m = min(4, len(v))
+        want |= {(k, m) for at in range(len(v) - m + 1) for k in range(len(w) - m + 1) if w[k:k + m] == v[at:at + m]}
+    assert occurrences(items, text, 4, piece) == sorted(want)
+
+
+def test_a_search_jumps_over_words_that_no_window_holds():
+    patterns = Patterns([(1, " ".join(f"q{k}" for k in range(13)))])
+    table, looked = patterns.tables[0], []
+    table._keys, plain_keys = lambda codes: Counted(plain_keys(codes), looked), table._keys
+    table.find(patterns.codes([b"other"] * 12_000), np.array([12_000]))
+    assert sum(looked) <= 12_000 // 12 + 4
+
+
+class Counted:
+    """An array that notes how many places are read."""
+
+    def __init__(self, values, looked):
+        self.values, self.looked = values, looked
+
+    def __getitem__(self, at):
+        self.looked.append(len(at))
+        return self.values[at]
+
+
+def test_tables_take_a_few_times_the_text():
+    import pickle
+
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for k in range(3000)]
+    assert len(pickle.dumps(Patterns(items))) < 25 * sum(len(t) for _, t in items)
 
 
 # -- packing and token counts
@@ -207,6 +252,15 @@ def test_secrets_match_brute_force(spark):
     assert scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_text_with_very_many_secrets(spark):
+    text = " ".join(f"token={'x' * 12}{k}" for k in range(20_000)) + " token=short"
+    got = scan_secrets(plain(spark, [text, "none", text])).collect()
+    assert {r["doc_id"]: len(r["found"]) for r in got} == {0: 20_000, 1: 0, 2: 20_000}
+    found = got[[r["doc_id"] for r in got].index(0)]["found"]
+    assert all(text[s["start"]:s["end"]].startswith("token=x") for s in found[::997])
+    assert found[-1]["end"] == len(text) - len(" token=short")
+
+
 def test_private_keys_are_added(spark):
     got = scan_secrets(plain(spark, ["x -----BEGIN RSA PRIVATE KEY----- y", "-----BEGIN PUBLIC KEY-----"])).collect()
     assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in got} == {0: [("pem", 2, 33)], 1: []}
@@ -270,6 +324,63 @@ def test_declarations_and_hosts_decide_short_texts(spark):
     assert identify(page_rows(empty), model).count() == 0
 
 
+def plain_posteriors(rows, model, suffix_weight=20.0, host_weight=5.0):
+    """Every posterior by loops over rows of (text, declared, host)."""
+    n, texts = len(model.languages), []
+    for text, declared, host in rows:
+        logs, seen = model.evidence(text)
+        logs = logs - logs.max()
+        suffix = m[1] if (m := re.search(r"\.([A-Za-z]+)$", host)) else ""
+        tag = (declared or "").strip().lower().split("-")[0]
+        said = "none" if not tag else tag if tag in model.languages[:-1] else "other"
+        texts.append((logs, np.exp(logs) / np.exp(logs).sum() if seen else np.zeros(n), seen, said, host, suffix))
+    total = lambda keep: sum((t[1] for t in texts if keep(t)), np.zeros(n))
+    overall = (total(lambda t: True) + 1) / (total(lambda t: True) + 1).sum()
+    kinds = sorted({t[3] for t in texts} - {"none"})
+    spoken = total(lambda t: t[3] != "none")
+    out = []
+    for logs, _, seen, said, host, suffix in texts:
+        of_suffix, of_host = total(lambda t: t[5] == suffix), total(lambda t: t[4] == host)
+        parent = (of_suffix + suffix_weight * overall) / (of_suffix.sum() + suffix_weight)
+        prior = (of_host + host_weight * parent) / (of_host.sum() + host_weight)
+        given = np.zeros(n) if said == "none" else np.log((total(lambda t: t[3] == said) + 0.5) / (spoken + 0.5 * len(kinds)))
+        score = logs + np.log(prior) + given
+        p = np.exp(score - score.max())
+        best = model.languages[int(score.argmax())]
+        out.append((best, round(float(1 / p.sum()), 6), bool(seen and best != "und" and 1 / p.sum() >= 0.5)))
+    return out
+
+
+def test_posteriors_match_plain_loops(spark):
+    docs, make = labelled(spark)
+    model = fit_text_model(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    rng, rows = random.Random(14), []
+    for k in range(60):
+        text = rng.choice([make(rng.choice(["en", "fr", "de"]), rng.randrange(1, 12)), "", None, "12 !", "zq xj"])
+        rows.append((text, rng.choice([None, "", "en", "fr-CA", "xx", " DE"]), rng.choice(["a.example.fr", "b.example.fr", "c.example.de", "localhost", ""])))
+    rows += rows[:5]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "_id long, _text string, _declared string, _host string")
+    got = {r["_id"]: (r["language"], round(r["confidence"], 6), r["accepted"]) for r in identify(df, model).collect()}
+    assert [got[k] for k in range(len(rows))] == plain_posteriors(rows, model)
+
+
+def test_pages_with_odd_markup_long_pages_and_other_columns(spark):
+    import time
+
+    assert visible_text("a<script>b<!--</script>c<STYLE x>d</style >e<script>f < g").split() == ["a", "c", "e", "f", "<", "g"]
+    assert visible_text("<!-- a --> b <!-- c").split() == ["b", "<!--", "c"]
+    assert declared_language("<HTML class=x><html data-lang='q' lang = \"fr\">") == "q" and declared_language("<p lang=de>") is None
+    start = time.perf_counter()
+    for piece in ("<script>", "<", "<!--", "<html ", "<style>lang", "</script "):
+        page = piece * (1_000_000 // len(piece))
+        visible_text(page), declared_language(page)
+    assert time.perf_counter() - start < 20
+    model = fit_text_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    rows = [(1, "u", "<p>a</p>", "x", 2), (1, "u", "<p>a</p>", "x", 2), (2, None, None, "y", None), (3, "u", "<b>w</b> " * 100_000, "z", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _text string, language int")
+    assert rows_of(identify(page_rows(df), model), "_id") == [(1,), (1,), (2,), (3,)]
+
+
 def test_nothing_to_learn_from(spark):
     model = fit_text_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert model.languages == ["und"]
@@ -286,7 +397,7 @@ def test_base_scores_match_brute_force(spark):
     counts = Counter(w for i, t in docs if not held(i) for w in tokens(t))
     total, distinct = sum(counts.values()), len(counts)
     want = sorted(((i, held(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), total, round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens(t)), 6)) for i, t in docs), key=repr)
-    got = score_documents(frame(spark), Settings(frequent=30, head_classes=2, class_size=8, share=1.0))
+    got = score_documents(frame(spark), Settings(frequent=30, head_classes=2, class_size=8))
     rows = got.collect()
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows), key=repr) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
@@ -297,7 +408,7 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     rng = random.Random(6)
     stocks = [[f"{c}{k}" for k in range(60)] for c in "abcd"]
     rows = [(i, " ".join(rng.choice(stocks[i % 4]) for _ in range(rng.randrange(20, 120)))) for i in range(400)]
-    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string"), Settings(share=1.0)).filter("held_out").toPandas()
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string"), Settings()).filter("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum() * 0.9 and (got.score > got.base_score).mean() > 0.9
 
 
