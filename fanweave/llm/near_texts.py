@@ -3,7 +3,9 @@
 SimHash bits can't serve here: texts of similarity 0.8 differ in about ten of 64 bits. Two sets share a
 minimum with the probability of their similarity s, so they share one of ``BANDS`` bands with
 1 - (1 - s ** PER_BAND) ** BANDS: 99.96% at 0.8. Documents that share a band are compared in blocks by their
-whole sets. A band of more documents than a block is dealt anew in rounds, each without the documents that
+whole sets. The bands take turns: most copies go with the first two, and later ones send only what a
+document that is left could still be similar to, so a set travels a few times, not once for every band.
+A band of more documents than a block is dealt anew in rounds, each without the documents that
 the one before dropped, so a dense cluster shrinks at once; what doesn't shrink is compared block by block.
 """
 
@@ -21,6 +23,8 @@ from .recurrent import block_words
 
 WORDS, LEAST_SIMILARITY = 5, 0.8
 BANDS, PER_BAND, BLOCK = 20, 5, 128
+#: Where each turn of bands begins; the last ends with BANDS.
+TURNS = (0, 2, 8)
 
 _DRAWN = np.random.default_rng(17)
 _XOR = _DRAWN.integers(0, 1 << 64, BANDS * PER_BAND, dtype=np.uint64)
@@ -34,7 +38,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
-    """Each text's sorted 64-bit hashes of its word shingles; a shorter text is one shingle, one without words has none."""
+    """Each text's sorted hashes (64 bits) of its word shingles; a shorter text is one shingle, one without words has none."""
     words = block_words(texts, 1)
     hashes = words.hashes.view(np.uint64)[words.codes]
     n = len(hashes)
@@ -90,53 +94,74 @@ def near_copies(docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, blo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole):
-                sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
+            for batch in text_slices(whole):  # half of each hash serves to compare sets, and takes half the room
+                sets = [np.unique(s >> np.uint64(32)).astype("<u4").tobytes() for s in shingle_sets(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"])
 
-    keyed = durable(rows.mapInArrow(sign, "doc_id long, row long, keys array<long>"), "band-keys").select("doc_id", "row", F.explode("keys").alias("key"))
+    keyed = durable(rows.mapInArrow(sign, "doc_id long, row long, keys array<long>"), "band-keys").select("doc_id", "row", F.posexplode("keys").alias("band", "key"))
     shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-bands")
-    alive = durable(keyed.join(shared, "key").select("key", "doc_id", "row").distinct(), "band-places")
-    again = maybe_in(rows, F.col("row"), key_filter(alive.select("row"), "row"), "_maybe").filter("_maybe").select("row", "text")
+    places = durable(keyed.join(shared, "key").select("band", "key", "doc_id", "row").distinct(), "band-places")
+    again = maybe_in(rows, F.col("row"), key_filter(places.select("row"), "row"), "_maybe").filter("_maybe").select("row", "text")
     sets = durable(again.mapInArrow(cut, "row long, shingles binary").dropDuplicates(["row"]), "shingle-sets")
 
+    gone = None
+    for start, stop in zip(TURNS, (*TURNS[1:], BANDS)):
+        own = places.filter(F.col("band").between(start, stop - 1)).select("key", "doc_id", "row")
+        if gone is None:
+            gone = _similar_to_smaller(own.withColumn("alive", F.lit(True)), sets, least_similarity, block)
+            continue
+        dropped = gone.distinct().select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_dropped"))
+        rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+        marked = durable(own.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left").select("key", "doc_id", "row", F.col("_dropped").isNull().alias("alive"), rank.alias("rank")), "band-places")
+        # a key matters if one that is left has a smaller partner, and of those that went only such partners do
+        asks = durable(marked.groupBy("key").agg(F.max(F.when(F.col("alive"), F.col("rank"))).alias("_last"), F.min("rank").alias("_first")).filter("_last > _first").select("key", "_last"), "asking-bands")
+        own = durable(marked.join(asks, "key").filter("rank <= _last").select("key", "doc_id", "row", "alive"), "band-places")
+        near = maybe_in(sets, F.col("row"), key_filter(own.select("row"), "row"), "_maybe").filter("_maybe").drop("_maybe")
+        gone = gone.unionByName(_similar_to_smaller(own, near, least_similarity, block))
+    return gone.distinct()
+
+
+def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: float, block: int) -> DataFrame:
+    """(doc_id) of those that are ``alive`` and similar to one of a smaller id under the same key; ``places``: key, doc_id, row, alive."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone: set[int | None] = set()
 
-        def settle(group: list[tuple[int | None, np.ndarray]]) -> None:
+        def settle(group: list[tuple[int | None, bool, np.ndarray]]) -> None:
             group.sort(key=lambda x: (x[0] is None, x[0] or 0))
-            for i, (doc, own) in enumerate(group):
-                if doc not in gone and any(other is not None and other != doc and similar(own, theirs, least_similarity) for other, theirs in group[:i]):
+            for i, (doc, asks, own) in enumerate(group):
+                if asks and doc not in gone and any(other is not None and other != doc and similar(own, theirs, least_similarity) for other, _, theirs in group[:i]):
                     gone.add(doc)
 
         now, group = None, []
         for batch in batches:
-            for key, part, with_part, doc, shingles in zip(*(batch.column(c) for c in ("key", "part", "with_part", "doc_id", "shingles"))):
+            for key, part, with_part, doc, asks, shingles in zip(*(batch.column(c) for c in ("key", "part", "with_part", "doc_id", "alive", "shingles"))):
                 if (own := (key.as_py(), part.as_py(), with_part.as_py())) != now:
                     settle(group)
                     now, group = own, []
-                group.append((doc.as_py(), np.frombuffer(shingles.as_py(), dtype=np.uint64)))
+                group.append((doc.as_py(), asks.as_py(), np.frombuffer(shingles.as_py(), dtype="<u4")))
         settle(group)
         yield pa.RecordBatch.from_arrays([pa.array(list(gone), pa.int64())], names=["doc_id"])
 
     gone, crossed, turn = None, False, 0
     while True:
-        sizes = durable(alive.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "band-sizes")
+        sizes = durable(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "band-sizes")
         parts = F.ceil(F.col("n") / block).cast("int")
-        dealt = alive.join(sizes, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(turn), "row"), F.col("parts")).cast("int"))
+        dealt = places.join(sizes, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(turn), "row"), F.col("parts")).cast("int"))
         sent = dealt.withColumns({"part": F.col("own"), "with_part": F.col("own")})
         if crossed:  # every two blocks of a band meet
             sent = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"part": F.least("own", "_other"), "with_part": F.greatest("own", "_other")})
-        blocks = sent.join(sets, "row").select("key", "part", "with_part", "doc_id", "shingles").repartition("key", "part", "with_part").sortWithinPartitions("key", "part", "with_part")
+        names = ["key", "part", "with_part"]
+        blocks = sent.join(sets, "row").select(*names, "doc_id", "alive", "shingles").repartition(*names).sortWithinPartitions(*names)
         found = durable(blocks.mapInArrow(compare, "doc_id long").distinct(), "near-texts")
         gone = found if gone is None else gone.unionByName(found)
         crowded = sizes.filter(F.col("n") > block)
         before = crowded.agg(F.sum("n")).first()[0] or 0
         if crossed or not before:
-            return gone.distinct()
+            return gone
         dropped = found.withColumnRenamed("doc_id", "_gone")
-        alive = durable(alive.join(crowded.select("key"), "key").join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"), "band-places")
-        crossed, turn = alive.count() > 0.8 * before, turn + 1
+        places = durable(places.join(crowded.select("key"), "key").join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"), "band-places")
+        crossed, turn = places.count() > 0.8 * before, turn + 1
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
