@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# written tables cut lineage and outlive any executor
+from ..sources.shared import written as durable
+
 #: White space of the contracts: space and the five controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -20,32 +21,14 @@ BITS_PER_KEY, MOST_FILTER_BITS = 16, 1 << 28
 _PAGE_BITS = 1 << 15
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Have Spark send Python workers batches of ``most`` bytes at most, unless the session says otherwise.
 
-    Only a local session may go without that setting; it gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = getattr(spark, "_fanweave_shared", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="fanweave-")
-        spark._fanweave_shared = made
-    return made
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a scan of it.
-
-    Cuts the lineage, and survives the loss of any executor.
+    By default a batch may hold 64 MB, in the executor and in each of its workers.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(key, most)
 
 
 def whole_text(text: str = "text") -> Column:
@@ -121,7 +104,7 @@ def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
     return probed.filter(~F.col("__fw_maybe")).select(*names).unionByName(unclear.select(*names))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` of text, or one longer row."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = held = 0

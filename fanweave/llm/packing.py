@@ -104,6 +104,8 @@ def best_fit_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> np.nda
     return np.array(sorted(plan), dtype=np.int64).reshape(-1, 4)
 
 
+#: Rows of the plan that one broadcast holds, 32 bytes each.
+PLAN_ROWS = 1 << 20
 #: Characters on which Unicode normalisation and lower-casing act one by one.
 _PLAIN = re.compile("[\x21-\x7eÀ-įı-ſ]{1,200}")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -243,11 +245,12 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         seen[len(part)] += 1
                     first = stop
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs)), pa.array([task] * len(docs), pa.int32()), pa.array(ranks, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank_in_task"])
+        encoder.clear()  # a worker that goes on to other work doesn't keep half a million strings
 
     return rows.mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long")
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, most_plan_rows: int = PLAN_ROWS) -> DataFrame:
     """Every piece and its place: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each, as other
@@ -256,20 +259,35 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     pieces = durable(token_pieces(docs, path or vocabulary("word_bpe_49k.json"), id_col, text_col, capacity, end_id), "pieces")
     counts = durable(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = pieces.sparkSession.sparkContext.broadcast(best_fit_runs(histogram, capacity))
+    plan = best_fit_runs(histogram, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "task", "base")
     # as many rows as tasks times lengths, so it mustn't be broadcast
     ranked = pieces.join(bases.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, sequence, offset = plan.value.T
-        key = (length << 40) | first
-        for batch in batches:
-            rank = batch.column("rank").to_numpy()
-            at = np.searchsorted(key, (batch.column("length").to_numpy() << 40) | rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
-
-    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    out = placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    def placed(part: np.ndarray, stop: int | None) -> DataFrame:
+        """The pieces whose place is in this part of the plan, which ends before the key ``stop``."""
+        shared = pieces.sparkSession.sparkContext.broadcast(part)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            length, first, sequence, offset = shared.value.T
+            keys = (length << 40) | first
+            for batch in batches:
+                key = (batch.column("length").to_numpy() << 40) | batch.column("rank").to_numpy()
+                own = key >= keys[0] if stop is None else (key >= keys[0]) & (key < stop)
+                batch, key = batch.filter(pa.array(own)), key[own]
+                at = np.searchsorted(keys, key, side="right") - 1
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[at] + batch.column("rank").to_numpy() - first[at]), pa.array(offset[at])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+
+        rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+        return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+    # one part as a rule; a plan of more rows is sent part by part
+    parts = [plan[k:k + most_plan_rows] for k in range(0, max(1, len(plan)), most_plan_rows)]
+    starts = [int((part[0, 0] << 40) | part[0, 1]) if len(part) else 0 for part in parts]
+    if not len(plan):
+        parts, starts = [np.zeros((1, 4), dtype=np.int64)], [0]
+    out = placed(parts[0], *starts[1:2] or [None])
+    for k in range(1, len(parts)):
+        out = out.unionByName(placed(parts[k], starts[k + 1] if k + 1 < len(parts) else None))
     return out.withColumnRenamed("doc_id", id_col)
