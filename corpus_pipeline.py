@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanweave.llm.common import durable
+from fanweave.llm.common import bounded_batches, durable
 from fanweave.llm.decontam import keep_uncontaminated
 from fanweave.llm.exact_dedup import keep_first_copies
 from fanweave.llm.language import keep_identified
@@ -15,6 +15,7 @@ from fanweave.llm.simhash import keep_representatives
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence stay."""
+    bounded_batches(spark)
     return keep_identified(docs)
 
 
@@ -25,16 +26,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of close fingerprints, the smallest id stays; of these go the texts similar to one of a smaller id."""
+    bounded_batches(spark)
     return keep_dissimilar(durable(keep_representatives(docs), "fingerprint-representatives"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark items cover less than a twentieth stay."""
+    bounded_batches(spark)
     return keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in training sequences."""
+    bounded_batches(spark)
     return pack(docs)
 
 
