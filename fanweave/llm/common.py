@@ -47,7 +47,9 @@ def lower_ascii(text: Column) -> Column:
     ``lower`` is exact and fast where all characters are ASCII; ``translate`` serves the rest.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+    return F.when(
+        F.octet_length(text) == F.length(text), F.lower(text)
+    ).otherwise(F.translate(text, upper, upper.lower()))
 
 
 @dataclass(frozen=True)
@@ -82,10 +84,16 @@ def maybe_in(df: DataFrame, key: Column, keys: KeyFilter, flag: str) -> DataFram
 
     ``key`` must hash as the filter's key did. No row is dropped or moved: the filter is broadcast.
     """
-    at = df.withColumn("__fw_bit", F.pmod(F.xxhash64(key), F.lit(keys.bits))).withColumn("__fw_page", F.floor(F.col("__fw_bit") / _PAGE_BITS).cast("int"))
-    byte = F.expr(f"cast(conv(hex(substring(__fw_bits, cast((__fw_bit % {_PAGE_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    at = df.withColumn("__fw_bit", F.pmod(F.xxhash64(key), F.lit(keys.bits))).withColumn(
+        "__fw_page", F.floor(F.col("__fw_bit") / _PAGE_BITS).cast("int")
+    )
+    byte = F.expr(
+        f"cast(conv(hex(substring(__fw_bits, cast((__fw_bit % {_PAGE_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    )
     hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__fw_bit % 8 as int))")) != 0, F.lit(False))
-    return at.join(F.broadcast(keys.pages), "__fw_page", "left").withColumn(flag, hit).drop("__fw_page", "__fw_bit", "__fw_bits")
+    return at.join(
+        F.broadcast(keys.pages), "__fw_page", "left"
+    ).withColumn(flag, hit).drop("__fw_page", "__fw_bit", "__fw_bits")
 
 
 def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:

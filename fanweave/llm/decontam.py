@@ -26,7 +26,9 @@ BLOCK = 2
 PASS_BYTES = 32 << 20
 
 #: Bytes of words stay, A-Z become lower case, other ASCII becomes a space; all bytes from 128 on are in words.
-_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_WORD_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -123,7 +125,12 @@ class Patterns:
         for item, text in items:
             words = words_of(text)
             if words:
-                codes.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), dtype=np.int64, count=len(words)))
+                codes.append(
+                    np.fromiter(
+                        (self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), dtype=np.int64,
+                        count=len(words)
+                    )
+                )
                 sizes.append(len(words))
                 ids.append(item)
         self.items, sizes_ = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64)
@@ -133,7 +140,9 @@ class Patterns:
         for length in sorted({min(window, n) for n in sizes}):
             own = np.flatnonzero(np.minimum(sizes_, window) == length)
             counts = sizes_[own] - length + 1
-            starts = np.repeat(self.offsets[own], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = np.repeat(self.offsets[own], counts) + np.arange(counts.sum()) - np.repeat(
+                np.cumsum(counts) - counts, counts
+            )
             self.tables.append(ShiftTables(length, stream, starts, len(self.vocabulary), block))
 
     def codes(self, words: list[bytes]) -> np.ndarray:
@@ -171,7 +180,12 @@ def _joined(ranges) -> list[tuple[int, int]]:
 
 
 _FOUND = "doc_id long, text_hash long, n_words long, starts array<int>, ends array<int>, items array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_ARROW = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())),
+        ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))
+    ]
+)
 
 
 def _search(rows: DataFrame, patterns: Patterns, hits_only: bool) -> DataFrame:
@@ -181,16 +195,29 @@ def _search(rows: DataFrame, patterns: Patterns, hits_only: bool) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole, "_text"):
                 found = list(shared.value.search(batch.column("_text").to_pylist()))
-                own = [[n for n, _, _ in found], *([[r[k] for r in hits] for _, hits, _ in found] for k in (0, 1)), [items for _, _, items in found]]
-                out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, f.type) for x, f in zip(own, list(_ARROW)[2:]))], schema=_ARROW)
+                own = [
+                    [n for n, _, _ in found], *([[r[k] for r in hits] for _, hits, _ in found] for k in (0, 1)),
+                    [items for _, _, items in found]
+                ]
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"), batch.column("text_hash"),
+                        *(pa.array(x, f.type) for x, f in zip(own, list(_ARROW)[2:]))
+                    ],
+                    schema=_ARROW
+                )
                 yield out.filter(pa.array([bool(items) for items in own[3]], pa.bool_())) if hits_only else out
 
     return rows.mapInArrow(search, _FOUND)
 
 
-def benchmark_passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def benchmark_passes(
+    benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int
+) -> Iterator[list[tuple[int, str]]]:
     """The items, in groups of about ``pass_bytes`` of text; the driver holds one group at a time."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
+    items = benchmark.select(
+        F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")
+    ).filter("i is not null and t is not null")
     group, held = [], 0
     for row in items.toLocalIterator():
         group.append((row["i"], row["t"]))
@@ -207,9 +234,13 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     more = parts[1]
     for part in parts[2:]:
         more = more.unionByName(part)
-    more = more.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("starts", "ends", "items")).alias("more"))  # a row per pass
+    more = more.distinct().groupBy("doc_id", "text_hash").agg(  # a row per pass
+        F.collect_list(F.struct("starts", "ends", "items")).alias("more")
+    )
     more = more.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    both = parts[0].join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_doc", "_hash")
+    both = parts[0].join(
+        more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left"
+    ).drop("_doc", "_hash")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,12 +251,21 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
                 starts.append([a for a, _ in hits])
                 ends.append([b for _, b in hits])
                 items.append(sorted({i for r in every for i in r["items"]}))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "n_words")), *(pa.array(x, f.type) for x, f in zip((starts, ends, items), list(_ARROW)[3:]))], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("doc_id", "text_hash", "n_words")),
+                    *(pa.array(x, f.type) for x, f in zip((starts, ends, items), list(_ARROW)[3:]))
+                ],
+                schema=_ARROW
+            )
 
     return both.select(*_ARROW.names, "more").mapInArrow(merge, _FOUND)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
     """Benchmark occurrences in every row: id, ``n_words``, ``n_hit``, ``items`` (sorted), ``starts``, ``ends``, ``text_hash``, ``contaminated``.
 
     ``starts`` and ``ends`` are the disjoint word ranges that benchmark windows cover; ``contaminated`` means
@@ -235,19 +275,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A benchmark of up to ``pass_bytes`` takes one scan of the documents and no shuffle. A larger one takes a
     scan for each ``pass_bytes`` of it; every pass is written once, those after the first as their hits only.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("_text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_hash"),
+        whole_text(text_col).alias("_text")
+    )
     groups = benchmark_passes(benchmark, item_col, item_text_col, pass_bytes)
     found = _search(rows, Patterns(next(groups, []), window), False)
     parts = [durable(_search(rows, Patterns(group, window), True), "hits") for group in groups]
     if parts:
         found = _merged([durable(found, "hits"), *parts])
     hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
-    out = found.select(F.col("doc_id").alias(id_col), "text_hash", "n_words", hit.alias("n_hit"), "items", "starts", "ends")
+    out = found.select(
+        F.col("doc_id").alias(id_col), "text_hash", "n_words", hit.alias("n_hit"), "items", "starts", "ends"
+    )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    found = contamination(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark)
+    found = contamination(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark
+    )
     gone = durable(found.filter("contaminated").select("doc_id", "text_hash"), "contaminated")
     return without(docs, [F.col(id_col).cast("long"), F.xxhash64(whole_text(text_col))], gone)

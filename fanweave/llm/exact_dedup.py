@@ -29,18 +29,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, dig
 
     probed = maybe_in(rows, F.struct("_len", "_prefix"), keys, "_alive")
     full = F.sha2(F.encode("_norm", "UTF-8"), 256)
-    digests = durable(probed.select("_id", "_row", "_alive", (full if digest_all else F.when(F.col("_alive"), full)).alias("_sha")), "dedup-digests")
-
-    groups = digests.filter("_alive").groupBy(F.col("_sha").alias("_group")).agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
-    groups = durable(groups, "dedup-groups")  # with plain scans on both sides Spark can split the partition of a large group
+    digests = durable(
+        probed.select("_id", "_row", "_alive", (full if digest_all else F.when(F.col("_alive"), full)).alias("_sha")),
+        "dedup-digests"
+    )
+
+    groups = digests.filter("_alive").groupBy(F.col("_sha").alias("_group")).agg(
+        F.min("_id").alias("_keep"), F.count("*").alias("_size")
+    ).filter("_size > 1")
+    groups = durable(  # with plain scans on both sides Spark can split the partition of a large group
+        groups, "dedup-groups"
+    )
     # a row without company joins nothing; a key of its own keeps such rows from meeting in one partition
-    key = F.when(F.col("_alive"), F.col("_sha")).otherwise(F.concat(F.lit("id "), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    key = F.when(F.col("_alive"), F.col("_sha")).otherwise(
+        F.concat(F.lit("id "), F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    )
     joined = digests.withColumn("_group", key).join(groups, "_group", "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return joined.select("_id", "_row", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), "_sha")
+    return joined.select(
+        "_id", "_row", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), "_sha"
+    )
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS,
+    digest_all: bool = False
+) -> DataFrame:
     """The group of every row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when they are identical after each run of white space becomes one space; null
@@ -51,10 +65,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     unless a group has no other, and then stay null. Other columns are ignored; an empty table gives none.
     """
     found = _grouped(docs, id_col, text_col, prefix_chars, digest_all)
-    return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
+    return found.select(
+        F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("_sha").alias("text_sha256")
+    )
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def keep_first_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeating an id and a text, one stays.
 
     Only rows that share length and prefix with others are hashed in full, and once.
@@ -63,12 +82,23 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = durable(_grouped(docs, id_col, text_col, prefix_chars, False), "dedup-rows")
     kept = F.col("_id").eqNullSafe(F.col("keep_id"))
     stays = without(docs, [F.col(id_col), row], found.filter(~kept).select("_id", "_row"))
-    several = found.filter(kept & (F.col("group_size") > 1)).groupBy("_id", "_sha").agg(F.count("*").alias("_times")).filter("_times > 1")
+    several = found.filter(
+        kept & (F.col("group_size") > 1)
+    ).groupBy("_id", "_sha").agg(F.count("*").alias("_times")).filter("_times > 1")
     # only the id that a group keeps can be repeated here, so a hash has one row in ``several``
-    again = found.join(several.select("_sha", F.col("_id").alias("_same")), "_sha").filter(F.col("_id").eqNullSafe(F.col("_same")))
-    again = durable(again.select(F.col("_id").alias("__fw_id"), F.col("_row").alias("__fw_row"), F.col("_sha").alias("__fw_sha")).distinct(), "repeated-rows")
+    again = found.join(
+        several.select("_sha", F.col("_id").alias("_same")), "_sha"
+    ).filter(F.col("_id").eqNullSafe(F.col("_same")))
+    again = durable(
+        again.select(
+            F.col("_id").alias("__fw_id"), F.col("_row").alias("__fw_row"), F.col("_sha").alias("__fw_sha")
+        ).distinct(),
+        "repeated-rows"
+    )
     if again.isEmpty():
         return stays
     single = without(stays, [F.col(id_col), row], again.select("__fw_id", "__fw_row"))
-    both = stays.withColumn("__fw_own", row).join(again, F.col(id_col).eqNullSafe(F.col("__fw_id")) & (F.col("__fw_own") == F.col("__fw_row")))
+    both = stays.withColumn("__fw_own", row).join(
+        again, F.col(id_col).eqNullSafe(F.col("__fw_id")) & (F.col("__fw_own") == F.col("__fw_row"))
+    )
     return single.unionByName(both.dropDuplicates(["__fw_id", "__fw_sha"]).select(*names))

@@ -51,12 +51,17 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Merge a batch of (line, doc) rows in. An id must not occur in more than one batch."""
-        batch = durable(lines.groupBy("line").agg(F.countDistinct("doc").alias("docs"), F.max("doc").alias("last")), "line-batch")
+        batch = durable(
+            lines.groupBy("line").agg(F.countDistinct("doc").alias("docs"), F.max("doc").alias("last")), "line-batch"
+        )
         new = batch
         for run in self.runs():
             new = new.join(run.filter("owned").select("line"), "line", "left_anti")
         marks = new.select("line", F.lit(True).alias("_new"))
-        self._write(batch.join(marks, "line", "left").select("line", "docs", "last", F.col("_new").isNotNull().alias("owned")), 0)
+        self._write(
+            batch.join(marks, "line", "left").select("line", "docs", "last", F.col("_new").isNotNull().alias("owned")),
+            0
+        )
         level = 0
         while len(self.levels[level]) >= self.fan:
             self._compact(level)
@@ -67,8 +72,13 @@ class LineRuns:
         full = self.levels[level]
         merged = self.spark.table(full[0])
         for name in full[1:]:  # full merge joins of sorted runs with equal buckets, so nothing is shuffled
-            other = self.spark.table(name).select("line", F.col("docs").alias("_docs"), F.col("last").alias("_last"), F.col("owned").alias("_owned"))
-            merged = merged.join(other, "line", "full").select("line", *self._summed(), (F.coalesce("owned", F.lit(False)) | F.coalesce("_owned", F.lit(False))).alias("owned"))
+            other = self.spark.table(name).select(
+                "line", F.col("docs").alias("_docs"), F.col("last").alias("_last"), F.col("owned").alias("_owned")
+            )
+            merged = merged.join(other, "line", "full").select(
+                "line", *self._summed(),
+                (F.coalesce("owned", F.lit(False)) | F.coalesce("_owned", F.lit(False))).alias("owned")
+            )
         self._write(merged, level + 1)
         self.levels[level] = []
         for name in full:
@@ -76,7 +86,9 @@ class LineRuns:
 
     @staticmethod
     def _summed() -> tuple[Column, Column]:
-        return (F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))).alias("docs"), F.greatest("last", "_last").alias("last")
+        return (
+            F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))
+        ).alias("docs"), F.greatest("last", "_last").alias("last")
 
     def totals(self) -> DataFrame:
         """(line, docs, last) over all runs: each owner's row, with the increments that the runs after it hold."""
@@ -84,7 +96,9 @@ class LineRuns:
         for k, run in enumerate(runs):
             rows = run.filter("owned").select("line", "docs", "last")
             for later in runs[k + 1:]:
-                more = later.filter("NOT owned").select("line", F.col("docs").alias("_docs"), F.col("last").alias("_last"))
+                more = later.filter("NOT owned").select(
+                    "line", F.col("docs").alias("_docs"), F.col("last").alias("_last")
+                )
                 rows = rows.join(more, "line", "left").select("line", *self._summed())
             parts.append(rows)
         out = parts[0]
@@ -111,7 +125,10 @@ def repeated_lines(lines: DataFrame, least_docs: int = LEAST_DOCS, batches: int
         runs.close()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = 4, fan: int = 3) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS,
+    least_docs: int = LEAST_DOCS, batches: int = 4, fan: int = 3
+) -> DataFrame:
     """Every row with its kept text: id, ``n_lines``, ``n_dropped``, ``kept_text``.
 
     A line's key is the line stripped of white space and with A-Z lower-cased. Keys of ``least_chars``
@@ -121,9 +138,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("doc"), whole_text(text_col).alias("_text"))
     rows = rows.withColumns({"_row": F.xxhash64("_text"), "_lines": F.split("_text", "\n", -1)})
-    exploded = rows.select("doc", "_row", F.posexplode("_lines").alias("pos", "_line")).filter(F.length("_line") >= least_chars)
+    exploded = rows.select(
+        "doc", "_row", F.posexplode("_lines").alias("pos", "_line")
+    ).filter(F.length("_line") >= least_chars)
     keyed = exploded.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= least_chars)
-    lines = durable(keyed.select("doc", "_row", "pos", F.unhex(F.md5(F.encode("_key", "UTF-8"))).alias("line")), "lines")
+    lines = durable(
+        keyed.select("doc", "_row", "pos", F.unhex(F.md5(F.encode("_key", "UTF-8"))).alias("line")), "lines"
+    )
 
     repeated = repeated_lines(lines, least_docs, batches, fan)
     lost = lines.join(repeated, "line").filter(~F.col("doc").eqNullSafe(F.col("last")))
@@ -134,11 +155,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = key_filter(drops.select(F.struct("doc", "_row").alias("_key")), "_key")
     probed = maybe_in(texts, F.struct("doc", "_row"), keys, "_maybe")
     own = drops.select(F.col("doc").alias("_doc"), F.col("_row").alias("_hash"), "_drops")
-    near = probed.filter("_maybe").join(own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left")
-    joined = probed.filter("NOT _maybe").select("doc", "_text", F.lit(None).cast("array<int>").alias("_drops")).unionByName(near.select("doc", "_text", "_drops"))
+    near = probed.filter("_maybe").join(
+        own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left"
+    )
+    joined = probed.filter("NOT _maybe").select(
+        "doc", "_text", F.lit(None).cast("array<int>").alias("_drops")
+    ).unionByName(near.select("doc", "_text", "_drops"))
     joined = joined.withColumn("_lines", F.split("_text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
-    kept = F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    kept = F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    )
     return joined.select(
         F.col("doc").alias(id_col), F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"),

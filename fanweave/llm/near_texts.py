@@ -90,18 +90,29 @@ def near_copies(docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, blo
         for whole in batches:
             for batch in text_slices(whole):
                 keys = [band_keys(s) if len(s) else () for s in shingle_sets(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "row", "keys"]
+                )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):  # half of each hash serves to compare sets, and takes half the room
-                sets = [np.unique(s >> np.uint64(32)).astype("<u4").tobytes() for s in shingle_sets(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"])
-
-    keyed = durable(rows.mapInArrow(sign, "doc_id long, row long, keys array<long>"), "band-keys").select("doc_id", "row", F.posexplode("keys").alias("band", "key"))
+                sets = [
+                    np.unique(s >> np.uint64(32)).astype("<u4").tobytes() for s in shingle_sets(batch.column("text"))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"]
+                )
+
+    keyed = durable(
+        rows.mapInArrow(sign, "doc_id long, row long, keys array<long>"), "band-keys"
+    ).select("doc_id", "row", F.posexplode("keys").alias("band", "key"))
     shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-bands")
     places = durable(keyed.join(shared, "key").select("band", "key", "doc_id", "row").distinct(), "band-places")
-    again = maybe_in(rows, F.col("row"), key_filter(places.select("row"), "row"), "_maybe").filter("_maybe").select("row", "text")
+    again = maybe_in(
+        rows, F.col("row"), key_filter(places.select("row"), "row"), "_maybe"
+    ).filter("_maybe").select("row", "text")
     sets = durable(again.mapInArrow(cut, "row long, shingles binary").dropDuplicates(["row"]), "shingle-sets")
 
     gone = None
@@ -112,11 +123,25 @@ def near_copies(docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, blo
             continue
         dropped = gone.distinct().select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_dropped"))
         rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-        marked = durable(own.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left").select("key", "doc_id", "row", F.col("_dropped").isNull().alias("alive"), rank.alias("rank")), "band-places")
+        marked = durable(
+            own.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left").select(
+                "key", "doc_id", "row", F.col("_dropped").isNull().alias("alive"), rank.alias("rank")
+            ),
+            "band-places"
+        )
         # a key matters if one that is left has a smaller partner, and of those that went only such partners do
-        asks = durable(marked.groupBy("key").agg(F.max(F.when(F.col("alive"), F.col("rank"))).alias("_last"), F.min("rank").alias("_first")).filter("_last > _first").select("key", "_last"), "asking-bands")
-        own = durable(marked.join(asks, "key").filter("rank <= _last").select("key", "doc_id", "row", "alive"), "band-places")
-        near = maybe_in(sets, F.col("row"), key_filter(own.select("row"), "row"), "_maybe").filter("_maybe").drop("_maybe")
+        asks = durable(
+            marked.groupBy("key").agg(
+                F.max(F.when(F.col("alive"), F.col("rank"))).alias("_last"), F.min("rank").alias("_first")
+            ).filter("_last > _first").select("key", "_last"),
+            "asking-bands"
+        )
+        own = durable(
+            marked.join(asks, "key").filter("rank <= _last").select("key", "doc_id", "row", "alive"), "band-places"
+        )
+        near = maybe_in(
+            sets, F.col("row"), key_filter(own.select("row"), "row"), "_maybe"
+        ).filter("_maybe").drop("_maybe")
         gone = gone.unionByName(_similar_to_smaller(own, near, least_similarity, block))
     return gone.distinct()
 
@@ -130,12 +155,17 @@ def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: fl
         def settle(group: list[tuple[int | None, bool, np.ndarray]]) -> None:
             group.sort(key=lambda x: (x[0] is None, x[0] or 0))
             for i, (doc, asks, own) in enumerate(group):
-                if asks and doc not in gone and any(other is not None and other != doc and similar(own, theirs, least_similarity) for other, _, theirs in group[:i]):
+                if asks and doc not in gone and any(
+                    other is not None and other != doc and similar(own, theirs, least_similarity) for other, _,
+                    theirs in group[:i]
+                ):
                     gone.add(doc)
 
         now, group = None, []
         for batch in batches:
-            for key, part, with_part, doc, asks, shingles in zip(*(batch.column(c) for c in ("key", "part", "with_part", "doc_id", "alive", "shingles"))):
+            for key, part, with_part, doc, asks, shingles in zip(
+                *(batch.column(c) for c in ("key", "part", "with_part", "doc_id", "alive", "shingles"))
+            ):
                 if (own := (key.as_py(), part.as_py(), with_part.as_py())) != now:
                     settle(group)
                     now, group = own, []
@@ -147,12 +177,18 @@ def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: fl
     while True:
         sizes = durable(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "band-sizes")
         parts = F.ceil(F.col("n") / block).cast("int")
-        dealt = places.join(sizes, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(turn), "row"), F.col("parts")).cast("int"))
+        dealt = places.join(sizes, "key").withColumn("parts", parts).withColumn(
+            "own", F.pmod(F.xxhash64(F.lit(turn), "row"), F.col("parts")).cast("int")
+        )
         sent = dealt.withColumns({"part": F.col("own"), "with_part": F.col("own")})
         if crossed:  # every two blocks of a band meet
-            sent = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"part": F.least("own", "_other"), "with_part": F.greatest("own", "_other")})
+            sent = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
+                {"part": F.least("own", "_other"), "with_part": F.greatest("own", "_other")}
+            )
         names = ["key", "part", "with_part"]
-        blocks = sent.join(sets, "row").select(*names, "doc_id", "alive", "shingles").repartition(*names).sortWithinPartitions(*names)
+        blocks = sent.join(sets, "row").select(
+            *names, "doc_id", "alive", "shingles"
+        ).repartition(*names).sortWithinPartitions(*names)
         found = durable(blocks.mapInArrow(compare, "doc_id long").distinct(), "near-texts")
         gone = found if gone is None else gone.unionByName(found)
         crowded = sizes.filter(F.col("n") > block)
@@ -160,11 +196,18 @@ def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: fl
         if crossed or not before:
             return gone
         dropped = found.withColumnRenamed("doc_id", "_gone")
-        places = durable(places.join(crowded.select("key"), "key").join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"), "band-places")
+        places = durable(
+            places.join(crowded.select("key"), "key").join(
+                dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"
+            ),
+            "band-places"
+        )
         crossed, turn = places.count() > 0.8 * before, turn + 1
 
 
-def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
+def keep_dissimilar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_similarity: float = LEAST_SIMILARITY
+) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document isn't similar to one of a smaller id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return without(docs, [F.col(id_col).cast("long")], durable(near_copies(rows, least_similarity), "near-copies"))

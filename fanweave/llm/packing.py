@@ -181,7 +181,10 @@ class ChunkEncoder:
         odd = [x for x in new if x not in known]
         if odd:
             found = [self.exact.encode(x, add_special_tokens=False).ids for x in odd]
-            self._store(odd, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
+            self._store(
+                odd, np.array([i for x in found for i in x], dtype=np.int32),
+                np.array([len(x) for x in found], dtype=np.int64)
+            )
         return np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +221,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+    end_id: int = END_ID
+) -> DataFrame:
     """The pieces of every row: doc_id, piece, start, length, ids_crc32, with task and rank_in_task.
 
     A document is its ids and then ``end_id``; longer ones are cut every ``capacity`` ids.
@@ -244,26 +250,44 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         ranks.append(seen[len(part)])
                         seen[len(part)] += 1
                     first = stop
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs)), pa.array([task] * len(docs), pa.int32()), pa.array(ranks, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank_in_task"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()),
+                        *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs)),
+                        pa.array([task] * len(docs), pa.int32()), pa.array(ranks, pa.int64())
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank_in_task"]
+                )
         encoder.clear()  # a worker that goes on to other work doesn't keep half a million strings
 
-    return rows.mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long")
+    return rows.mapInArrow(
+        tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
+    )
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, most_plan_rows: int = PLAN_ROWS) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+    end_id: int = END_ID, most_plan_rows: int = PLAN_ROWS
+) -> DataFrame:
     """Every piece and its place: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed each, as other
     documents of the same id; a null id stays null. Other columns are ignored; an empty table packs nothing.
     """
-    pieces = durable(token_pieces(docs, path or vocabulary("word_bpe_49k.json"), id_col, text_col, capacity, end_id), "pieces")
+    pieces = durable(
+        token_pieces(docs, path or vocabulary("word_bpe_49k.json"), id_col, text_col, capacity, end_id), "pieces"
+    )
     counts = durable(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    histogram = {  # at most `capacity` rows
+        r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
+    }
     plan = best_fit_runs(histogram, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "task", "base")
     # as many rows as tasks times lengths, so it mustn't be broadcast
-    ranked = pieces.join(bases.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
+    ranked = pieces.join(bases.hint("merge"), ["length", "task"]).withColumn(
+        "rank", F.col("base") + F.col("rank_in_task")
+    )
 
     def placed(part: np.ndarray, stop: int | None) -> DataFrame:
         """The pieces whose place is in this part of the plan, which ends before the key ``stop``."""
@@ -277,10 +301,18 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                 own = key >= keys[0] if stop is None else (key >= keys[0]) & (key < stop)
                 batch, key = batch.filter(pa.array(own)), key[own]
                 at = np.searchsorted(keys, key, side="right") - 1
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[at] + batch.column("rank").to_numpy() - first[at]), pa.array(offset[at])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.columns[:-1], pa.array(sequence[at] + batch.column("rank").to_numpy() - first[at]),
+                        pa.array(offset[at])
+                    ],
+                    names=[*batch.schema.names[:-1], "sequence_id", "offset"]
+                )
 
         rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-        return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        return rows.mapInArrow(
+            place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        )
 
     # one part as a rule; a plan of more rows is sent part by part
     parts = [plan[k:k + most_plan_rows] for k in range(0, max(1, len(plan)), most_plan_rows)]

@@ -126,7 +126,14 @@ def token_counts(rows: DataFrame, suffixes: int) -> DataFrame:
                 words = block_words(batch.column("text"), suffixes)
                 n = np.bincount(words.codes, minlength=len(words.hashes))
                 seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(words.hashes[seen], 0)), pa.array(np.append(words.shapes[seen], -1), pa.int32()), pa.array(np.append(n[seen], len(batch)), pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.append(words.hashes[seen], 0)),
+                        pa.array(np.append(words.shapes[seen], -1), pa.int32()),
+                        pa.array(np.append(n[seen], len(batch)), pa.int64())
+                    ],
+                    schema=schema
+                )
 
     counted = rows.mapInArrow(count, "word long, shape int, n long")
     return durable(counted.groupBy("word", "shape").agg(F.sum("n").alias("c")), "lm-counts")
@@ -150,7 +157,9 @@ class Lexicon:
 def lexicon(counts: DataFrame, s: Settings) -> Lexicon:
     """Collect the bounded part of the counts: at most ``s.frequent`` words and a row per spelling class."""
     words = counts.filter("shape >= 0")
-    sizes = words.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()  # 64 rows at most
+    sizes = words.groupBy(  # 64 rows at most
+        F.floor(F.log2("c")).cast("int").alias("p")
+    ).agg(F.count("*").alias("n")).collect()
     least, n = 64, 0
     for p, k in sorted(((r["p"], r["n"]) for r in sizes), reverse=True):
         if n + k > s.frequent:
@@ -173,7 +182,10 @@ def lexicon(counts: DataFrame, s: Settings) -> Lexicon:
     head_mass[:len(order)] = c[order]
     class_mass = np.concatenate([[ends], head_mass.reshape(s.head_classes, -1).sum(1), mass]) + 1.0
     by_hash = np.argsort(hashes)
-    return Lexicon(hashes[by_hash], c[by_hash], heads[by_hash], total, distinct, ends, mass + kinds + 1, class_mass, head_mass + 0.5)
+    return Lexicon(
+        hashes[by_hash], c[by_hash], heads[by_hash], total, distinct, ends, mass + kinds + 1, class_mass,
+        head_mass + 0.5
+    )
 
 
 def initial(s: Settings, lex: Lexicon) -> dict[str, np.ndarray]:
@@ -181,9 +193,15 @@ def initial(s: Settings, lex: Lexicon) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(s.seed)
     draw = lambda *shape: (rng.standard_normal(shape) / math.sqrt(shape[0])).astype(np.float32)
     return {
-        "embed": draw(s.symbols, s.embed) * math.sqrt(s.symbols) * 0.3, "in": draw(s.embed, 3 * s.hidden), "in_bias": np.zeros(3 * s.hidden, np.float32), "state": draw(s.hidden, 3 * s.hidden),
-        "class": np.zeros((s.hidden, s.classes), np.float32), "class_bias": np.log(lex.class_mass / lex.class_mass.sum()).astype(np.float32),
-        "word": np.zeros((s.head_classes, s.hidden, s.class_size), np.float32), "word_bias": np.log(lex.head_mass).astype(np.float32).reshape(s.head_classes, -1),
+        "embed": draw(s.symbols, s.embed) * math.sqrt(s.symbols) * 0.3, "in": draw(s.embed, 3 * s.hidden), "in_bias": np.zeros(
+            3 * s.hidden, np.float32
+        ), "state": draw(s.hidden, 3 * s.hidden),
+        "class": np.zeros((s.hidden, s.classes), np.float32), "class_bias": np.log(
+            lex.class_mass / lex.class_mass.sum()
+        ).astype(np.float32),
+        "word": np.zeros(
+            (s.head_classes, s.hidden, s.class_size), np.float32
+        ), "word_bias": np.log(lex.head_mass).astype(np.float32).reshape(s.head_classes, -1),
     }
 
 
@@ -245,7 +263,10 @@ def _log_shares(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
 
 def targets(symbols: np.ndarray, s: Settings) -> np.ndarray:
     """The output class of each symbol."""
-    return np.where(symbols < s.head, 1 + symbols // s.class_size, np.where(symbols == s.symbols - 1, 0, symbols - s.head + 1 + s.head_classes))
+    return np.where(
+        symbols < s.head, 1 + symbols // s.class_size,
+        np.where(symbols == s.symbols - 1, 0, symbols - s.head + 1 + s.head_classes)
+    )
 
 
 def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -257,7 +278,9 @@ def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit_window(w: dict[str, np.ndarray], s: Settings, seen: np.ndarray, next_: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+def fit_window(
+    w: dict[str, np.ndarray], s: Settings, seen: np.ndarray, next_: np.ndarray, fresh: np.ndarray, h: np.ndarray
+) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the loss over a window (steps x lanes) per place, the last state and the loss. Where ``next_`` is -1, nothing is predicted."""
     k, lanes, n = len(seen), h.shape[0], s.hidden
     known = w["embed"][seen.ravel()]
@@ -283,7 +306,10 @@ def fit_window(w: dict[str, np.ndarray], s: Settings, seen: np.ndarray, next_: n
         d *= np.asarray(1 / count, known.dtype)
     else:
         d *= (used / count).astype(known.dtype)[:, None]
-    g = {"class": rows.T @ d, "class_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+    g = {
+        "class": rows.T @ d, "class_bias": d.sum(0), "word": np.zeros_like(w["word"]),
+        "word_bias": np.zeros_like(w["word_bias"])
+    }
     dh = d @ w["class"].T
     by_class = np.where(used, cls, 0)
     order = np.argsort(by_class, kind="stable")
@@ -348,7 +374,9 @@ def fit(w: dict[str, np.ndarray], s: Settings, symbols: np.ndarray, stops: np.nd
     return w
 
 
-def log_probabilities(w: dict[str, np.ndarray], s: Settings, symbols: np.ndarray, stops: np.ndarray, most_rows: int = 1 << 15) -> np.ndarray:
+def log_probabilities(
+    w: dict[str, np.ndarray], s: Settings, symbols: np.ndarray, stops: np.ndarray, most_rows: int = 1 << 15
+) -> np.ndarray:
     """Natural log probability of every document's classes and head words. ``symbols`` holds each document's end."""
     table = w["embed"] @ w["in"] + w["in_bias"]
     starts = np.concatenate([[0], stops[:-1]])
@@ -437,7 +465,9 @@ def encoded(rows: DataFrame, s: Settings, lex: Lexicon) -> DataFrame:
                 base_of = np.where(known, frequent[place] if len(frequent) else 0.0, 0.0)
                 # the part of a spelled word's probability within its class that needs no count of a rare word
                 tail_of = np.where(symbol < s.head, 0.0, base_of - mass[words.shapes])
-                add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[words.codes])])[words.stops], prepend=0.0)
+                add = lambda x: np.diff(
+                    np.concatenate([[0.0], np.cumsum(x[words.codes])])[words.stops], prepend=0.0
+                )
                 symbols, stops = _with_ends(symbol[words.codes].astype(s.code), words.stops, s.symbols - 1)
                 sizes = np.diff(stops, prepend=0)
                 base = add(base_of) + math.log10(lexicon_.ends + 1) - sizes * norm
@@ -445,16 +475,34 @@ def encoded(rows: DataFrame, s: Settings, lex: Lexicon) -> DataFrame:
                 rare = ~known[words.codes]
                 pairs, n = np.unique(doc[rare] * len(words.hashes) + words.codes[rare], return_counts=True)
                 where = np.searchsorted(pairs, np.arange(len(batch) + 1) * max(1, len(words.hashes)))
-                lists = [pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(x)) for x in (words.hashes[pairs % max(1, len(words.hashes))], n.astype(np.int64))]
-                bytes_ = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int64) * s.code.itemsize), pa.py_buffer(symbols)])
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(x)) for x in (
+                        words.hashes[pairs % max(1, len(words.hashes))], n.astype(np.int64)
+                    )
+                ]
+                bytes_ = pa.Array.from_buffers(
+                    pa.large_binary(), len(batch),
+                    [
+                        None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int64) * s.code.itemsize),
+                        pa.py_buffer(symbols)
+                    ]
+                )
                 ids = batch.column("doc_id")
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(number + np.arange(len(batch))), ids, pa.array(is_held_out(ids.to_pylist())), pa.array(sizes.astype(np.int64)), pa.array(np.rint(add(known.astype(float))).astype(np.int64) + bool(lexicon_.ends)),
+                    pa.array(number + np.arange(len(batch))), ids, pa.array(is_held_out(ids.to_pylist())), pa.array(sizes.astype(np.int64)), pa.array(
+                        np.rint(add(known.astype(float))).astype(np.int64) + bool(lexicon_.ends)
+                    ),
                     pa.array(base), pa.array(add(tail_of)), bytes_.cast(pa.binary()), *lists,
                 ], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "tail", "symbols", "rare", "times"])
                 number += len(batch)
 
-    return durable(rows.mapInArrow(encode, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, tail double, symbols binary, rare array<long>, times array<long>"), "lm-symbols")
+    return durable(
+        rows.mapInArrow(
+            encode,
+            "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, tail double, symbols binary, rare array<long>, times array<long>"
+        ),
+        "lm-symbols"
+    )
 
 
 def _read(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -482,7 +530,10 @@ def fitted(documents: DataFrame, s: Settings, lex: Lexicon, block: int = 1 << 20
 
             def settle(now: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
                 starts = np.cumsum([0, *(len(x) for x, _ in held)])
-                out = fit(now, s, np.concatenate([x for x, _ in held]), np.concatenate([stops + at for (_, stops), at in zip(held, starts)]))
+                out = fit(
+                    now, s, np.concatenate([x for x, _ in held]),
+                    np.concatenate([stops + at for (_, stops), at in zip(held, starts)])
+                )
                 held.clear()
                 return out
 
@@ -495,7 +546,10 @@ def fitted(documents: DataFrame, s: Settings, lex: Lexicon, block: int = 1 << 20
             if held:
                 now = settle(now)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([flat(now) * np.float32(tokens)], pa.list_(pa.float32()))], names=["n", "w"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([float(tokens)]), pa.array([flat(now) * np.float32(tokens)], pa.list_(pa.float32()))],
+                    names=["n", "w"]
+                )
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = 0.0, None
@@ -504,10 +558,14 @@ def fitted(documents: DataFrame, s: Settings, lex: Lexicon, block: int = 1 << 20
                     v = vector.values.to_numpy().astype(np.float64)
                     n, total = n + k, v if total is None else total + v
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=["n", "w"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=["n", "w"]
+                )
 
         each = learning.mapInArrow(train, "n double, w array<float>")
-        sums = each.repartition(tasks).mapInArrow(add, "n double, w array<double>")  # two levels, so no task adds up too many
+        sums = each.repartition(tasks).mapInArrow(  # two levels, so no task adds up too many
+            add, "n double, w array<double>"
+        )
         sums = sums.repartition(8).mapInArrow(add, "n double, w array<double>").toArrow()  # 8 rows at most
         n = sum(sums.column("n").to_pylist())
         if not n:
@@ -516,7 +574,9 @@ def fitted(documents: DataFrame, s: Settings, lex: Lexicon, block: int = 1 << 20
     return w
 
 
-def score_documents(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(
+    docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Every row's scores: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Learns from the rows whose id isn't held out. Both scores are log10 probabilities of the whole text and
@@ -537,15 +597,32 @@ def score_documents(docs: DataFrame, settings: Settings | None = None, id_col: s
             for batch in text_slices(whole, "symbols", 4 << 20):
                 symbols, stops = _read(batch.column("symbols"), s)
                 model = log_probabilities(w, s, symbols, stops) / log10 + batch.column("tail").to_numpy()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc_id", "held_out", "n_tokens", "known", "base")), pa.array(model)], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c) for c in ("uid", "doc_id", "held_out", "n_tokens", "known", "base")),
+                        pa.array(model)
+                    ],
+                    names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model"]
+                )
 
     asked = documents.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "tail", "symbols")
-    scored = durable(asked.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"), "lm-scores")
-    rare = documents.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
+    scored = durable(
+        asked.mapInArrow(
+            score, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"
+        ),
+        "lm-scores"
+    )
+    rare = documents.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        "uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n")
+    )
     # rare words have bounded counts, so no key of this join is hot
-    added = rare.join(counts.filter("shape >= 0").select("word", "c"), "word").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_c"), F.sum("n").alias("rare_known"))
+    added = rare.join(counts.filter("shape >= 0").select("word", "c"), "word").groupBy("uid").agg(
+        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_c"), F.sum("n").alias("rare_known")
+    )
     out = scored.join(added, "uid", "left")
     log_c = F.coalesce("log_c", F.lit(0.0))
     return out.select(
-        F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.col("doc_id").alias(id_col), "held_out", "n_tokens", (
+            F.col("known") + F.coalesce("rare_known", F.lit(0))
+        ).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("base") + log_c).alias("base_score"), (F.col("model") + log_c).alias("score"))

@@ -33,7 +33,10 @@ class Rule:
 
 #: The kinds in the order in which spans at the same place are listed.
 RULES = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""(?s)^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}$"""),
+    Rule(
+        "assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+        r"""(?s)^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}$"""
+    ),
     Rule("access", r"AKIA[A-Z0-9]+", r"^.{18,}$"),
     Rule("hex", r"[0-9a-f]{16,}", r"^.{16,}$", r"[0-9a-f]{16}"),
     Rule("pem", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", r"^.*$"),
@@ -47,7 +50,9 @@ def _sequences(pattern: str) -> list[list[str]] | None:
     Understands literals, groups of alternatives, optional characters and classes: enough for rules as
     above. Whatever else occurs ends a run and adds nothing.
     """
-    tokens = re.findall(r"\(\?i:|\(\?:|\(|\)|\||\[\^?\]?[^\]]*\]|\\x[0-9A-Fa-f]{2}|\\.|\{[^}]*\}|[?*+]|.", pattern, re.S)
+    tokens = re.findall(
+        r"\(\?i:|\(\?:|\(|\)|\||\[\^?\]?[^\]]*\]|\\x[0-9A-Fa-f]{2}|\\.|\{[^}]*\}|[?*+]|.", pattern, re.S
+    )
     at = 0
 
     def alternatives() -> list[list[str]]:
@@ -65,7 +70,9 @@ def _sequences(pattern: str) -> list[list[str]] | None:
                 inner = alternatives()
                 at += 1
                 literal = True
-            elif token.startswith("[") or token == "." or (token.startswith("\\") and not token.startswith("\\x") and token[1].isalnum()):
+            elif token.startswith("[") or token == "." or (
+                token.startswith("\\") and not token.startswith("\\x") and token[1].isalnum()
+            ):
                 inner, literal = [["", ""]], False
             else:
                 inner, literal = [[chr(int(token[2:], 16)) if token.startswith("\\x") else token[-1]]], True
@@ -101,55 +108,99 @@ def match_rows(texts: DataFrame, rule: Rule) -> DataFrame:
     lengths, so a text with very many matches costs no more than its length. Repeated texts of an id count once.
     """
     found, between = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(0)), F.split("_text", rule.pattern, -1)
-    pieces = texts.select("_id", "_row", F.posexplode(F.arrays_zip(found.alias("found"), F.slice(between, F.lit(1), F.size(between) - 1).alias("before"))).alias("pos", "m"))
-    sizes = pieces.select("_id", "_row", "pos", F.length("m.before").alias("_before"), F.length("m.found").alias("_found"), F.col("m.found").rlike(rule.keep).alias("_ok")).dropDuplicates(["_id", "_row", "pos"])
-    end = F.sum(F.col("_before") + F.col("_found")).over(Window.partitionBy("_id", "_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
-    return sizes.withColumn("end", end).filter("_ok").select("_id", "_row", (F.col("end") - F.col("_found")).alias("start"), "end")
+    pieces = texts.select(
+        "_id", "_row",
+        F.posexplode(
+            F.arrays_zip(found.alias("found"), F.slice(between, F.lit(1), F.size(between) - 1).alias("before"))
+        ).alias("pos", "m")
+    )
+    sizes = pieces.select(
+        "_id", "_row", "pos", F.length("m.before").alias("_before"), F.length("m.found").alias("_found"),
+        F.col("m.found").rlike(rule.keep).alias("_ok")
+    ).dropDuplicates(["_id", "_row", "pos"])
+    end = F.sum(F.col("_before") + F.col("_found")).over(
+        Window.partitionBy("_id", "_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ).cast("int")
+    return sizes.withColumn("end", end).filter("_ok").select(
+        "_id", "_row", (F.col("end") - F.col("_found")).alias("start"), "end"
+    )
 
 
 def postings(rows: DataFrame, trigrams: list[str], keys: list[str]) -> DataFrame:
     """The inverted index over ``trigrams``: a row (trigram, *keys) per text that holds it, case ignored."""
     low = rows.withColumn("_low", F.lower("_text"))
-    held = F.filter(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
+    held = F.filter(
+        F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull()
+    )
     return low.select(*keys, F.explode(held).alias("trigram"))
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Every row's secrets: id and ``found``, an array of (start, rank, kind, end) in order of start, then rule.
 
     Offsets count code points, ends exclusive. Null counts as empty. Rows that repeat an id and a text each
     get the same result; a null id stays null. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    rows = docs.select(
+        F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")
+    ).withColumn("_row", F.xxhash64("_text"))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     clauses = [(rule.kind, i, clause) for rule in rules for i, clause in enumerate(queries[rule.kind])]
     needed = sorted({t for _, _, clause in clauses for t in clause})
 
     def verified(texts: DataFrame, rule: Rule) -> DataFrame:
         rank = [r.kind for r in rules].index(rule.kind)
-        return match_rows(texts, rule).select("_id", "_row", F.struct("start", F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), "end").alias("span"))
-
-    parts = [verified(rows.filter(F.col("_text").rlike(rule.prefilter or rule.pattern)), rule) for rule in rules if not queries[rule.kind]]
+        return match_rows(texts, rule).select(
+            "_id", "_row",
+            F.struct("start", F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), "end").alias("span")
+        )
+
+    parts = [
+        verified(
+            rows.filter(F.col("_text").rlike(rule.prefilter or rule.pattern)), rule
+        ) for rule in rules if not queries[rule.kind]
+    ]
     if needed:
         index = durable(postings(rows, needed, ["_id", "_row"]), "trigram-postings")
         # the trigrams a text holds, out of a fixed few, so a group is at most that many distinct values
         held = index.groupBy("_id", "_row").agg(F.collect_set("trigram").alias("_held"))
-        fits = [F.when(F.size(F.array_intersect("_held", F.array(*map(F.lit, clause)))) == len(clause), F.lit(kind)) for kind, _, clause in clauses]
+        fits = [
+            F.when(
+                F.size(F.array_intersect("_held", F.array(*map(F.lit, clause)))) == len(clause), F.lit(kind)
+            ) for kind,
+            _, clause in clauses
+        ]
         kinds = F.array_distinct(F.filter(F.array(*fits), lambda k: k.isNotNull()))
-        candidates = durable(held.select("_id", "_row", kinds.alias("_kinds")).filter(F.size("_kinds") > 0), "secret-candidates")
-        near = maybe_in(rows, F.struct("_id", "_row"), key_filter(candidates.select(F.struct("_id", "_row").alias("_key")), "_key"), "_maybe").filter("_maybe")
+        candidates = durable(
+            held.select("_id", "_row", kinds.alias("_kinds")).filter(F.size("_kinds") > 0), "secret-candidates"
+        )
+        near = maybe_in(
+            rows, F.struct("_id", "_row"), key_filter(candidates.select(F.struct("_id", "_row").alias("_key")), "_key"),
+            "_maybe"
+        ).filter("_maybe")
         wanted = candidates.select(F.col("_id").alias("_cid"), F.col("_row").alias("_crow"), "_kinds")
         joined = near.join(wanted, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_row") == F.col("_crow")))
-        parts += [verified(joined.filter(F.array_contains("_kinds", rule.kind)), rule) for rule in rules if queries[rule.kind]]
+        parts += [
+            verified(joined.filter(F.array_contains("_kinds", rule.kind)), rule) for rule in rules if queries[rule.kind]
+        ]
     spans = parts[0]
     for part in parts[1:]:
         spans = spans.unionByName(part)
-    by_row = durable(spans, "secret-spans").groupBy(F.col("_id").alias("_sid"), F.col("_row").alias("_srow")).agg(F.array_sort(F.collect_set("span")).alias("found"))
-    out = rows.select("_id", "_row").join(by_row, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_row") == F.col("_srow")), "left")
+    by_row = durable(spans, "secret-spans").groupBy(
+        F.col("_id").alias("_sid"), F.col("_row").alias("_srow")
+    ).agg(F.array_sort(F.collect_set("span")).alias("found"))
+    out = rows.select("_id", "_row").join(
+        by_row, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_row") == F.col("_srow")), "left"
+    )
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
     return out.select(F.col("_id").alias(id_col), F.coalesce("found", none).alias("found"))
 
 
 def spans_text(found: Column) -> Column:
     """Spans as kind:start:end, comma-joined."""
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ","
+    )

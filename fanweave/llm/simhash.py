@@ -107,9 +107,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [_bits(fingerprint(text.as_py(), shingle)) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"]
+            )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(digest, "doc_id long, fp long")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")
+    ).mapInArrow(digest, "doc_id long, fp long")
 
 
 def shard_masks(radius: int, blocks: int, bits: int = 64) -> list[int]:
@@ -147,7 +151,9 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_size: int =
         def links() -> pa.RecordBatch:
             a, b = _forest(np.concatenate(own), radius) if own else (np.zeros(0, np.uint64),) * 2
             own.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
+            )
 
         for batch in batches:
             band, value, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "value", "fp"))
@@ -162,16 +168,27 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_size: int =
     levels = mask_levels(radius, prints.count(), shard_size)
     alive, found = prints.select("fp"), []
     for k, masks in enumerate(levels):
-        keys = F.array(*[F.struct(F.lit(band).alias("band"), F.col("fp").bitwiseAND(F.lit(_bits(mask))).alias("value")) for band, mask in enumerate(masks)])
+        keys = F.array(
+            *[
+                F.struct(F.lit(band).alias("band"), F.col("fp").bitwiseAND(F.lit(_bits(mask))).alias("value")) for band,
+                mask in enumerate(masks)
+            ]
+        )
         keyed = alive.select("fp", F.explode(keys).alias("key")).select("key.band", "key.value", "fp")
         sizes = durable(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "shard-sizes")
         fits = F.col("n") <= shard_size if k + 1 < len(levels) else F.lit(True)
         shards = keyed.join(sizes.filter(fits), ["band", "value"]).select("band", "value", "fp")
-        found.append(shards.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(search, "a long, b long"))
+        found.append(
+            shards.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(
+                search, "a long, b long"
+            )
+        )
         crowded = sizes.filter(~fits)
         if crowded.isEmpty():
             break
-        alive = durable(keyed.join(crowded.select("band", "value"), ["band", "value"]).select("fp").distinct(), "crowded-shards")
+        alive = durable(
+            keyed.join(crowded.select("band", "value"), ["band", "value"]).select("fp").distinct(), "crowded-shards"
+        )
     links = found[0]
     for part in found[1:]:
         links = links.unionByName(part)
@@ -184,16 +201,22 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     Alternates large-star and small-star contraction until nothing changes; each round is a written table.
     Each round's rows are at most the links, and a node with many neighbours is a grouped minimum.
     """
-    edges = durable(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    edges = durable(
+        links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
+    )
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, for Spark can split the partition of a hub only between plain scans
         low = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
         # large star: larger neighbours of a node move to the smallest of its neighbourhood
-        large = durable(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
+        large = durable(
+            both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label
+        )
         # small star: smaller neighbours of a node, and itself, move to the smallest of them
         least = durable(large.groupBy("a").agg(F.min("b").alias("m")), label)
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("s"), "m")
+        small = large.join(least, "a").select(
+            F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("s"), "m"
+        )
         after = durable(small.select(F.col("s.x").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), label)
         moved = after.count() != edges.count() or after.join(edges, ["a", "b"], "left_anti").limit(1).count()
         edges = after
@@ -201,7 +224,10 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    shard_size: int = SHARD_SIZE
+) -> DataFrame:
     """Every row's class: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable through links).
 
     Fingerprints link at ``radius`` or fewer differing bits, equal ones always. Texts without words have
@@ -209,20 +235,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component's id unless it has no other. Other columns are ignored; an empty table gives no rows.
     """
     prints = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    return fingerprint_classes(prints, radius, shard_size).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fingerprint_classes(prints, radius, shard_size).select(
+        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
 
 
 def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """(doc_id, fp) with ``component_id``; ``prints`` is a written table."""
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = components(fingerprint_links(distinct.select("fp"), radius, shard_size), "fingerprint-links")
-    rooted = durable(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    rooted = durable(
+        distinct.join(found, distinct["fp"] == found["node"], "left").select(
+            "fp", "first", F.coalesce("root", "fp").alias("root")
+        ),
+        "fingerprint-roots"
+    )
     firsts = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     classes = durable(rooted.join(firsts, "root").select("fp", "component_id"), "fingerprint-classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns: of each component the smallest id stays.
 
     Rows that repeat an id are one document.

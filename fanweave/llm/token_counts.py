@@ -36,11 +36,15 @@ def _encoding(stem: str):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         exact = Tokenizer.from_file(f"{stem}.json")
         exact.encode_special_tokens = True
-        _ENCODINGS[stem] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), exact
+        _ENCODINGS[stem] = tiktoken.Encoding(
+            "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ), exact
     return _ENCODINGS[stem]
 
 
-def token_lengths(docs: DataFrame, stem: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_lengths(
+    docs: DataFrame, stem: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id and ``n_tokens`` of every row; null and empty texts have 0 tokens. ``stem``: the vocabulary's path without suffix."""
     stem = stem or vocabulary("byte_bpe_50k.json").removesuffix(".json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
@@ -51,8 +55,16 @@ def token_lengths(docs: DataFrame, stem: str | None = None, id_col: str = "doc_i
             for batch in text_slices(whole):
                 sizes = []
                 for text in batch.column("text").to_pylist():
-                    sizes.append(len(exact.encode(text, add_special_tokens=False).ids if LONG_RUN.search(text) else fast.encode_ordinary(text)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+                    sizes.append(
+                        len(
+                            exact.encode(
+                                text, add_special_tokens=False
+                            ).ids if LONG_RUN.search(text) else fast.encode_ordinary(text)
+                        )
+                    )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"]
+                )
 
     return rows.mapInArrow(measure, "doc_id long, n_tokens long").withColumnRenamed("doc_id", id_col)
 
@@ -71,17 +83,30 @@ def context_totals(histogram: DataFrame, band: int = BAND) -> DataFrame:
     next smaller row: ``truncated_at``. An empty histogram gives no rows.
     """
     histogram = durable(histogram, "length-histogram")  # read twice below, and behind it lies the tokenizer
-    rows = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_tokens"), F.floor(F.col("n_tokens") / band).alias("_band"))
+    rows = histogram.select(
+        "n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_tokens"),
+        F.floor(F.col("n_tokens") / band).alias("_band")
+    )
     after = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bands = rows.groupBy("_band").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     bands = bands.select(
-        "_band", F.coalesce(F.sum("_d").over(after), F.lit(0)).alias("_docs_after"), F.coalesce(F.sum("_t").over(after), F.lit(0)).alias("_tokens_after"),
+        "_band", F.coalesce(
+            F.sum("_d").over(after), F.lit(0)
+        ).alias("_docs_after"), F.coalesce(F.sum("_t").over(after), F.lit(0)).alias("_tokens_after"),
         F.sum("_d").over(every).alias("total_docs"), F.sum("_t").over(every).alias("total_tokens"))
     within = Window.partitionBy("_band").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumns({"_docs_in": F.coalesce(F.sum("n_docs").over(within), F.lit(0)), "_tokens_in": F.coalesce(F.sum("_tokens").over(within), F.lit(0))}).join(bands, "_band")
+    out = rows.withColumns(
+        {
+            "_docs_in": F.coalesce(F.sum("n_docs").over(within), F.lit(0)),
+            "_tokens_in": F.coalesce(F.sum("_tokens").over(within), F.lit(0))
+        }
+    ).join(bands, "_band")
     longer = (F.col("_docs_after") + F.col("_docs_in")).alias("docs_longer")
-    out = out.select("n_tokens", "n_docs", longer, (F.col("_tokens_after") + F.col("_tokens_in")).alias("tokens_longer"), "total_docs", "total_tokens")
+    out = out.select(
+        "n_tokens", "n_docs", longer, (F.col("_tokens_after") + F.col("_tokens_in")).alias("tokens_longer"),
+        "total_docs", "total_tokens"
+    )
     return out.withColumns({
         "docs_up_to": F.col("total_docs") - F.col("docs_longer"), "tokens_up_to": F.col("total_tokens") - F.col("tokens_longer"),
         "truncated_tokens": F.col("total_tokens") - F.col("tokens_longer") + F.col("docs_longer") * F.col("n_tokens"),
@@ -91,8 +116,15 @@ def context_totals(histogram: DataFrame, band: int = BAND) -> DataFrame:
 
 def truncated_at(totals: DataFrame, limit: int) -> DataFrame:
     """One row: all tokens when every document is cut to ``limit``; 0 for an empty table."""
-    found = totals.agg(F.max(F.struct(F.when(F.col("n_tokens") <= limit, F.col("n_tokens")).alias("n"), "tokens_up_to", "docs_longer")).alias("b"), F.max("total_docs").alias("d"))
-    rest = F.when(F.col("b.n").isNull(), F.col("d") * limit).otherwise(F.col("b.tokens_up_to") + F.col("b.docs_longer") * limit)
+    found = totals.agg(
+        F.max(
+            F.struct(F.when(F.col("n_tokens") <= limit, F.col("n_tokens")).alias("n"), "tokens_up_to", "docs_longer")
+        ).alias("b"),
+        F.max("total_docs").alias("d")
+    )
+    rest = F.when(F.col("b.n").isNull(), F.col("d") * limit).otherwise(
+        F.col("b.tokens_up_to") + F.col("b.docs_longer") * limit
+    )
     return found.select(F.coalesce(rest, F.lit(0)).alias("truncated_tokens"))
 
 

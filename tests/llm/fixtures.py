@@ -15,9 +15,17 @@ def documents(seed=1):
     out = list(enumerate(base))
     out += [(40 + i, base[i]) for i in range(8)]  # copies
     out += [(48 + i, base[i].replace(" ", " \t ", 3) + " tail") for i in range(8)]  # near copies
-    out += [(60, None), (61, ""), (62, "   \n\t "), (63, "é" * 50), (64, words(rng, 4000)), (65, "A\nB\n\nA"), (66, None), (67, " lead and trail ")]
-    out += [(5, base[5]), (5, base[5]), (6, "another text under a used id"), (None, base[1]), (None, "no id of its own")]
-    return [(i, t, rng.choice(["en", "fr", None]), rng.choice(["hot", "hot", "b", None]), "x", 1, None, "y", "z") for i, t in out]
+    out += [
+        (60, None), (61, ""), (62, "   \n\t "), (63, "é" * 50), (64, words(rng, 4000)), (65, "A\nB\n\nA"), (66, None),
+        (67, " lead and trail ")
+    ]
+    out += [
+        (5, base[5]), (5, base[5]), (6, "another text under a used id"), (None, base[1]), (None, "no id of its own")
+    ]
+    return [
+        (i, t, rng.choice(["en", "fr", None]), rng.choice(["hot", "hot", "b", None]), "x", 1, None, "y", "z") for i,
+        t in out
+    ]
 
 
 def frame(spark, rows=None):

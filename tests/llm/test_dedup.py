@@ -34,7 +34,9 @@ def brute_exact(docs):
 
 def test_exact_duplicates_match_brute_force(spark):
     docs = [(r[0], r[1]) for r in documents()]
-    got = rows_of(exact_duplicates(frame(spark), digest_all=True), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    got = rows_of(
+        exact_duplicates(frame(spark), digest_all=True), "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
     assert got == brute_exact(docs)
 
 
@@ -46,7 +48,9 @@ def test_exact_duplicates_hash_only_survivors(spark):
 
 def test_long_texts_that_share_length_and_prefix_differ(spark):
     a, b = "x" * 300_000 + "1", "x" * 300_000 + "2"
-    assert {r["doc_id"]: r["group_size"] for r in exact_duplicates(plain(spark, [a, b, a])).collect()} == {0: 2, 1: 1, 2: 2}
+    assert {
+        r["doc_id"]: r["group_size"] for r in exact_duplicates(plain(spark, [a, b, a])).collect()
+    } == {0: 2, 1: 1, 2: 2}
 
 
 def test_kept_rows_have_all_columns_and_no_repeats(spark):
@@ -60,13 +64,17 @@ def test_kept_rows_have_all_columns_and_no_repeats(spark):
     assert set(got) == want and set(got.values()) == {1}
 
 
-@pytest.mark.parametrize("operator", [exact_duplicates, keep_first_copies, near_duplicates, keep_representatives, drop_repeated_lines])
+@pytest.mark.parametrize(
+    "operator", [exact_duplicates, keep_first_copies, near_duplicates, keep_representatives, drop_repeated_lines]
+)
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def brute_lines(docs, least_chars=40, least_docs=5):
-    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    key = lambda line: "".join(
+        chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r")
+    )
     holders = defaultdict(set)
     for i, t in docs:
         for line in (t or "").split("\n"):
@@ -85,16 +93,27 @@ def line_documents():
     docs = []
     for i in range(30):
         lines = [f"own line of document {i} which also is quite long, as it happens"]
-        lines += [("  " + long[k].upper() if i % 2 else long[k] + "\t") if k < 3 else long[k] for k in range(6) if i % (k + 1) == 0]
+        lines += [
+            (
+                "  " + long[k].upper() if i % 2 else long[k] + "\t"
+            ) if k < 3 else long[k] for k in range(6) if i % (k + 1) == 0
+        ]
         docs.append((i, "\n".join(lines) + ("\n" if i % 4 == 0 else "")))
-    return docs + [(30, None), (31, ""), (32, "\n\n"), (7, docs[7][1]), (7, docs[7][1]), (8, long[0]), (None, long[0]), (33, "\n".join(long * 400))]
+    return docs + [
+        (30, None), (31, ""), (32, "\n\n"), (7, docs[7][1]), (7, docs[7][1]), (8, long[0]), (None, long[0]),
+        (33, "\n".join(long * 400))
+    ]
 
 
 @pytest.mark.parametrize("batches,fan", [(1, 2), (4, 3), (7, 2)])
 def test_line_dedup_matches_brute_force(spark, batches, fan):
     docs = line_documents()
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, line string, docs string")
-    assert rows_of(drop_repeated_lines(df, batches=batches, fan=fan), "doc_id", "n_lines", "n_dropped", "kept_text") == brute_lines(docs)
+    df = spark.createDataFrame(
+        [(i, t, "x", "y") for i, t in docs], "doc_id long, text string, line string, docs string"
+    )
+    assert rows_of(
+        drop_repeated_lines(df, batches=batches, fan=fan), "doc_id", "n_lines", "n_dropped", "kept_text"
+    ) == brute_lines(docs)
 
 
 def test_runs_count_a_line_over_all_batches_and_compact(spark):
@@ -130,7 +149,9 @@ def test_key_filters_grow_with_their_keys(spark, n):
 def test_a_full_key_filter_clears_less_but_loses_nothing(spark):
     keys = key_filter(spark.range(100_000).withColumnRenamed("id", "k"), "k", most_bits=1 << 15)
     assert keys.bits == 1 << 15
-    assert maybe_in(spark.range(100_000).withColumnRenamed("id", "k"), F.col("k"), keys, "maybe").filter("maybe").count() == 100_000
+    assert maybe_in(
+        spark.range(100_000).withColumnRenamed("id", "k"), F.col("k"), keys, "maybe"
+    ).filter("maybe").count() == 100_000
 
 
 def brute_fingerprint(text, k=3):
@@ -168,7 +189,13 @@ def test_near_duplicates_match_brute_force(spark):
     first = {}
     for (i, _), p in zip(docs, prints):
         first.setdefault(root[p], []).append(i)
-    want = sorted(((i, f"{p:016x}", min((x for x in first[root[p]] if x is not None), default=None)) for (i, _), p in zip(docs, prints)), key=repr)
+    want = sorted(
+        (
+            (i, f"{p:016x}", min((x for x in first[root[p]] if x is not None), default=None)) for (i, _),
+            p in zip(docs, prints)
+        ),
+        key=repr
+    )
     assert rows_of(near_duplicates(frame(spark)), "doc_id", "fingerprint", "component_id") == want
 
 
@@ -208,7 +235,9 @@ def test_bk_tree_finds_all_within(bits, radius):
     values = rng.integers(0, 1 << bits, 300, dtype=np.uint64)
     tree, asked = BKTree(values), rng.integers(0, 1 << bits, 60, dtype=np.uint64)
     got = sorted((int(a), int(tree.values[b])) for x, y in tree.within(asked, radius, block=7) for a, b in zip(x, y))
-    assert got == sorted((i, v) for i, q in enumerate(asked.tolist()) for v in set(values.tolist()) if (q ^ v).bit_count() <= radius)
+    assert got == sorted(
+        (i, v) for i, q in enumerate(asked.tolist()) for v in set(values.tolist()) if (q ^ v).bit_count() <= radius
+    )
     # a child's place is its distance to the parent, and every value but the root is one child
     kids = [(n, d, c) for n, row in enumerate(tree.children) for d, c in enumerate(row) if c >= 0]
     assert sorted(c for _, _, c in kids) == list(range(1, len(tree.values)))
@@ -256,6 +285,11 @@ def test_one_document_of_each_group_stays(spark):
 
 
 def test_only_rows_with_company_are_hashed_in_the_filter(spark):
-    rows = [(1, "a b"), (2, "a  b"), (1, "a\tb"), (1, "a b"), (3, "other"), (None, "c d"), (None, "c  d"), (4, None), (4, "")]
+    rows = [
+        (1, "a b"), (2, "a  b"), (1, "a\tb"), (1, "a b"), (3, "other"), (None, "c d"), (None, "c  d"), (4, None),
+        (4, "")
+    ]
     kept = keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r["doc_id"] or 0, norm(r["text"])) for r in kept.collect()) == [(0, "c d"), (1, "a b"), (3, "other"), (4, "")]
+    assert sorted(
+        (r["doc_id"] or 0, norm(r["text"])) for r in kept.collect()
+    ) == [(0, "c d"), (1, "a b"), (3, "other"), (4, "")]

@@ -10,7 +10,10 @@ def skewed(spark, common=400, rare=8):
     rng = random.Random(12)
     stock = {"en": "the and ing tion of th er".split(), "ru": "жизнь пре крас на уди ви тельна".split()}
     make = lambda lang, n: " ".join("".join(rng.choice(stock[lang]) for _ in range(3)) for _ in range(n))
-    rows = [(i, make(lang, 30), lang if i % 4 else lang + "-XX", "s") for i, lang in enumerate(["en"] * common + ["ru"] * rare)]
+    rows = [
+        (i, make(lang, 30), lang if i % 4 else lang + "-XX", "s") for i,
+        lang in enumerate(["en"] * common + ["ru"] * rare)
+    ]
     return spark.createDataFrame(rows, SCHEMA), make
 
 
@@ -19,7 +22,9 @@ def test_a_rare_language_is_learnt_beside_a_common_one(spark):
     model = fit_text_model(df, sample_docs=40)
     assert model.languages == ["en", "ru", "und"]
     held = spark.createDataFrame([(1, make("ru", 40), "ru", "s"), (2, make("en", 40), "en", "s")], SCHEMA)
-    assert {r["_id"]: (r["language"], r["accepted"]) for r in identify(document_rows(held), model).collect()} == {1: ("ru", True), 2: ("en", True)}
+    assert {
+        r["_id"]: (r["language"], r["accepted"]) for r in identify(document_rows(held), model).collect()
+    } == {1: ("ru", True), 2: ("en", True)}
 
 
 def test_the_sample_of_a_language_is_bounded_and_independent_of_others(spark):

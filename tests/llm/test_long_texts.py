@@ -63,21 +63,30 @@ def test_the_forward_pass_matches_a_plain_loop(spark):
     w = {k: (v + 0.2 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in w.items()}
     docs = [rng.integers(0, s.symbols, n) for n in (3, 120, 1)]
     got = log_probabilities(w, s, np.concatenate(docs), np.cumsum([len(d) for d in docs]))
-    assert all(abs(p - plain_log_probability({k: v.astype(np.float64) for k, v in w.items()}, s, d)) < 1e-3 * len(d) for p, d in zip(got, docs))
+    assert all(
+        abs(p - plain_log_probability({k: v.astype(np.float64) for k, v in w.items()}, s, d)) < 1e-3 * len(d) for p,
+        d in zip(got, docs)
+    )
     assert set(targets(np.arange(s.symbols), s).tolist()) == set(range(s.classes)) and step is not None
 
 
 def test_decontamination_of_a_long_text(spark):
     text = long_words(2).split()
-    items = [(k, " ".join(text[at:at + 20])) for k, at in enumerate((0, 4090, 4096, 100_000, len(text) - 20))] + [(9, "not there at all")]
-    row = contamination(plain(spark, [" ".join(text)]), spark.createDataFrame(items, "item_id long, text string")).first()
+    items = [
+        (k, " ".join(text[at:at + 20])) for k, at in enumerate((0, 4090, 4096, 100_000, len(text) - 20))
+    ] + [(9, "not there at all")]
+    row = contamination(
+        plain(spark, [" ".join(text)]), spark.createDataFrame(items, "item_id long, text string")
+    ).first()
     assert row["n_words"] == len(text) and row["items"] == [0, 1, 2, 3, 4] and row["n_hit"] == 20 + 26 + 20 + 20
 
 
 def test_dedup_of_long_texts(spark):
     a = long_words(4)
     texts = [a, a.replace(" ", "\n\t "), a + " x", "short", a]
-    assert rows_of(exact_duplicates(plain(spark, texts), digest_all=True), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(list(enumerate(texts)))
+    assert rows_of(
+        exact_duplicates(plain(spark, texts), digest_all=True), "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    ) == brute_exact(list(enumerate(texts)))
     prints = {r["doc_id"]: r["fingerprint"] for r in near_duplicates(plain(spark, texts[:4])).collect()}
     assert prints == {i: f"{brute_fingerprint(t):016x}" for i, t in enumerate(texts[:4])}
 
@@ -94,7 +103,9 @@ def odd_lengths():
     rng = random.Random(6)
     out = [c * n + d for c in ("a", "Z9", "é", "-") for n in (198, 199, 200, 201, 202) for d in ("", "b", ".", "ß")]
     out += ["".join(rng.choice("abcXYZ019.,-é") for _ in range(n)) for n in (199, 200, 201, 399, 401, 600)]
-    out += [f"x{w * n}y" for w in (" ", "\n", "\t ") for n in (1998, 1999, 2000, 2001, 4100)] + ["q" * n + " r" for n in (1999, 2000, 2001)]
+    out += [
+        f"x{w * n}y" for w in (" ", "\n", "\t ") for n in (1998, 1999, 2000, 2001, 4100)
+    ] + ["q" * n + " r" for n in (1999, 2000, 2001)]
     return out + [long_words(7)]
 
 
@@ -106,7 +117,9 @@ def test_odd_lengths_encode_like_the_tokenizer(spark, name):
     exact.encode_special_tokens = name == "byte"
     want = [len(exact.encode(t, add_special_tokens=False).ids) for t in texts]
     if name == "byte":
-        assert rows_of(token_counts.token_lengths(plain(spark, texts)), "doc_id", "n_tokens") == sorted(enumerate(want), key=repr)
+        assert rows_of(
+            token_counts.token_lengths(plain(spark, texts)), "doc_id", "n_tokens"
+        ) == sorted(enumerate(want), key=repr)
         return
     for most in (packing.PLAN_ROWS, 2):  # the plan in one part and in many
         got = packing.pack(plain(spark, texts), capacity=500, most_plan_rows=most).collect()
@@ -121,4 +134,8 @@ def test_odd_lengths_encode_like_the_tokenizer(spark, name):
         bins = {}
         for r in got:
             bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        assert all([o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 500 for b in bins.values())
+        assert all(
+            [o for o, _ in sorted(b)] == [
+                sum(n for _, n in sorted(b)[:k]) for k in range(len(b))
+            ] and sum(n for _, n in b) <= 500 for b in bins.values()
+        )

@@ -42,7 +42,9 @@ def test_stage_drops_texts_of_similarity_four_fifths(spark):
 
 def test_similar_texts_of_each_pair_match_brute_force(spark):
     texts = near_texts(9) + ["one two", "ONE  two", "one three", "", "  "]
-    assert rows_of(near_copies(plain(spark, texts)), "doc_id") == sorted(((i,) for i, in brute_gone(texts) if texts[i].strip()), key=repr)
+    assert rows_of(near_copies(plain(spark, texts)), "doc_id") == sorted(
+        ((i,) for i, in brute_gone(texts) if texts[i].strip()), key=repr
+    )
 
 
 def test_crowded_bands_leave_no_similar_texts(spark):
@@ -59,7 +61,9 @@ def test_crowded_bands_leave_no_similar_texts(spark):
 
 def test_rows_without_ids_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(100))
-    rows = [(1, text), (1, text + " tail"), (None, text + " end"), (None, "no id"), (2, "other words"), (2, text + " more")]
+    rows = [
+        (1, text), (1, text + " tail"), (None, text + " end"), (None, "no id"), (2, "other words"), (2, text + " more")
+    ]
     df = spark.createDataFrame([(i, t, "en", "s", "x", 1, None, "y", "z") for i, t in rows], SCHEMA)
     assert rows_of(near_copies(df.select("doc_id", "text")), "doc_id") == [(2,), (None,)]
     assert keep_dissimilar(df).columns == df.columns

@@ -22,8 +22,15 @@ def corpus(spark):
     rng = random.Random(21)
     item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(25))
     words = [f"n{rng.randrange(10**5)}" for _ in range(400)]
-    near = [(310 + k, " ".join(words[:a] + ["Y"] * (k > 0) + words[a + 1:]) + " the and ing " * 9, "en", "s3") for k, a in enumerate((9, 90, 200, 390))]
-    extra = [(300, docs[4][1], "fr", "s1"), (301, docs[4][1].replace(" ", "  "), "fr", "s1"), (302, docs[6][1].upper(), "en", "s1"), (303, docs[8][1] + " " + item, "de", "s2"), *near, (304, "", "en", "s1"), (305, None, None, None), (306, "12 34 !!", "en", "s1"), (0, docs[0][1], "en", "hot")]
+    near = [
+        (310 + k, " ".join(words[:a] + ["Y"] * (k > 0) + words[a + 1:]) + " the and ing " * 9, "en", "s3") for k,
+        a in enumerate((9, 90, 200, 390))
+    ]
+    extra = [
+        (300, docs[4][1], "fr", "s1"), (301, docs[4][1].replace(" ", "  "), "fr", "s1"),
+        (302, docs[6][1].upper(), "en", "s1"), (303, docs[8][1] + " " + item, "de", "s2"), *near, (304, "", "en", "s1"),
+        (305, None, None, None), (306, "12 34 !!", "en", "s1"), (0, docs[0][1], "en", "hot")
+    ]
     return docs + extra, [(1, item), (2, "unseen words of an item")]
 
 
@@ -54,13 +61,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     first = {}
     for i, t in identified:
         first[norm(t)] = min(i, first.get(norm(t), i))
-    assert deduped == sorted({(i, t) for i, t in identified if first[norm(t)] == i and (i, t) in set(identified)}, key=repr)
+    assert deduped == sorted(
+        {(i, t) for i, t in identified if first[norm(t)] == i and (i, t) in set(identified)}, key=repr
+    )
     narrow = stand_for_groups(deduped, 2)
     stand = [(i, t) for i, t in deduped if narrow[i] == i]
     # of those that stand for their group, texts of five-word similarity 0.8 or more to one of a smaller id go
-    assert apart == sorted(((i, t) for i, t in stand if not any(j < i and jaccard(t, o) >= 0.8 for j, o in stand)), key=repr)
+    assert apart == sorted(
+        ((i, t) for i, t in stand if not any(j < i and jaccard(t, o) >= 0.8 for j, o in stand)), key=repr
+    )
     assert {i for i, _ in apart} & {310, 311, 312, 313} == {310}
-    assert {i for i, _ in clean} == {i for i, _ in apart} - {r[0] for r in brute_contamination(apart, items) if r[4]} and len(clean) == len(set(clean))
+    assert {i for i, _ in clean} == {i for i, _ in apart} - {
+        r[0] for r in brute_contamination(apart, items) if r[4]
+    } and len(clean) == len(set(clean))
     assert 303 not in {i for i, _ in clean} and 302 not in {i for i, _ in apart} and 300 not in {i for i, _ in deduped}
 
     exact = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
@@ -91,4 +104,6 @@ def test_odd_documents_pass_all_stages(spark, tmp_path, rows):
 def test_registry():
     assert [sum(n.startswith(f"op{k}_") for n in queries()) for k in range(1, 11)] == [1] * 10
     assert set(oracle_sql()) <= set(queries())
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "language_id", "exact_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"
+    ]

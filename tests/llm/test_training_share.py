@@ -8,7 +8,9 @@ SMALL = dict(head_classes=2, class_size=3, suffixes=2, embed=4, hidden=5, window
 
 def test_every_training_document_reaches_the_weights(spark):
     for i in [k for k in range(40) if not recurrent.is_held_out([k])[0]][:6]:  # each alone: none is passed over
-        rows, s = plain(spark, ["a b c d"]).selectExpr(f"cast({i} as long) AS doc_id", "text").coalesce(1), Settings(**SMALL)
+        rows, s = plain(spark, ["a b c d"]).selectExpr(
+            f"cast({i} as long) AS doc_id", "text"
+        ).coalesce(1), Settings(**SMALL)
         lex = lexicon(token_counts(rows, s.suffixes), s)
         before, after = initial(s, lex), fitted(encoded(rows, s, lex), s, lex)
         assert any((before[k] != after[k]).any() for k in before)
