@@ -7,8 +7,12 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="fanweave-warehouse-")).config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fanweave-shared-")).getOrCreate()
+        SparkSession.builder.master("local[4]").appName("tests").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g").config(
+            "spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="fanweave-warehouse-")
+        ).config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fanweave-shared-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
