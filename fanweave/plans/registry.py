@@ -1067,9 +1067,10 @@ def _cursors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wave(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The edges that a wave of every small shuffle may examine, and the wave."""
-    cursors = _cursors(spark, d)
-    decided = _decided(spark, d, scheduler.wave_edges(D.consumers(spark, d, SMALL), SMALL, cursors, WAVE.max_examined))
+    """The edges that a wave of every small shuffle may examine, and the wave. Both are read from written tables."""
+    cursors = written(_cursors(spark, d), "wave-cursors")
+    edges = written(scheduler.wave_edges(D.consumers(spark, d, SMALL), SMALL, cursors, WAVE.max_examined), "wave-edges")
+    decided = written(_decided(spark, d, edges), "wave-dispositions")
     return decided, scheduler.next_wave(decided, cursors, WAVE)
 
 
