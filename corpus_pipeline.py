@@ -10,7 +10,7 @@ from fanweave.llm.exact_dedup import keep_first_copies
 from fanweave.llm.language import keep_identified
 from fanweave.llm.near_texts import keep_dissimilar
 from fanweave.llm.packing import pack
-from fanweave.llm.simhash import keep_representatives
+from fanweave.llm.simhash import not_representatives
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of close fingerprints, the smallest id stays; of these go the texts similar to one of a smaller id."""
     bounded_batches(spark)
-    return keep_dissimilar(durable(keep_representatives(docs), "fingerprint-representatives"))
+    return keep_dissimilar(docs, besides=not_representatives(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

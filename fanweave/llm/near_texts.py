@@ -5,6 +5,7 @@ minimum with the probability of their similarity s, so they share one of ``BANDS
 1 - (1 - s ** PER_BAND) ** BANDS: 99.96% at 0.8. Documents that share a band are compared in blocks by their
 whole sets. The bands take turns: most copies go with the first two, and later ones send only what a
 document that is left could still be similar to, so a set travels a few times, not once for every band.
+Texts stay where they are: what is written and shuffled are ids, band keys and the sets of documents that share a band.
 A band of more documents than a block is dealt anew in rounds, each without the documents that
 the one before dropped, so a dense cluster shrinks at once; what doesn't shrink is compared block by block.
 """
@@ -79,10 +80,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def near_copies(docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, block: int = BLOCK) -> DataFrame:
+def near_copies(
+    docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, block: int = BLOCK, besides: DataFrame | None = None
+) -> DataFrame:
     """(doc_id) of the documents similar enough to one of a smaller id; ``docs`` has doc_id and text, null ids count as the largest.
 
-    None of those left shares a band with another that it is similar to.
+    None of those left shares a band with another that it is similar to. Documents of ``besides`` (doc_id), a
+    written table, take no part.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
@@ -105,15 +109,19 @@ def near_copies(docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, blo
                     [batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"]
                 )
 
-    keyed = durable(
-        rows.mapInArrow(sign, "doc_id long, row long, keys array<long>"), "band-keys"
-    ).select("doc_id", "row", F.posexplode("keys").alias("band", "key"))
+    signed = durable(rows.mapInArrow(sign, "doc_id long, row long, keys array<long>"), "band-keys")
+    if besides is not None:
+        signed = without(signed, [F.col("doc_id")], besides)
+    keyed = signed.select("doc_id", "row", F.posexplode("keys").alias("band", "key"))
     shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-bands")
-    places = durable(keyed.join(shared, "key").select("band", "key", "doc_id", "row").distinct(), "band-places")
-    again = maybe_in(
-        rows, F.col("row"), key_filter(places.select("row"), "row"), "_maybe"
-    ).filter("_maybe").select("row", "text")
-    sets = durable(again.mapInArrow(cut, "row long, shingles binary").dropDuplicates(["row"]), "shingle-sets")
+    places = durable(
+        _maybe_among(keyed, shared, "key").join(shared, "key").select("band", "key", "doc_id", "row").distinct(),
+        "band-places"
+    )
+    sets = _maybe_among(rows, places, "row").select("row", "text").mapInArrow(cut, "row long, shingles binary")
+    if not signed.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["row"])  # only repeated rows need it, and it shuffles all sets
+    sets = durable(sets, "shingle-sets")
 
     gone = None
     for start, stop in zip(TURNS, (*TURNS[1:], BANDS)):
@@ -139,13 +147,15 @@ def near_copies(docs: DataFrame, least_similarity: float = LEAST_SIMILARITY, blo
         own = durable(
             marked.join(asks, "key").filter("rank <= _last").select("key", "doc_id", "row", "alive"), "band-places"
         )
-        near = maybe_in(
-            sets, F.col("row"), key_filter(own.select("row"), "row"), "_maybe"
-        ).filter("_maybe").drop("_maybe")
-        gone = gone.unionByName(_similar_to_smaller(own, near, least_similarity, block))
+        gone = gone.unionByName(_similar_to_smaller(own, sets, least_similarity, block))
     return gone.distinct()
 
 
+def _maybe_among(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` but for most of those whose ``key`` isn't in ``others``; they stay where they are."""
+    return maybe_in(df, F.col(key), key_filter(others.select(key), key), "_maybe").filter("_maybe").drop("_maybe")
+
+
 def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: float, block: int) -> DataFrame:
     """(doc_id) of those that are ``alive`` and similar to one of a smaller id under the same key; ``places``: key, doc_id, row, alive."""
 
@@ -186,7 +196,7 @@ def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: fl
                 {"part": F.least("own", "_other"), "with_part": F.greatest("own", "_other")}
             )
         names = ["key", "part", "with_part"]
-        blocks = sent.join(sets, "row").select(
+        blocks = sent.join(_maybe_among(sets, places, "row"), "row").select(
             *names, "doc_id", "alive", "shingles"
         ).repartition(*names).sortWithinPartitions(*names)
         found = durable(blocks.mapInArrow(compare, "doc_id long").distinct(), "near-texts")
@@ -206,8 +216,15 @@ def _similar_to_smaller(places: DataFrame, sets: DataFrame, least_similarity: fl
 
 
 def keep_dissimilar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_similarity: float = LEAST_SIMILARITY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_similarity: float = LEAST_SIMILARITY,
+    besides: DataFrame | None = None
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose document isn't similar to one of a smaller id."""
+    """The rows of ``docs``, with all their columns, whose document isn't similar to one of a smaller id.
+
+    Documents of ``besides`` (doc_id), a written table, go too, and others may be similar to them.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return without(docs, [F.col(id_col).cast("long")], durable(near_copies(rows, least_similarity), "near-copies"))
+    gone = near_copies(rows, least_similarity, besides=besides)
+    if besides is not None:
+        gone = gone.unionByName(besides)
+    return without(docs, [F.col(id_col).cast("long")], durable(gone, "near-copies"))

@@ -255,14 +255,21 @@ def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, shard_size: int
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(
+def not_representatives(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns: of each component the smallest id stays.
+    """(doc_id) of the documents that aren't the smallest id of their component, a written table.
 
     Rows that repeat an id are one document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     classes = fingerprint_classes(durable(fingerprints(rows, shingle=shingle), "fingerprints"), radius)
     other = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return without(docs, [F.col(id_col).cast("long")], durable(classes.filter(other).select("doc_id"), "near-copies"))
+    return durable(classes.filter(other).select("doc_id"), "near-copies")
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns: of each component the smallest id stays."""
+    return without(docs, [F.col(id_col).cast("long")], not_representatives(docs, id_col, text_col, shingle, radius))

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from fanweave.llm.near_texts import keep_dissimilar, near_copies
+from fanweave.llm.near_texts import BANDS, keep_dissimilar, near_copies
 
 from .fixtures import SCHEMA, plain, rows_of
 
@@ -68,3 +70,53 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert rows_of(near_copies(df.select("doc_id", "text")), "doc_id") == [(2,), (None,)]
     assert keep_dissimilar(df).columns == df.columns
     assert keep_dissimilar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_stage_writes_no_text_to_the_shared_folder(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:6]]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert corpus_pipeline.drop_near_copies(spark, plain(spark, texts), "").count() == 60
+    made = set(shared.iterdir()) - before
+    assert made and not [p.name for p in made if "text" in spark.read.parquet(str(p)).columns]
+    assert sum(f.stat().st_size for p in made for f in p.glob("*.parquet")) < sum(map(len, texts))
+
+
+def test_texts_that_share_no_band_are_shuffled_for_counts_only(spark):
+    rng, n = random.Random(13), 2000
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(n)]
+    texts += [t + " tail" for t in texts[:20]]
+    df = plain(spark, texts).select("doc_id", "text").localCheckpoint()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the lists of keys were large
+    try:
+        before = shuffled_rows(spark)
+        assert near_copies(df).count() == 20
+        # a key of each band is counted once, and few go on
+        assert shuffled_rows(spark) - before < 1.5 * BANDS * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_left_out_documents_and_repeated_rows_match_brute_force(spark):
+    texts = near_texts(15)
+    out = set(range(0, len(texts), 3))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts) if i % 5 == 0]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    besides = spark.createDataFrame([(i,) for i in out], "doc_id long").localCheckpoint()
+    left = [(i, t) for i, t in enumerate(texts) if i not in out]
+    want = [i for i, t in left if any(j < i and jaccard(t, o) >= 0.8 for j, o in left)]
+    assert 10 < len(want) < len(brute_gone(texts))
+    assert {r["doc_id"] for r in near_copies(df, besides=besides).collect()} == set(want)
+    kept = Counter(r["doc_id"] for r in keep_dissimilar(df, besides=besides).collect())
+    assert kept == Counter(i for i, _ in rows if i not in out and i not in want)
